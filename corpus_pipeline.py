@@ -1,15 +1,54 @@
-"""A corpus pipeline: each stage works on all that its predecessor kept."""
+"""A corpus pipeline: each stage works on all that its predecessor kept, written as Parquet and read again.
+
+Quality rules drop what they reject; the n-gram Jaccard join keeps one document of each group; secrets
+are replaced by a mark in the texts; sources are mixed to their target weights (rows repeat or go);
+the last stage encodes every text and returns its ids, with the columns of the documents but the text.
+"""
 
 from __future__ import annotations
 
-from paritas.llm import quality
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paritas.llm import bpe, jaccard, mixing, quality, secrets
+from paritas.llm.queries import vocabulary
 from paritas.llm.shared import written
 
-STAGES = [("quality rules", lambda spark, docs, sf_dir: quality.quality_filter(docs))]
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.quality_filter(docs)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_per_group(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(docs, vocabulary())
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", jaccard_stage),
+    ("secret scans", secrets_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("byte-level BPE encoding and decoding", encoding_stage),
+]
+
+#: Rounding, networks and byte-pair merges have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
