@@ -123,8 +123,14 @@ def score_quality(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    return measures(docs).filter(verdict()[1]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
+
+    A plain filter would be pushed below the projections, where each use of an array computes it anew;
+    a row is dropped by exploding an empty array instead.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    once = F.when(verdict()[1], F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return measures(docs).select(*own, F.explode(once).alias("__q_kept")).select(*own)
 
 
 ORACLE = r"""
