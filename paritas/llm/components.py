@@ -36,3 +36,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = roots.withColumnRenamed("node", "t")
         roots = picks.join(up, "t", "left").select(F.col("a").alias("node"), F.coalesce("root", "t").alias("root"))
     return checkpoint(roots)
+
+
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """(node, root) from (node, parent), one parent each and no cycles, by pointer jumping."""
+    now = checkpoint(parents.select("node", F.col("parent").alias("root")))
+    while True:
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        if now.join(up, "root", "left_semi").isEmpty():  # every root is without a parent
+            return now
+        now = checkpoint(now.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))

@@ -35,11 +35,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.components import components
+from paritas.llm.components import components, forest_roots
 from paritas.llm.shared import by_value, checkpoint, written
 
 WORDS, NUM, DEN = 5, 75, 100  # shingle length; a link needs DEN * intersection >= NUM * union
-BANDS, SHORT_LIST, FREQUENT, TABLE = 6, 4, 8, 200_000
+BANDS, SHORT_LIST, FREQUENT, TABLE = 6, 4, 8, 50_000
 PER_BUCKET, SLICE, BITS = 2_000_000, 2_000_000, 24
 _SETS = "doc_id long, key binary, n long, bands array<long>, data binary"
 
@@ -265,7 +265,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     least = banded.groupBy("band", "h").agg(F.min("key").alias("rep"), F.max("key").alias("most")).filter("rep <> most")
     star = banded.join(least.select("band", "h", "rep"), ["band", "h"]).groupBy("key").agg(F.min("rep").alias("rep")).filter("key <> rep")
     near = verify(sets, checkpoint(star.select(F.col("key").alias("a"), F.col("rep").alias("b"))))
-    clusters = components(near)
+    # each set was compared with one smaller digest: the links are a forest
+    clusters = forest_roots(near.select(F.col("a").alias("node"), F.col("b").alias("parent")))
 
     table = frequent_tokens(sets)
     tokens = full.agg(F.sum((F.col("n") + 3) / 4)).first()[0] or 0
