@@ -36,11 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paritas.llm.components import components, forest_roots
-from paritas.llm.shared import by_value, checkpoint, written
+from paritas.llm.shared import arrow_rows, by_value, checkpoint, written
 
 WORDS, NUM, DEN = 5, 75, 100  # shingle length; a link needs DEN * intersection >= NUM * union
 BANDS, SHORT_LIST, FREQUENT, TABLE = 6, 4, 8, 50_000
-PER_BUCKET, SLICE, BITS = 2_000_000, 2_000_000, 24
+PER_BUCKET, SLICE, BITS = 1_000_000, 800_000, 24
+ROWS = 1000  # per Arrow batch
 _SETS = "doc_id long, key binary, n long, bands array<long>, data binary"
 
 
@@ -110,7 +111,8 @@ def make_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     }
                 )
 
-    return written(docs.select("doc_id", "text").mapInPandas(run, _SETS), "sets")
+    with arrow_rows(docs.sparkSession, ROWS):
+        return written(docs.select("doc_id", "text").mapInPandas(run, _SETS), "sets")
 
 
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
@@ -135,7 +137,8 @@ def frequent_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pd.DataFrame({"t": token[many].astype(np.int64), "c": count[many]})
 
     found = sets.filter("n > 0").select("data").mapInPandas(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
-    top = found.filter(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "t").limit(TABLE).toPandas().sort_values("t")
+    with arrow_rows(sets.sparkSession, 4 * ROWS):
+        top = found.filter(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "t").limit(TABLE).toPandas().sort_values("t")
     return top["t"].to_numpy(np.uint64), top["c"].to_numpy(np.int64)
 
 
@@ -247,7 +250,8 @@ def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(DEN * both >= NUM * (len(u) + len(v) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    return checkpoint(joined.mapInPandas(run, "a binary, b binary"))
+    with arrow_rows(sets.sparkSession, ROWS):
+        return checkpoint(joined.mapInPandas(run, "a binary, b binary"))
 
 
 def _roots(df: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
@@ -272,7 +276,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     tokens = full.agg(F.sum((F.col("n") + 3) / 4)).first()[0] or 0
     buckets = max(24, int(tokens // PER_BUCKET) + 1)
     blobs = prefix_blobs(sets, table, buckets)
-    lists = checkpoint(blobs.groupBy("bucket").applyInPandas(_lists, "list binary, a binary, na long, b binary, nb long, c long"))
+    with arrow_rows(docs.sparkSession, 4 * ROWS):
+        lists = checkpoint(blobs.groupBy("bucket").applyInPandas(_lists, "list binary, a binary, na long, b binary, nb long, c long"))
 
     short = lists.filter("list IS NULL").select("a", "na", "b", "nb", "c")
     members = lists.filter("list IS NOT NULL").groupBy("list", F.col("a").alias("key"), F.col("na").alias("n")).agg(F.sum("c").alias("c"))
