@@ -14,8 +14,8 @@ that groups of copies would cause:
 
 Tokens are ordered by frequency (those that a batch repeats; a bounded table that only affects speed)
 and then by hash, so passages that many documents share come last and are not in prefixes. A pair is
-verified only if the tokens its prefixes share leave room for the threshold: two sets of sizes n and m
-with prefixes p and q can share at most (common prefix tokens) + max(n - p, m - q).
+verified only if the tokens its prefixes share leave room for the threshold (see ``_room``), and pairs
+of long lists are drawn only if the most that either set shares with any other leaves room.
 
 Shuffled are prefix tokens (8 bytes each with their row), digests, and the sets of documents that have a partner. The
 sets are never shuffled as a whole: a bitmap of fixed size picks those that take part.
@@ -156,13 +156,15 @@ def prefix_blobs(sets: DataFrame, table: tuple[np.ndarray, np.ndarray], buckets:
             often = np.zeros(len(tokens), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                often = np.where(known[at] == tokens, counts[at], 0)
+                often = np.where(known[at] == tokens, np.minimum(counts[at], 32767), 0)
             order = np.lexsort((tokens, often, row))
             n = part["n"].to_numpy(np.int64)
             have = np.bincount(row, minlength=len(part))
             first = np.concatenate([[0], np.cumsum(have)[:-1]])
             place = np.arange(len(tokens)) - np.repeat(first, have)
             order = order[place < prefix_size(have)[row]]  # rows are contiguous, so places follow the order
+            last = np.zeros(len(part), np.int64)  # the place of a prefix's last token in the order of tokens
+            last[row[order]] = often[order] << 48 | tokens[order].astype(np.int64)
             tokens, row = tokens[order], row[order]
             bucket = (tokens % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -174,10 +176,10 @@ def prefix_blobs(sets: DataFrame, table: tuple[np.ndarray, np.ndarray], buckets:
                 if len(o):
                     used, local = np.unique(row[o], return_inverse=True)
                     t = tokens[o] // np.uint64(buckets)
-                    out.append((b, t.astype("<u4").tobytes() + (t >> np.uint64(32)).astype("<u2").tobytes(), local.astype("<u2").tobytes(), keys[used].tobytes(), n[used].astype("<u4").tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "tokens", "rows", "keys", "sizes"])
+                    out.append((b, t.astype("<u4").tobytes() + (t >> np.uint64(32)).astype("<u2").tobytes(), local.astype("<u2").tobytes(), keys[used].tobytes(), n[used].astype("<u4").tobytes(), last[used].tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "tokens", "rows", "keys", "sizes", "lasts"])
 
-    return sets.filter("n > 0").select("key", "n", "data").mapInPandas(run, "bucket long, tokens binary, rows binary, keys binary, sizes binary")
+    return sets.filter("n > 0").select("key", "n", "data").mapInPandas(run, "bucket long, tokens binary, rows binary, keys binary, sizes binary, lasts binary")
 
 
 def _lists(rows: pd.DataFrame) -> pd.DataFrame:
@@ -185,6 +187,7 @@ def _lists(rows: pd.DataFrame) -> pd.DataFrame:
     tokens = np.concatenate([np.frombuffer(x, "<u4", len(x) // 6).astype(np.uint64) | np.frombuffer(x, "<u2", offset=len(x) // 6 * 4).astype(np.uint64) << np.uint64(32) for x in rows["tokens"]])
     keys = np.concatenate([np.frombuffer(x, "V16") for x in rows["keys"]])
     sizes = np.concatenate([np.frombuffer(x, "<u4") for x in rows["sizes"]]).astype(np.int64)
+    lasts = np.concatenate([np.frombuffer(x, "<i8") for x in rows["lasts"]])
     shift = np.concatenate([[0], np.cumsum([len(x) // 16 for x in rows["keys"]])[:-1]])
     node = np.concatenate([np.frombuffer(x, "<u2").astype(np.int64) + s for x, s in zip(rows["rows"], shift, strict=True)])
     # equal sets of different batches are one node
@@ -194,7 +197,7 @@ def _lists(rows: pd.DataFrame) -> pd.DataFrame:
     new[1:] = (halves[order][1:] != halves[order][:-1]).any(1)
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
-    keys, sizes, node = keys[order][new], sizes[order][new], of[node]
+    keys, sizes, lasts, node = keys[order][new], sizes[order][new], lasts[order][new], of[node]
     order = np.lexsort((node, tokens))
     tokens, node = tokens[order], node[order]
     once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])])
@@ -212,7 +215,7 @@ def _lists(rows: pd.DataFrame) -> pd.DataFrame:
     fits = DEN * np.minimum(sizes[a], sizes[b]) >= NUM * np.maximum(sizes[a], sizes[b])
     both, count = np.unique(a[fits] << 32 | b[fits], return_counts=True)
     a, b = both >> 32, both & 0xFFFFFFFF
-    out = [pd.DataFrame({"list": None, "a": [x.tobytes() for x in keys[a]], "na": sizes[a], "b": [x.tobytes() for x in keys[b]], "nb": sizes[b], "c": count})]
+    out = [pd.DataFrame({"list": None, "a": [x.tobytes() for x in keys[a]], "na": sizes[a], "la": lasts[a], "b": [x.tobytes() for x in keys[b]], "nb": sizes[b], "lb": lasts[b], "c": count})]
     same: dict[bytes, list] = {}
     for s, k in zip(starts[lengths > SHORT_LIST], lengths[lengths > SHORT_LIST], strict=True):
         members = node[s : s + k]
@@ -221,7 +224,7 @@ def _lists(rows: pd.DataFrame) -> pd.DataFrame:
 
     for members, count in same.values():
         name = xxhash.xxh3_128_digest(keys[members].tobytes())
-        out.append(pd.DataFrame({"list": name, "a": [x.tobytes() for x in keys[members]], "na": sizes[members], "b": None, "nb": 0, "c": count}))
+        out.append(pd.DataFrame({"list": name, "a": [x.tobytes() for x in keys[members]], "na": sizes[members], "la": lasts[members], "b": None, "nb": 0, "lb": 0, "c": count}))
     return pd.concat(out) if len(out) > 1 else out[0]
 
 
@@ -259,55 +262,66 @@ def _roots(df: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
     return df.join(r, key, "left").withColumn(name, F.coalesce(name, key))
 
 
+def _room(c, na, la, nb, lb):
+    """Whether sets of sizes na and nb that share c prefix tokens can still reach the threshold.
+
+    All common tokens up to the earlier of the two prefixes' ends lie in both prefixes and are counted
+    in c; the others lie behind the prefix that ends earlier.
+    """
+    behind = F.when(la <= lb, F.ceil(F.lit(NUM) * na / F.lit(DEN)) - 1).otherwise(F.ceil(F.lit(NUM) * nb / F.lit(DEN)) - 1)
+    return (NUM + DEN) * (c + behind) >= NUM * (na + nb)
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document."""
+    col = F.col
     sets = make_sets(docs, words)
     full = sets.filter("n > 0")
 
-    # a highly similar set for each: the smallest digest with which it shares a band
+    # a highly similar set for each: the smaller digest with which it shares most bands
     banded = full.select("key", F.posexplode("bands").alias("band", "h"))
     least = banded.groupBy("band", "h").agg(F.min("key").alias("rep"), F.max("key").alias("most")).filter("rep <> most")
-    star = banded.join(least.select("band", "h", "rep"), ["band", "h"]).groupBy("key").agg(F.min("rep").alias("rep")).filter("key <> rep")
-    near = verify(sets, checkpoint(star.select(F.col("key").alias("a"), F.col("rep").alias("b"))))
+    star = banded.join(least.select("band", "h", "rep"), ["band", "h"]).filter("key <> rep").groupBy("key", "rep").agg(F.countDistinct("band").alias("shared"))
+    star = star.groupBy("key").agg(F.min(F.struct((-col("shared")).alias("s"), "rep"))["rep"].alias("rep"))
+    near = verify(sets, checkpoint(star.select(col("key").alias("a"), col("rep").alias("b"))))
     # each set was compared with one smaller digest: the links are a forest
-    clusters = forest_roots(near.select(F.col("a").alias("node"), F.col("b").alias("parent")))
+    clusters = forest_roots(near.select(col("a").alias("node"), col("b").alias("parent")))
 
     table = frequent_tokens(sets)
-    tokens = full.agg(F.sum((F.col("n") + 3) / 4)).first()[0] or 0
+    tokens = full.agg(F.sum((col("n") + 3) / 4)).first()[0] or 0
     buckets = max(24, int(tokens // PER_BUCKET) + 1)
     blobs = prefix_blobs(sets, table, buckets)
     with arrow_rows(docs.sparkSession, 4 * ROWS):
-        lists = checkpoint(blobs.groupBy("bucket").applyInPandas(_lists, "list binary, a binary, na long, b binary, nb long, c long"))
+        lists = checkpoint(blobs.groupBy("bucket").applyInPandas(_lists, "list binary, a binary, na long, la long, b binary, nb long, lb long, c long"))
 
-    short = lists.filter("list IS NULL").select("a", "na", "b", "nb", "c")
-    members = lists.filter("list IS NOT NULL").groupBy("list", F.col("a").alias("key"), F.col("na").alias("n")).agg(F.sum("c").alias("c"))
+    order = col("a") < col("b")
+    swap = {x + y: F.when(order, col(x + y)).otherwise(col(x + z)) for x in ("", "n", "l") for y, z in ("ab", "ba")}
+    short = lists.filter("list IS NULL").select(*[v.alias(k) for k, v in swap.items()], "c").groupBy("a", "na", "la", "b", "nb", "lb").agg(F.sum("c").alias("c"))
+    short = checkpoint(short)
+    members = lists.filter("list IS NOT NULL").groupBy("list", col("a").alias("key"), col("na").alias("n"), col("la").alias("l")).agg(F.sum("c").alias("c"))
     members = checkpoint(_roots(members, clusters, "key", "root"))
     mixed = members.groupBy("list").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("list")
     members = members.join(mixed, "list")
-    x, y = (members.select("list", *[F.col(c).alias(c + s) for c in ("key", "n", "c", "root")]) for s in "xy")
-    fits = (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx"))
-    long = x.join(y, "list").filter((F.col("rootx") < F.col("rooty")) & fits).select(F.col("keyx").alias("a"), F.col("nx").alias("na"), F.col("keyy").alias("b"), F.col("ny").alias("nb"), F.col("cx").alias("c"))
-    either = F.col("a") < F.col("b")
-    drawn = short.unionByName(long).select(
-        F.when(either, F.col("a")).otherwise(F.col("b")).alias("a"),
-        F.when(either, F.col("na")).otherwise(F.col("nb")).alias("na"),
-        F.when(either, F.col("b")).otherwise(F.col("a")).alias("b"),
-        F.when(either, F.col("nb")).otherwise(F.col("na")).alias("nb"),
-        "c",
-    )
-    pairs = drawn.groupBy("a", "na", "b", "nb").agg(F.sum("c").alias("c"))
-    rest = [F.col(n) - (F.col(n) - F.ceil(F.lit(NUM) * F.col(n) / F.lit(DEN)) + 1) for n in ("na", "nb")]
-    # the last place of the shorter prefix bounds what can still be shared
-    pairs = pairs.filter((NUM + DEN) * (F.col("c") + F.greatest(*rest)) >= NUM * (F.col("na") + F.col("nb")))
+    # at most so many prefix tokens can a set share with another one in long and in short lists
+    most_long = members.groupBy("key").agg(F.sum("c").alias("ml"))
+    most_short = short.select(F.explode(F.array("a", "b")).alias("key"), "c").groupBy("key").agg(F.max("c").alias("ms"))
+    members = checkpoint(members.join(most_long, "key").join(most_short, "key", "left").withColumn("ms", F.coalesce("ms", F.lit(0).cast("long"))))
+    x, y = (members.select("list", *[col(c).alias(c + s) for c in ("key", "n", "l", "c", "root", "ml", "ms")]) for s in "xy")
+    fits = (DEN * col("nx") >= NUM * col("ny")) & (DEN * col("ny") >= NUM * col("nx"))
+    fits = fits & _room(F.least("mlx", "mly") + F.least("msx", "msy"), col("nx"), col("lx"), col("ny"), col("ly"))
+    long = x.join(y, (x.list == y.list) & (col("keyx") < col("keyy")) & (col("rootx") != col("rooty")) & fits)
+    long = long.select(*[col(f"{p}{s}").alias(f"{q}{t}") for s, t in ("xa", "yb") for p, q in (("key", ""), ("n", "n"), ("l", "l"))], col("cx").alias("c"))
+    pairs = short.unionByName(long).groupBy("a", "na", "la", "b", "nb", "lb").agg(F.sum("c").alias("c"))
+    pairs = pairs.filter(_room(col("c"), col("na"), col("la"), col("nb"), col("lb"))).select("a", "b")
     pairs = _roots(_roots(pairs, clusters, "a", "ra"), clusters, "b", "rb").filter("ra <> rb").select("a", "b")
     far = verify(sets, checkpoint(pairs))
     over = _roots(_roots(far, clusters, "a", "ra"), clusters, "b", "rb")
-    upper = components(over.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    upper = components(over.select(col("ra").alias("a"), col("rb").alias("b")))
 
     rows = _roots(_roots(sets.select("doc_id", "key", "n"), clusters, "key", "root"), upper, "root", "top")
-    least = rows.filter("n > 0").groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    named = rows.filter("n > 0").join(least, "top").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return named.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    first = rows.filter("n > 0").groupBy("top").agg(F.min("doc_id").alias("component_id"))
+    named = rows.filter("n > 0").join(first, "top").select("doc_id", col("n").alias("n_shingles"), "component_id")
+    return named.unionByName(rows.filter("n = 0").select("doc_id", col("n").alias("n_shingles"), col("doc_id").alias("component_id")))
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
