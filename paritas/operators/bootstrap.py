@@ -20,8 +20,8 @@ def index_stream(spark: SparkSession, n: int, length: int, seed: int, key: str,
     """(position, index): the first ``length`` indices of the stream."""
     material = f"{domain}{seed}\0{key}\0{role}".encode()
     limit = 2**64 - 2**64 % n
-    spare = 4  # blocks beyond the least number, for skips
-    block = spark.range(-(-length // 4) + spare)
+    share = (2**64 - limit) / 2**64  # of candidates that are skipped
+    block = spark.range(int(1.2 * length / 4 / (1 - share)) + 16 if share > 1e-9 else -(-length // 4) + 4)
     h = F.sha2(F.concat(F.lit(bytearray(material)), F.unhex(F.lpad(F.hex("id"), 16, "0"))), 256)
     words = block.select("id", F.posexplode(F.array(*[F.conv(F.substring(h, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(4)])).alias("k", "c"))
     words = words.select((F.col("id") * 4 + F.col("k")).alias("at"), "c")

@@ -150,3 +150,17 @@ def test_field_map(spark):
     assert [None if r[0] is None else float(r[0]) for r in out.select(files.decimal_text("amount")).collect()] == [1.5, None]
     with pytest.raises(ValueError):
         files.map_fields(df, {"acct": "entity_id"}, {}, ["entity_id", "amount"])
+
+
+def test_contracts(spark, frame):
+    from paritas.operators import registry
+
+    rows = validate.normalize(frame, config())
+    long = metrics.scope_metrics(metrics.scope_stats(rows, {"g": ["A", "B", "C"]}), True, metrics.scope_auc(rows, ["g"]))
+    assert registry.out_of_range(long).count() == 0
+    assert {r.reason for r in long.select("reason").distinct().collect()} <= {None, *registry.UNDEFINED}
+    assert registry.has_verdict("The lender is not compliant") and not registry.has_verdict("ratio below the screening threshold")
+    new = registry.migrate({"schema_version": "1.0", "metrics": [{"value": 1}], "limitations": [{"code": "x"}]})
+    assert new["schema_version"] == "2.0" and new["metrics"][0]["reliability"] == "not_assessed"
+    with pytest.raises(ValueError):
+        registry.migrate(new)
