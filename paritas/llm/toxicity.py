@@ -2,14 +2,15 @@
 
 Examples are labelled documents of the training folds, at most ``EXAMPLES`` of each label, chosen by a
 hash of their id (the documented bound of the fit). The vocabulary is the words whose presence among
-the examples differs by label (a chi-square test against the number of words tried); inverse document
+the examples differs by label (a chi-square test against the number of words tried, near copies
+sharing one vote); inverse document
 frequencies of these words are counted over all documents. A text is the TF-IDF vector of its words of
 the vocabulary, over the whole text. Examples with equal vectors are one entry with counts by label.
 
 The index keeps, for each word, postings in blocks of entries with the block's largest weight. A query
 sums the block maxima of its words, visits blocks by falling bound, and stops when no block can beat
 its k-th best cosine: the nearest entries are exact. They vote with weight 1 / (distance + 0.05), with
-the prior as one more vote; the vote is calibrated by Platt scaling on examples that are left out of
+the prior as ``PRIOR`` more votes; the vote is calibrated by Platt scaling on examples that are left out of
 their own neighbourhood. The index is bounded by the examples and is broadcast; scoring is row-local.
 
 Defined cases: a null or empty text, or one without words of the vocabulary, meets the entry of the
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from paritas.llm.shared import by_value
 
 EXAMPLES, WORDS, NEIGHBOURS, BLOCK = 2000, 400, 15, 64
+PRIOR = 10.0  # votes of the prior: a single near example does not decide
 _WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -102,7 +104,7 @@ class Index:
 
     def vote(self, v: dict[int, float], own: int | None = None) -> float:
         """Distance-weighted share of label 1; ``own`` is a label to leave out at the vector's own entry."""
-        up, down = self.prior, 1.0
+        up, down = PRIOR * self.prior, PRIOR
         here = self.place.get(tuple(sorted(v.items())), -1)
         for cosine, n in self.nearest(v):
             zero, one = self.counts[n]
@@ -138,6 +140,31 @@ class Index:
         return [(c, *self.counts[n].tolist()) for c, n in self.nearest(self.vector(text), k)]
 
 
+def _copy_weights(bags: list) -> np.ndarray:
+    """1 / (size of the group of near copies) per example: copies are not independent evidence of a word."""
+    parent = list(range(len(bags)))
+
+    def find(a: int) -> int:
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    first: dict[tuple, int] = {}
+    rng = np.random.default_rng(0)
+    factors = rng.integers(1, 2**63, (8, 6), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for n, words in enumerate(bags):
+        if not len(words):
+            continue
+        h = np.array([zlib.crc32(w.encode()) << 32 | zlib.adler32(w.encode()) for w in words], np.uint64)
+        for band, six in enumerate(factors):
+            key = (band, *[int(((h * f) >> np.uint64(20)).min()) for f in six])
+            a, b = find(first.setdefault(key, n)), find(n)
+            parent[max(a, b)] = min(a, b)
+    group = np.array([find(i) for i in range(len(bags))], int)
+    return 1.0 / np.bincount(group, minlength=max(1, len(bags)))[group] if len(bags) else np.zeros(0)
+
+
 def held_out(doc_id) -> F.Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
 
@@ -156,11 +183,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text").mapInPandas(distinct, "y int, w array<string>, c array<int>").toPandas()
     y = rows["y"].to_numpy(int)
-    total = np.bincount(y, minlength=2)
+    weight = _copy_weights(rows["w"].tolist())
+    total = np.bincount(y, weight, minlength=2)
     seen: dict[str, np.ndarray] = {}
-    for ws, label in zip(rows["w"], y, strict=True):
+    for ws, label, share in zip(rows["w"], y, weight, strict=True):
         for w in ws:
-            seen.setdefault(w, np.zeros(2, int))[label] += 1
+            seen.setdefault(w, np.zeros(2))[label] += share
     # chi-square of presence against label; the bar grows with the words tried
     bar, scored = 2 * math.log(max(2, len(seen))) + 6, []
     n = total.sum()
@@ -170,8 +198,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         if under and a + b >= 3 and (x := n * float(a * d - b * c) ** 2 / float(under)) > bar:
             scored.append((-x, w))
     vocabulary = [w for _, w in sorted(scored)[:WORDS]]
-    # examples carry no vocabulary word by chance alone, so their number is the bound of the fit
-
     def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = frozenset(vocabulary)
         count, docs_ = Counter(), 0
