@@ -109,3 +109,28 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.expr("coalesce(array_join(array_sort(array_distinct(concat(transform(__b, x -> x.l), transform(__f, x -> x.l)))), ','), '')").alias("labels"),
         F.expr("greatest(coalesce(array_max(transform(__f, x -> x.m)), 0D), IF(coalesce(size(__b), 0) > 0, 0.5D, 0D))").alias("score"),
     )
+
+
+def oracle() -> str:
+    """The same rows as DuckDB SQL, written from the templates without the index of anchors."""
+    idf = _idf()
+
+    def at(words: list[str], shift: int = 0) -> str:
+        return " AND ".join(f"coalesce(w[i + {shift + j}], '') = '{x}'" for j, x in enumerate(words))
+
+    base = [f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {at(p.split())}), lambda i: {{'s': i - 1, 'l': '{label}'}})" for p, label in BASE]
+    found = []
+    for label, text, key in TEMPLATES:
+        words, must = text.split(), key.split()
+        first = next(i for i in range(len(words)) if words[i : i + len(must)] == must)
+        total = sum(idf[x] for x in words)
+        # i is the place of the key phrase; a word before the text's first one cannot match
+        mass = " + ".join(f"CASE WHEN i + {j - first} >= 1 AND coalesce(w[greatest(i + {j - first}, 1)], '') = '{x}' THEN {idf[x] / total!r}::DOUBLE ELSE 0::DOUBLE END" for j, x in enumerate(words))
+        found.append(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {at(must)}), lambda i: {{'l': '{label}', 'm': least(1::DOUBLE, {mass})}})")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+x AS (SELECT doc_id, len(w) AS n, flatten([{", ".join(base)}]) AS b, list_filter(flatten([{", ".join(found)}]), lambda e: e.m >= {MIN_SHARE}) AS f FROM t)
+SELECT doc_id, n::BIGINT AS n_words, len(b)::BIGINT AS n_base, list_min(list_transform(b, lambda e: e.s))::BIGINT AS first_word, list_max(list_transform(b, lambda e: e.s))::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(b, lambda e: e.l))), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(b, lambda e: e.l), list_transform(f, lambda e: e.l)))), ','), '') AS labels,
+  greatest(coalesce(list_max(list_transform(f, lambda e: e.m)), 0::DOUBLE), CASE WHEN len(b) > 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END) AS score FROM x"""

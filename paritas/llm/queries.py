@@ -34,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality.ORACLE}
+    return {"op8_license_scan": license.oracle(), "op9_quality_rules": quality.ORACLE}
