@@ -32,7 +32,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(docs, vocabulary())
+    encoded = bpe.encode_documents(docs, vocabulary(), decoded=False)
     return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 

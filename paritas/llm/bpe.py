@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from paritas.llm.shared import by_value
 
-CHUNK, REMEMBER, LONG = 4_000_000, 400_000, 200
+CHUNK, REMEMBER, LONG = 2_000_000, 300_000, 200
 
 _ENCODE = """
 WITH RECURSIVE s(w, p, t, more) AS (
@@ -168,24 +168,34 @@ def _over(docs: DataFrame, path: str, pattern: str | None, schema: str, rows) ->
         for batch in batches:
             encoder = encoder or Encoder(vocabulary.value, pattern)
             texts = ["" if x is None or x != x else x for x in batch["text"]]
-            yield rows(batch["doc_id"], encoder.encode(texts))
+            ids, at, chars = batch["doc_id"].astype("Int64"), 0, 0
+            for k, text in enumerate(texts):  # results leave the worker chunk by chunk
+                chars += len(text)
+                if chars >= CHUNK or k + 1 == len(texts):
+                    yield rows(ids[at : k + 1], encoder.encode(texts[at : k + 1]))
+                    at, chars = k + 1, 0
 
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
 def _digest_rows(ids: pd.Series, encoded: Iterator[tuple[str, bytes]]) -> pd.DataFrame:
     out = [(s.count(" ") + 1 if s else 0, hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(b).hexdigest()) for s, b in encoded]
-    return pd.DataFrame({"doc_id": ids.astype("Int64"), "n_tokens": [x[0] for x in out], "ids_sha256": [x[1] for x in out], "decoded_sha256": [x[2] for x in out]})
+    return pd.DataFrame({"doc_id": ids.values, "n_tokens": [x[0] for x in out], "ids_sha256": [x[1] for x in out], "decoded_sha256": [x[2] for x in out]})
 
 
-def _id_rows(ids: pd.Series, encoded: Iterator[tuple[str, bytes]]) -> pd.DataFrame:
-    out = [(np.array(s.split(), dtype="U6").astype(np.int32), b.decode("utf-8", "replace")) for s, b in encoded]
-    return pd.DataFrame({"doc_id": ids.astype("Int64"), "ids": [x[0] for x in out], "decoded": [x[1] for x in out]})
+def _numbers(ids: str) -> np.ndarray:
+    return np.fromiter(map(int, ids.split()), np.int32)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
-    """(doc_id, ids array<int>, decoded string) for every whole text."""
-    return _over(docs, path, pattern, "doc_id long, ids array<int>, decoded string", _id_rows)
+def encode_documents(docs: DataFrame, path: str, pattern: str | None = None, decoded: bool = True) -> DataFrame:
+    """(doc_id, ids array<int>) for every whole text, and what the ids decode to unless it is not wanted."""
+
+    def rows(ids: pd.Series, encoded: Iterator[tuple[str, bytes]]) -> pd.DataFrame:
+        out = [(_numbers(s), b.decode("utf-8", "replace") if decoded else None) for s, b in encoded]
+        found = {"doc_id": ids.values, "ids": [x[0] for x in out]}
+        return pd.DataFrame(found | ({"decoded": [x[1] for x in out]} if decoded else {}))
+
+    return _over(docs, path, pattern, "doc_id long, ids array<int>" + ", decoded string" * decoded, rows)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
