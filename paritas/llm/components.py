@@ -1,7 +1,7 @@
 """Connected components of a distributed list of links, by random contraction.
 
-In each round every node picks the neighbour (or itself) of lowest priority, a hash that changes with
-the round; links are then redrawn between the picks and loops dropped. A constant share of the nodes
+In each round every node picks the node of lowest priority within two links, itself included; the
+priority is a hash that changes with the round, and two links let a hub's neighbours meet at once. Links are then redrawn between the picks and loops dropped. A constant share of the nodes
 vanishes per round in expectation, so the rounds grow with the logarithm of the longest path, whatever
 the order of ids. Hubs are pre-aggregated before they are shuffled. Nothing but a count reaches the
 driver, and every round is checkpointed.
@@ -24,7 +24,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seed = F.lit(len(rounds))
         low = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", seed).alias("h"), F.col("b").alias("b"))).alias("m"))
         own = F.struct(F.xxhash64("a", seed).alias("h"), F.col("a").alias("b"))
-        picks = checkpoint(low.select("a", F.least(F.col("m"), own)["b"].alias("t")))
+        low = checkpoint(low.select("a", F.least(F.col("m"), own).alias("m")))
+        # the same once more over neighbours' picks; a node's own pick is among its neighbour's candidates
+        far = both.join(low.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("m").alias("m"))
+        picks = checkpoint(far.select("a", F.col("m")["b"].alias("t")))
         rounds.append(picks)
         ta, tb = picks.select("a", F.col("t").alias("ta")), picks.select(F.col("a").alias("b"), F.col("t").alias("tb"))
         moved = edges.join(ta, "a").join(tb, "b").filter("ta <> tb")

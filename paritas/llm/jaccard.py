@@ -5,8 +5,8 @@ and are one node from then on. The join is exact: a prefix filter finds every pa
 threshold, and each pair is verified on the sets themselves. Two relations between sets save the work
 that groups of copies would cause:
 
-* answers: every set is first verified against one highly similar set (the smallest digest that shares
-  a band of minima). Sets linked so form clusters, and within a cluster no further pair has to be
+* answers: sets are first verified against one highly similar set, the hub of a token list that they
+  share most tokens with. Sets linked so form clusters, and within a cluster no further pair has to be
   found: a member's component is derived from the set that it was compared with.
 * index: tokens whose lists hold the same sets are one list with a multiplicity. A long list is skipped
   as a whole when all its sets lie in one cluster; otherwise only pairs across clusters are drawn, from
@@ -32,17 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paritas.llm.components import components, forest_roots
 from paritas.llm.shared import arrow_rows, by_value, checkpoint, written
 
 WORDS, NUM, DEN = 5, 75, 100  # shingle length; a link needs DEN * intersection >= NUM * union
-BANDS, SHORT_LIST, FREQUENT, TABLE = 6, 4, 8, 50_000
+SHORT_LIST, FREQUENT, TABLE = 4, 8, 50_000
 PER_BUCKET, SLICE, BITS = 1_000_000, 800_000, 24
 ROWS = 1000  # per Arrow batch
-_SETS = "doc_id long, key binary, n long, bands array<long>, data binary"
+STEPS = 2  # of comparing with hubs
+_SETS = "doc_id long, key binary, n long, data binary"
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -79,20 +80,6 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _bands(u: np.ndarray) -> list[int]:
-    """Hashes of pairs of minima under 2 * BANDS permutations."""
-    out, factor = [], 0xD6E8FEB86659FD93
-    for _ in range(BANDS):
-        pair = np.uint64(0)
-        for _ in range(2):
-            v = u * np.uint64(factor)
-            v ^= v >> np.uint64(32)
-            pair = np.uint64((int(pair) * 0x9E3779B97F4A7C15 + int(v.min())) % 2**64)
-            factor = factor * 0xD1342543DE82EF95 % 2**64 | 1
-        out.append(int(pair.astype(np.int64)))
-    return out
-
-
 def make_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -106,7 +93,6 @@ def make_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                         "doc_id": part["doc_id"].astype("Int64").values,
                         "key": [xxhash.xxh3_128_digest(u.tobytes()) for u in sets],
                         "n": [len(u) for u in sets],
-                        "bands": [_bands(u) if len(u) else [] for u in sets],
                         "data": [pack(u) for u in sets],
                     }
                 )
@@ -272,21 +258,61 @@ def _room(c, na, la, nb, lb):
     return (NUM + DEN) * (c + behind) >= NUM * (na + nb)
 
 
+def _may_link():
+    """Whether sets x and y of different clusters can reach the threshold, by what each may share at most."""
+    col = F.col
+    fits = (DEN * col("nx") >= NUM * col("ny")) & (DEN * col("ny") >= NUM * col("nx")) & (col("rootx") != col("rooty"))
+    return fits & _room(F.least("mlx", "mly") + F.least("msx", "msy"), col("nx"), col("lx"), col("ny"), col("ly"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of the lists that hold sets of several clusters; the others are skipped as a whole."""
+    several = members.groupBy("list").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("list")
+    return checkpoint(members.join(several, "list"))
+
+
+def _through_hubs(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters, and the mixed lists that are left, after comparing sets with the hubs of their lists.
+
+    The less a copy was edited, the fewer rare tokens it has of its own, so the more of its prefix lies
+    in long lists: such sets are hubs, to which most of a group's copies are similar. First each set is
+    compared with one hub that comes before it in one order of all sets, so links are a forest. Later
+    steps take further hubs for the sets that are still in other clusters. Steps decide speed, not
+    results: all pairs that are then in different clusters are drawn by the caller.
+    """
+    col, clusters = F.col, None
+    for step in range(STEPS):
+        named = lambda s: [col(c).alias(c + s) for c in ("key", "n", "l", "root", "ml", "ms", "rank")]
+        hubs = members.filter(col("rank").between(1 << step, (2 << step) - 1)).select("list", *named("y"))
+        pairs = members.select("list", "c", *named("x")).join(hubs, "list").filter(_may_link() & (col("ranky") < col("rankx")))
+        pairs = pairs.groupBy(col("keyx").alias("a"), col("keyy").alias("b")).agg(F.sum("c").alias("c"))
+        best = pairs.groupBy("a").agg(F.min(F.struct((-col("c")).alias("c"), "b"))["b"].alias("b"))
+        links = verify(sets, checkpoint(best))
+        if clusters is None:
+            upper = clusters = forest_roots(links.select(col("a").alias("node"), col("b").alias("parent")))
+        elif links.isEmpty():
+            break
+        else:
+            over = _roots(_roots(links, clusters, "a", "ra"), clusters, "b", "rb")
+            upper = components(over.select(col("ra").alias("a"), col("rb").alias("b")))
+            clusters = checkpoint(_merged(clusters, upper))
+        members = _mixed(_roots(members, upper, "root", "top").drop("root").withColumnRenamed("top", "root"))
+    return clusters, members
+
+
+def _merged(clusters: DataFrame, upper: DataFrame) -> DataFrame:
+    """(node, root) after roots got roots of their own."""
+    up = upper.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = clusters.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(upper.filter("node <> root").join(clusters.select("node"), "node", "left_anti"))
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document."""
     col = F.col
     sets = make_sets(docs, words)
     full = sets.filter("n > 0")
 
-    # a highly similar set for each: the smaller digest with which it shares most bands
-    banded = full.select("key", F.posexplode("bands").alias("band", "h"))
-    least = banded.groupBy("band", "h").agg(F.min("key").alias("rep"), F.max("key").alias("most")).filter("rep <> most")
-    star = banded.join(least.select("band", "h", "rep"), ["band", "h"]).filter("key <> rep").groupBy("key", "rep").agg(F.countDistinct("band").alias("shared"))
-    star = star.groupBy("key").agg(F.min(F.struct((-col("shared")).alias("s"), "rep"))["rep"].alias("rep"))
-    near = verify(sets, checkpoint(star.select(col("key").alias("a"), col("rep").alias("b"))))
-    # each set was compared with one smaller digest: the links are a forest
-    clusters = forest_roots(near.select(col("a").alias("node"), col("b").alias("parent")))
-
     table = frequent_tokens(sets)
     tokens = full.agg(F.sum((col("n") + 3) / 4)).first()[0] or 0
     buckets = max(24, int(tokens // PER_BUCKET) + 1)
@@ -299,17 +325,14 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     short = lists.filter("list IS NULL").select(*[v.alias(k) for k, v in swap.items()], "c").groupBy("a", "na", "la", "b", "nb", "lb").agg(F.sum("c").alias("c"))
     short = checkpoint(short)
     members = lists.filter("list IS NOT NULL").groupBy("list", col("a").alias("key"), col("na").alias("n"), col("la").alias("l")).agg(F.sum("c").alias("c"))
-    members = checkpoint(_roots(members, clusters, "key", "root"))
-    mixed = members.groupBy("list").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("list")
-    members = members.join(mixed, "list")
     # at most so many prefix tokens can a set share with another one in long and in short lists
     most_long = members.groupBy("key").agg(F.sum("c").alias("ml"))
     most_short = short.select(F.explode(F.array("a", "b")).alias("key"), "c").groupBy("key").agg(F.max("c").alias("ms"))
-    members = checkpoint(members.join(most_long, "key").join(most_short, "key", "left").withColumn("ms", F.coalesce("ms", F.lit(0).cast("long"))))
+    members = members.join(most_long, "key").join(most_short, "key", "left").withColumn("ms", F.coalesce("ms", F.lit(0).cast("long")))
+    members = members.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("ml"), "key")))
+    clusters, members = _through_hubs(sets, checkpoint(members.withColumn("root", col("key"))))
     x, y = (members.select("list", *[col(c).alias(c + s) for c in ("key", "n", "l", "c", "root", "ml", "ms")]) for s in "xy")
-    fits = (DEN * col("nx") >= NUM * col("ny")) & (DEN * col("ny") >= NUM * col("nx"))
-    fits = fits & _room(F.least("mlx", "mly") + F.least("msx", "msy"), col("nx"), col("lx"), col("ny"), col("ly"))
-    long = x.join(y, (x.list == y.list) & (col("keyx") < col("keyy")) & (col("rootx") != col("rooty")) & fits)
+    long = x.join(y, (x.list == y.list) & (col("keyx") < col("keyy")) & _may_link())
     long = long.select(*[col(f"{p}{s}").alias(f"{q}{t}") for s, t in ("xa", "yb") for p, q in (("key", ""), ("n", "n"), ("l", "l"))], col("cx").alias("c"))
     pairs = short.unionByName(long).groupBy("a", "na", "la", "b", "nb", "lb").agg(F.sum("c").alias("c"))
     pairs = pairs.filter(_room(col("c"), col("na"), col("la"), col("nb"), col("lb"))).select("a", "b")
