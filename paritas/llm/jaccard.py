@@ -9,8 +9,9 @@ that groups of copies would cause:
   share most tokens with. Sets linked so form clusters, and within a cluster no further pair has to be
   found: a member's component is derived from the set that it was compared with.
 * index: tokens whose lists hold the same sets are one list with a multiplicity. A long list is skipped
-  as a whole when all its sets lie in one cluster; otherwise only pairs across clusters are drawn, from
-  blocks of sets of compatible sizes.
+  as a whole when all its sets lie in one cluster; otherwise pairs of compatible sizes across clusters
+  are drawn. Sets that link with no hub are so paired with all of their lists: with many of them the
+  pairs grow faster than the input.
 
 Tokens are ordered by frequency (those that a batch repeats; a bounded table that only affects speed)
 and then by hash, so passages that many documents share come last and are not in prefixes. A pair is
