@@ -91,7 +91,7 @@ def _proxy(s, d):
 
 
 def _rows(s, d):
-    return table(s, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") > 0).alias("d")).filter("k <= 200")
+    return table(s, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") > 0).alias("d"))
 
 
 _N, _R, _SEED, _KEY = 200, 40, 7, "overall.selection_rate"
@@ -108,7 +108,10 @@ SELECT (position // {_N})::BIGINT AS draw, (position % {_N})::BIGINT AS i, (c %
 
 
 def _interval(s, d):
-    sample = bootstrap.selection_rate_draws(bootstrap.with_ordinal(_rows(s, d), "k"), _draws(s, d))
+    rows = _rows(s, d)
+    # draws are over positions of the whole table; one position for an empty table, which none of its rows meets
+    draws = bootstrap.draws(s, max(1, rows.count()), _R, _SEED, _KEY)
+    sample = bootstrap.selection_rate_draws(bootstrap.with_ordinal(rows, "k"), draws)
     return bootstrap.interval(sample.withColumn("key", F.lit(_KEY)), ["key"], 0.9, 30)
 
 

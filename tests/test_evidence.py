@@ -186,3 +186,14 @@ def test_query_equals_its_sql(spark, duck, name):
         return
     names = ", ".join(f'"{c}"' for c in columns)
     assert got == canon(duck.execute(f"SELECT {names} FROM ({sql})").fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_bootstrap_interval_resamples_the_whole_table(spark, duck):
+    d = [r[0] for r in duck.execute("SELECT (c_acctbal > 0)::INT FROM customer ORDER BY c_custkey").fetchall()]
+    n, resamples, material = len(d), 40, f"{bootstrap.DOMAIN}7\0overall.selection_rate\0scope".encode()
+    h = b"".join(hashlib.sha256(material + i.to_bytes(8, "big")).digest() for i in range(n * resamples // 4 + 1))
+    at = [int.from_bytes(h[8 * k : 8 * k + 8], "big") % n for k in range(n * resamples)]
+    rates = np.array(d, float)[at].reshape(resamples, n).mean(1)
+    got = catalogue.queries()["bootstrap_interval"](spark, SF).first()
+    assert got.valid == resamples and (got.lower, got.upper) == pytest.approx(tuple(np.quantile(rates, [0.05, 0.95])))
