@@ -197,3 +197,12 @@ def test_bootstrap_interval_resamples_the_whole_table(spark, duck):
     rates = np.array(d, float)[at].reshape(resamples, n).mean(1)
     got = catalogue.queries()["bootstrap_interval"](spark, SF).first()
     assert got.valid == resamples and (got.lower, got.upper) == pytest.approx(tuple(np.quantile(rates, [0.05, 0.95])))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_complementary_suppression_decides_every_cell(spark):
+    q = catalogue.queries()
+    got = {r.cell: (r.n, r.reason == "primary") for r in q["complementary_suppression"](spark, SF).collect()}
+    counts = {f"{r.table_id}:{r.cell_id}": r.n for r in q["disclosure_cells"](spark, SF).collect()}
+    hidden = {f"{r.table_id}:{r.cell_id}": r.suppressed for r in q["primary_suppression"](spark, SF).collect()}
+    assert got == {c: (n, hidden[c]) for c, n in counts.items()} and any(hidden.values())
