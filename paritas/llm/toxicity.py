@@ -1,19 +1,20 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosines over a block-max inverted index.
 
 Examples are labelled documents of the training folds, at most ``EXAMPLES`` of each label, chosen by a
-hash of their id (the documented bound of the fit). The vocabulary is the words whose presence among
-the examples differs by label (a chi-square test against the number of words tried, near copies
-sharing one vote); inverse document
-frequencies of these words are counted over all documents. A text is the TF-IDF vector of its words of
-the vocabulary, over the whole text. Examples with equal vectors are one entry with counts by label.
+hash of their id (the documented bound of the fit). The vocabulary is all words of the examples; inverse
+document frequencies are counted over all documents. Words whose presence among the examples does not
+differ by label (a chi-square test against the number of words tried, near copies sharing one vote)
+count ``LIGHT`` as much. A text is the TF-IDF vector of its words of the vocabulary, over the whole text,
+so a copy of an example has cosine 1 with it. Examples with equal vectors are one entry with counts by
+label.
 
 The index keeps, for each word, postings in blocks of entries with the block's largest weight. A query
-sums the block maxima of its words, visits blocks by falling bound, and stops when no block can beat
-its k-th best cosine: the nearest entries are exact. They vote with weight 1 / (distance + 0.05), with
+sums the block maxima of its words, visits blocks by falling bound in growing groups, and stops when no
+block can beat its k-th best cosine: the nearest entries are exact. They vote with weight 1 / (distance + 0.05), with
 the prior as ``PRIOR`` more votes; the vote is calibrated by Platt scaling on examples that are left out of
 their own neighbourhood. The index is bounded by the examples and is broadcast; scoring is row-local.
 
-Defined cases: a null or empty text, or one without words of the vocabulary, meets the entry of the
+Defined cases: a null or empty text, or one without a word of any example, meets the entry of the
 empty vector: its score is the share of label 1 among examples alike (or 0.5 without labels). Null
 labels and null ids are not learned from; repeated rows score alike; an empty table gives an empty
 table; other columns are ignored.
@@ -21,6 +22,7 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 
 from paritas.llm.shared import by_value
 
-EXAMPLES, WORDS, NEIGHBOURS, BLOCK = 2000, 400, 15, 64
+EXAMPLES, NEIGHBOURS, BLOCK = 2000, 15, 64
+LIGHT = 0.3  # weight of a word that the label test does not pass (least leave-one-out loss of 1, 0.3, 0.1, 0.03)
 PRIOR = 10.0  # votes of the prior: a single near example does not decide
 _WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -45,67 +48,114 @@ def words_of(text: str | None) -> list[str]:
     return re.findall(_WORD, text.lower()) if isinstance(text, str) else []
 
 
+#: {word: weight}, or words in order and their weights
+Vector = dict[int, float] | tuple[np.ndarray, np.ndarray]
+
+
 class Index:
     """Labelled examples as a block-max inverted index over TF-IDF vectors."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, vectors: list[dict[int, float]], labels: np.ndarray) -> None:
-        self.of, self.idf = {w: i for i, w in enumerate(vocabulary)}, idf
-        entries: dict[tuple, list[float]] = {}
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, vectors: list[Vector], labels: np.ndarray) -> None:
+        self.of, self.idf = {w: i for i, w in enumerate(vocabulary)}, np.asarray(idf, float)
+        entries: dict[bytes, tuple] = {}
         for v, y in zip(vectors, labels, strict=True):
-            e = entries.setdefault(tuple(sorted(v.items())), [0.0, 0.0])
-            e[int(y)] += 1
+            v = self.arrays(v)
+            entries.setdefault(self.key(v), (v, [0.0, 0.0]))[1][int(y)] += 1
         # similar entries side by side, so that block maxima are sharp
-        self.entries = sorted(entries)
-        self.counts = np.array([entries[e] for e in self.entries]).reshape(-1, 2)
-        self.place = {e: i for i, e in enumerate(self.entries)}
-        blocks = -(-len(self.entries) // BLOCK)
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.most = np.zeros((len(vocabulary), blocks))
-        gathered: dict[int, list[tuple[int, float]]] = {}
-        for n, e in enumerate(self.entries):
-            for t, w in e:
-                gathered.setdefault(t, []).append((n, w))
-        for t, p in gathered.items():
-            at, w = np.array([x[0] for x in p]), np.array([x[1] for x in p])
-            self.postings[t] = at, w
-            np.maximum.at(self.most[t], at // BLOCK, w)
+        order = sorted(entries, key=lambda e: (entries[e][0][0].astype(">i4").tobytes(), e))
+        self.counts = np.array([entries[e][1] for e in order]).reshape(-1, 2)
+        self.place = {e: n for n, e in enumerate(order)}
+        # postings by word and entry; a pair is a word in a block: its postings lie side by side
+        t = np.concatenate([np.zeros(0, np.int32), *(entries[e][0][0] for e in order)])
+        n = np.repeat(np.arange(len(order), dtype=np.int32), [len(entries[e][0][0]) for e in order])
+        w = np.concatenate([np.zeros(0), *(entries[e][0][1] for e in order)])
+        by = np.lexsort((n, t))
+        t, self.entry, self.weight = t[by], n[by], w[by]
+        first = np.flatnonzero(np.r_[True, (np.diff(t) != 0) | (np.diff(self.entry // BLOCK) != 0)][: len(t)])
+        self.pair_block = self.entry[first] // BLOCK
+        self.pair_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.pair_at = np.r_[first, len(t)]
+        self.word_at = np.searchsorted(t[first], np.arange(len(vocabulary) + 1))
         total = self.counts.sum(0) if len(self.counts) else np.zeros(2)
         self.prior = float((total[1] + 1) / (total.sum() + 2))
         self.scale, self.shift = 1.0, 0.0
-        self.known: dict[tuple, float] = {}
+        self.known: dict[bytes, float] = {}
+
+    @property
+    def entries(self) -> list[tuple]:
+        """The vectors of the entries."""
+        out: list[list] = [[] for _ in self.counts]
+        pair_word = np.repeat(np.arange(len(self.word_at) - 1), np.diff(self.word_at))
+        for t, n, w in zip(np.repeat(pair_word, np.diff(self.pair_at)).tolist(), self.entry.tolist(), self.weight.tolist(), strict=True):
+            out[n].append((t, w))
+        return [tuple(e) for e in out]
+
+    @staticmethod
+    def arrays(v: Vector) -> tuple[np.ndarray, np.ndarray]:
+        """Words in order and their weights."""
+        if isinstance(v, tuple):
+            return v
+        t = np.fromiter(v.keys(), np.int32, len(v))
+        by = np.argsort(t)
+        return t[by], np.fromiter(v.values(), float, len(v))[by]
+
+    @staticmethod
+    def key(v: tuple[np.ndarray, np.ndarray]) -> bytes:
+        return hashlib.blake2b(v[0].tobytes() + v[1].tobytes(), digest_size=16).digest()
 
     def vector(self, text: str | None) -> dict[int, float]:
-        return self.weigh(Counter(t for w in words_of(text) if (t := self.of.get(w)) is not None))
+        t, x = self._vector(text)
+        return dict(zip(t.tolist(), x.tolist(), strict=True))
+
+    def _vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        of = self.of
+        return self._weigh({t: c for w, c in Counter(words_of(text)).items() if (t := of.get(w)) is not None})
+
+    def weigh(self, counts: dict[int, int]) -> dict[int, float]:
+        t, x = self._weigh(counts)
+        return dict(zip(t.tolist(), x.tolist(), strict=True))
 
-    def weigh(self, counts: Counter) -> dict[int, float]:
-        v = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: round(x / norm, 9) for t, x in v.items()} if norm else {}
+    def _weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        t, c = self.arrays(counts)
+        x = (1 + np.log(c)) * self.idf[t]
+        norm = math.sqrt(float((x * x).sum()))
+        return (t, np.round(x / norm, 9)) if norm else (t[:0], x[:0])
 
-    def nearest(self, v: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, v: Vector, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The k entries of largest cosine (cosine, entry); exact. An empty vector meets only its like."""
-        if not v:
-            return [(1.0, self.place[()])] if () in self.place else []
-        bound = sum(x * self.most[t] for t, x in v.items())
+        t, x = self.arrays(v)
+        if not len(t):
+            n = self.place.get(self.key((t, x)))
+            return [] if n is None else [(1.0, n)]
+        pairs, of = _spans(self.word_at[t], self.word_at[t + 1] - self.word_at[t])
+        block, x = self.pair_block[pairs], x[of]
+        bound = np.bincount(block, x * self.pair_most[pairs], -(-len(self.counts) // BLOCK))
+        order = np.argsort(-bound, kind="stable")
+        lo = self.pair_at[pairs]
+        size = self.pair_at[pairs + 1] - lo
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] <= best[-1][0]):
-                break
-            lo, hi = b * BLOCK, min(len(self.entries), (b + 1) * BLOCK)
-            score = np.zeros(hi - lo)
-            for t, x in v.items():
-                if self.most[t][b] and t in self.postings:
-                    at, w = self.postings[t]
-                    s, e = np.searchsorted(at, [lo, hi])
-                    score[at[s:e] - lo] += x * w[s:e]
-            best += [(float(score[i]), int(lo + i)) for i in np.flatnonzero(score) if lo + i != without]
-            best = sorted(best, key=lambda z: (-z[0], z[1]))[:k]
+        at, step = 0, 4
+        # a bound and a cosine may differ in rounding
+        while at < len(order) and bound[order[at]] > 0 and not (len(best) == k and bound[order[at]] < best[-1][0] - 1e-9):
+            now = np.zeros(len(order), bool)
+            now[order[at : at + step]] = True
+            mine = np.flatnonzero(now[block])
+            places, of = _spans(lo[mine], size[mine])
+            score = np.bincount(self.entry[places], x[mine][of] * self.weight[places], len(self.counts))
+            if 0 <= without < len(score):
+                score[without] = 0
+            found = np.flatnonzero(score)
+            if len(found) > k:
+                some = score[found]
+                found = found[some >= np.partition(some, -k)[-k]]
+            best = sorted([*best, *zip(score[found].tolist(), found.tolist(), strict=True)], key=lambda z: (-z[0], z[1]))[:k]
+            at, step = at + step, step * 4
         return best
 
-    def vote(self, v: dict[int, float], own: int | None = None) -> float:
+    def vote(self, v: Vector, own: int | None = None) -> float:
         """Distance-weighted share of label 1; ``own`` is a label to leave out at the vector's own entry."""
         up, down = PRIOR * self.prior, PRIOR
-        here = self.place.get(tuple(sorted(v.items())), -1)
+        here = self.place.get(self.key(self.arrays(v)), -1)
         for cosine, n in self.nearest(v):
             zero, one = self.counts[n]
             if own is not None and n == here:
@@ -115,7 +165,7 @@ class Index:
             down += w * (zero + one)
         return up / down
 
-    def calibrate(self, vectors: list[dict[int, float]], labels: np.ndarray) -> Index:
+    def calibrate(self, vectors: list[Vector], labels: np.ndarray) -> Index:
         p = np.clip(np.array([self.vote(v, int(y)) for v, y in zip(vectors, labels, strict=True)]), 1e-4, 1 - 1e-4)
         z, y = np.log(p / (1 - p)), np.asarray(labels, float)
         if 0 < y.sum() < len(y):
@@ -126,8 +176,8 @@ class Index:
         return self
 
     def score(self, text: str | None) -> float:
-        v = self.vector(text)
-        key = tuple(sorted(v.items()))
+        v = self._vector(text)
+        key = self.key(v)
         if key not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
@@ -137,7 +187,13 @@ class Index:
 
     def evidence(self, text: str | None, k: int = 3) -> list[tuple[float, float, float]]:
         """(cosine, examples of label 0, of label 1) of the nearest entries."""
-        return [(c, *self.counts[n].tolist()) for c, n in self.nearest(self.vector(text), k)]
+        return [(c, *self.counts[n].tolist()) for c, n in self.nearest(self._vector(text), k)]
+
+
+def _spans(lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges of ``size`` from ``lo``, and the range of each."""
+    of = np.repeat(np.arange(len(lo)), size)
+    return np.arange(len(of)) + np.repeat(lo - np.cumsum(size) + size, size), of
 
 
 def _copy_weights(bags: list) -> np.ndarray:
@@ -170,7 +226,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
-    """Choose examples and vocabulary, count frequencies over all documents, build the index."""
+    """Choose examples, weigh their words, count frequencies over all documents, build the index."""
     learn = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
     order = F.xxhash64("doc_id", F.lit("toxicity")), F.col("doc_id")
     picked = [learn.filter(F.col("y") == y).orderBy(*order).limit(EXAMPLES) for y in (0, 1)]
@@ -197,9 +253,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         under = (a + b) * (c + d) * total[0] * total[1]
         if under and a + b >= 3 and (x := n * float(a * d - b * c) ** 2 / float(under)) > bar:
             scored.append((-x, w))
-    vocabulary = [w for _, w in sorted(scored)[:WORDS]]
+    tested = [w for _, w in sorted(scored)]
+    vocabulary = tested + sorted(seen.keys() - set(tested))
+    known_words = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+
     def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = frozenset(vocabulary)
+        known = known_words.value
         count, docs_ = Counter(), 0
         for batch in batches:
             for t in batch["text"]:
@@ -208,9 +267,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         yield pd.DataFrame({"w": ["", *count], "c": [docs_, *count.values()]})
 
     df = {r[0]: r[1] for r in docs.select("text").mapInPandas(presence, "w string, c long").groupBy("w").agg(F.sum("c")).collect()}
-    idf = np.array([math.log(1 + df.get("", 0) / max(1, df.get(w, 0))) for w in vocabulary])
+    idf = np.array([math.log(1 + df.get("", 0) / max(1, df.get(w, 0))) for w in vocabulary]) * np.where(np.arange(len(vocabulary)) < len(tested), 1.0, LIGHT)
     blank = Index(vocabulary, idf, [], np.zeros(0))
-    vectors = [blank.weigh(Counter({blank.of[w]: int(c) for w, c in zip(ws, cs, strict=True) if w in blank.of})) for ws, cs in zip(rows["w"], rows["c"], strict=True)]
+    vectors = [blank._weigh({blank.of[w]: c for w, c in zip(ws, cs, strict=True)}) for ws, cs in zip(rows["w"], rows["c"], strict=True)]
+    del rows, seen, df, blank
     return Index(vocabulary, idf, vectors, y).calibrate(vectors, y)
 
 

@@ -169,6 +169,27 @@ def test_toxicity_held_out(spark):
     assert got[1000].predicted == got[1001].predicted == 0 and got[None].predicted == 1
 
 
+def test_toxicity_meets_copies_of_examples_by_any_word(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    rows = [(i, " ".join([*(word() for _ in range(30)), *["vile"] * (i % 5 == 0)])) for i in range(300)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(300)]
+    learned, held = (next(i for i in range(1000, 2000) if (zlib.crc32(str(i).encode()) % 3 == 1) == h) for h in (False, True))
+    text = "wörter die sonst nirgends stehen"
+    df = spark.createDataFrame([*rows, (learned, text), (held, text), (3000, "")], "doc_id long, text string")
+    tags = spark.createDataFrame([*labels, (learned, 1, 1)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(df, tags)
+    assert set(index.of) == {w for i, x in [*rows, (learned, text)] if zlib.crc32(str(i).encode()) % 3 != 1 for w in x.split()}
+    (cosine, zero, one), *_ = index.evidence(text)
+    assert abs(cosine - 1) < 1e-6 and (zero, one) == (0, 1)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, tags).collect()}
+    assert got[held] == got[learned] > 0.5 > got[3000]
+    for i, x in rows[:40]:
+        v = index.vector(x)
+        every = sorted((sum(a * dict(e).get(t, 0) for t, a in v.items()) for e in index.entries), reverse=True)
+        assert np.allclose([c for c, _ in index.nearest(v, 10)], every[:10], atol=1e-6), i
+
+
 def test_toxicity_without_labels_or_rows(spark, docs, rows, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score_toxicity(docs, empty).count() == len(rows)
