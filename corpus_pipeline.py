@@ -2,7 +2,8 @@
 
 Quality rules drop what they reject; the n-gram Jaccard join keeps one document of each group; secrets
 are replaced by a mark in the texts; sources are mixed to their target weights (rows repeat or go);
-the last stage encodes every text and returns its ids, with the columns of the documents but the text.
+the last stage encodes every text, decodes the ids, stops where they do not give back the text, and returns
+doc_id, the ids and their number.
 """
 
 from __future__ import annotations

@@ -155,6 +155,9 @@ class Encoder:
                     yield " ".join([x[0] for x in both]), b"".join([x[1] for x in both])
                 chunk, chars = [], 0
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
+
 
 def _over(docs: DataFrame, path: str, pattern: str | None, schema: str, rows) -> DataFrame:
     if pattern is None:
@@ -172,14 +175,14 @@ def _over(docs: DataFrame, path: str, pattern: str | None, schema: str, rows) ->
             for k, text in enumerate(texts):  # results leave the worker chunk by chunk
                 chars += len(text)
                 if chars >= CHUNK or k + 1 == len(texts):
-                    yield rows(ids[at : k + 1], encoder.encode(texts[at : k + 1]))
+                    yield rows(ids[at : k + 1], encoder, texts[at : k + 1])
                     at, chars = k + 1, 0
 
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
-def _digest_rows(ids: pd.Series, encoded: Iterator[tuple[str, bytes]]) -> pd.DataFrame:
-    out = [(s.count(" ") + 1 if s else 0, hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(b).hexdigest()) for s, b in encoded]
+def _digest_rows(ids: pd.Series, encoder: Encoder, texts: list[str]) -> pd.DataFrame:
+    out = [(s.count(" ") + 1 if s else 0, hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(b).hexdigest()) for s, b in encoder.encode(texts)]
     return pd.DataFrame({"doc_id": ids.values, "n_tokens": [x[0] for x in out], "ids_sha256": [x[1] for x in out], "decoded_sha256": [x[2] for x in out]})
 
 
@@ -188,12 +191,21 @@ def _numbers(ids: str) -> np.ndarray:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str | None = None, decoded: bool = True) -> DataFrame:
-    """(doc_id, ids array<int>) for every whole text, and what the ids decode to unless it is not wanted."""
+    """(doc_id, ids array<int>) for every whole text, and what the ids decode to.
+
+    Without ``decoded`` the ids are decoded in their task all the same and held against the text, byte by
+    byte; a text that they do not give back stops the job.
+    """
 
-    def rows(ids: pd.Series, encoded: Iterator[tuple[str, bytes]]) -> pd.DataFrame:
-        out = [(_numbers(s), b.decode("utf-8", "replace") if decoded else None) for s, b in encoded]
+    def rows(ids: pd.Series, encoder: Encoder, texts: list[str]) -> pd.DataFrame:
+        out = [(_numbers(s), b.decode("utf-8", "replace") if decoded else None) for s, b in encoder.encode(texts)]
         found = {"doc_id": ids.values, "ids": [x[0] for x in out]}
-        return pd.DataFrame(found | ({"decoded": [x[1] for x in out]} if decoded else {}))
+        if decoded:
+            return pd.DataFrame(found | {"decoded": [x[1] for x in out]})
+        for doc_id, (numbers, _), text in zip(ids, out, texts, strict=True):
+            if encoder.decode(numbers) != text.encode():
+                raise ValueError(f"the ids of document {doc_id} do not decode to its text")
+        return pd.DataFrame(found)
 
     return _over(docs, path, pattern, "doc_id long, ids array<int>" + ", decoded string" * decoded, rows)
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from paritas.llm import bpe, mixing, secrets, tokens
 from paritas.llm.queries import vocabulary
 
@@ -40,6 +41,19 @@ def test_bpe_odd_characters_round_trip(spark, encoding):
         assert list(r.ids) == encoding.encode_ordinary(texts[r.doc_id])
 
 
+def test_encoding_stage_decodes_its_ids(spark, docs, monkeypatch):
+    assert corpus_pipeline.encoding_stage(spark, docs, "").count() == docs.count()
+    encode = bpe.Encoder.encode
+
+    def short(self, texts):
+        for ids, decoded in encode(self, texts):
+            yield ids.rpartition(" ")[0], decoded
+
+    monkeypatch.setattr(bpe.Encoder, "encode", short)
+    with pytest.raises(Exception, match="do not decode to its text"):
+        corpus_pipeline.encoding_stage(spark, docs, "").collect()
+
+
 def test_targets_reshare_the_excess(spark):
     sizes = {"a": 10, "b": 1000, "c": 50, "d": 0, None: 40}
     df = spark.createDataFrame(list(sizes.items()), "source string, size long")
