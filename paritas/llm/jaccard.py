@@ -81,10 +81,14 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def set_key(u: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(u.tobytes())
+
+
 def make_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
@@ -92,7 +96,7 @@ def make_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].astype("Int64").values,
-                        "key": [xxhash.xxh3_128_digest(u.tobytes()) for u in sets],
+                        "key": [set_key(u) for u in sets],
                         "n": [len(u) for u in sets],
                         "data": [pack(u) for u in sets],
                     }
@@ -310,6 +314,11 @@ def _merged(clusters: DataFrame, upper: DataFrame) -> DataFrame:
 
 def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document."""
+    return _grouped(docs, words).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, key, n, top, component_id) for every document: its set, and the set that names its component."""
     col = F.col
     sets = make_sets(docs, words)
     full = sets.filter("n > 0")
@@ -344,23 +353,34 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     rows = _roots(_roots(sets.select("doc_id", "key", "n"), clusters, "key", "root"), upper, "root", "top")
     first = rows.filter("n > 0").groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    named = rows.filter("n > 0").join(first, "top").select("doc_id", col("n").alias("n_shingles"), "component_id")
-    return named.unionByName(rows.filter("n = 0").select("doc_id", col("n").alias("n_shingles"), col("doc_id").alias("component_id")))
+    named = rows.filter("n > 0").join(first, "top").select("doc_id", "key", "n", "top", "component_id")
+    return named.unionByName(rows.filter("n = 0").select("doc_id", "key", "n", "top", col("doc_id").alias("component_id")))
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one whose id is the component's.
 
-    Rows that repeat both id and text stay once. Rows without an id stay unless their component has one.
+    Rows that repeat both id and text stay once. Rows of one id with different texts are told apart by
+    their sets; of those in one component the least text stays. Rows without an id stay unless their
+    component has one.
     """
-    found = checkpoint(similar_documents(docs))
-    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    twice = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id"))
-    if not twice.isEmpty():  # only then is a text looked at twice
-        again = F.col("doc_id").eqNullSafe(F.col("__id"))
-        kept = kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = checkpoint(_grouped(docs))
+    again = F.col("doc_id").eqNullSafe(F.col("__id"))
+    goes = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.filter(goes).select(F.col("doc_id").alias("__id")).distinct()
+    twice = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id"))
+    if twice.isEmpty():
+        return docs.join(gone, again, "left_anti")
+    # only then is a text looked at twice
+    once = docs.join(twice, again, "left_anti").join(gone, again, "left_anti")
+    places = found.join(twice, again, "left_semi").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("top").alias("__top"), ((F.col("n") == 0) | F.col("component_id").isNull()).alias("__alone"), goes.alias("__goes")).distinct()
+    keys = F.pandas_udf(lambda texts: pd.Series([set_key(shingles(t)) for t in texts]), "binary")
+    rows = docs.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("__own", keys("text"))
+    placed = rows.join(places, again & (F.col("__own") == F.col("__key"))).filter("NOT __goes")
+    least = F.row_number().over(Window.partitionBy("__top").orderBy("text"))
+    left = placed.filter("__alone").unionByName(placed.filter("NOT __alone").withColumn("__row", least).filter("__row = 1").drop("__row"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return once.unionByName(left.select(*columns)).select(*columns)
 
 
 by_value(__name__)

@@ -84,6 +84,16 @@ def test_one_document_stays(docs, rows):
     assert ids == Counter({d: 1 for d, c in by.items() if c == d or c is None})
 
 
+def test_one_document_stays_where_ids_repeat(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    near = lambda t: t + " more"
+    rows = [(7, a), (9, near(a)), (3, b), (7, near(b)), (5, c), (5, near(c)), (8, c), (5, ""), (4, d), (None, near(d)), (None, "one of its own"), (7, a)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    kept = jaccard.one_per_group(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(7, a), (3, b), (5, c), (5, ""), (4, d), (None, "one of its own")])
+
+
 def test_pack_round_trip():
     u = np.unique(np.random.default_rng(0).integers(0, 2**64, 500, dtype=np.uint64))
     assert (jaccard.unpack(jaccard.pack(u)) == u >> np.uint64(16)).all()
