@@ -1,50 +1,57 @@
 """N-gram Jaccard join with set-relation skipping.
 
-Sets of hashed word shingles are made once and written to the shared folder; equal sets share a digest
-and are one node from then on. The join is exact: a prefix filter finds every pair that can reach the
-threshold, and each pair is verified on the sets themselves. Two relations between sets save the work
-that groups of copies would cause:
-
-* answers: sets are first verified against one highly similar set, the hub of a token list that they
-  share most tokens with. Sets linked so form clusters, and within a cluster no further pair has to be
-  found: a member's component is derived from the set that it was compared with.
-* index: tokens whose lists hold the same sets are one list with a multiplicity. A long list is skipped
-  as a whole when all its sets lie in one cluster; otherwise pairs of compatible sizes across clusters
-  are drawn. Sets that link with no hub are so paired with all of their lists: with many of them the
-  pairs grow faster than the input.
-
-Tokens are ordered by frequency (those that a batch repeats; a bounded table that only affects speed)
-and then by hash, so passages that many documents share come last and are not in prefixes. A pair is
-verified only if the tokens its prefixes share leave room for the threshold (see ``_room``), and pairs
-of long lists are drawn only if the most that either set shares with any other leaves room.
-
-Shuffled are prefix tokens (8 bytes each with their row), digests, and the sets of documents that have a partner. The
-sets are never shuffled as a whole: a bitmap of fixed size picks those that take part.
-
-Defined cases: null and empty texts have empty sets, link with nothing and are their own component;
-with fewer than five words the whole sequence is the one shingle; null ids take part, and a
-component's id is the smallest id that is not null (null if there is none); repeated rows are equal
-sets; an empty table gives an empty table; other columns are not touched.
+A document's set is its 64-bit shingle hashes. Equal sets share a digest and are one node from then on.
+The join is exact: a prefix filter finds every pair that can reach the threshold, bounds on sizes and
+positions skip most of them, and the rest is decided on whole sets.
+
+1. Counting. Tasks cut their rows into slices, reduce copies to distinct sets and deal their tokens by
+   hash into buckets (packed arrays, each token once a slice). A bucket counts its tokens and sends
+   those that occur twice or more back to their slices. So tokens are ordered by the frequency that they
+   have in the whole table, and a set knows how many of its tokens (``own``) no other set holds.
+2. Prefixes. Two sets can only link if their prefixes in that order share a token. Passages that many
+   documents share are frequent, come last and are in few prefixes; most sets have none and are done.
+3. Index. Lists of equal members are one list with a multiplicity. ``own`` and the size give each set
+   the range of sizes that a partner can have (``most``); lists are cut into blocks by cluster, with the
+   extremes of size, ``most``, position and distance, and whole blocks are skipped by them.
+4. Answers. In each list sets are compared with a leader, the set with the fewest tokens of its own, and
+   sets linked so form clusters; within a cluster no further pair has to be found. For what is left, a
+   set's distance to the leader of another cluster is computed once; by the triangle inequality it tells
+   the answers of the members that are highly similar to that leader (all linked, or none). Only those
+   that it leaves open are compared on their own sets.
+
+Nothing is gathered by list: leaders are minima, and the joins by list have a small side or few rows.
+The sets themselves are made again, for those documents only that share a list with others; a bitmap
+sized by their number (broadcast up to ``MOST_BITS``; beyond it a join) picks them from the table.
+
+Rows should come from files or a checkpoint, so that a lost task reads the same rows again. Defined
+cases: null and empty texts have empty sets, link with nothing and are their own component; with fewer
+than five words the whole sequence is the one shingle; null ids take part, and a component's id is the
+smallest id that is not null (null if there is none); repeated rows are equal sets; texts of any length
+are taken whole; ties of size or frequency go by hash; an empty table gives an empty table; other
+columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paritas.llm.components import components, forest_roots
-from paritas.llm.shared import arrow_rows, by_value, checkpoint, written
+from paritas.llm.shared import arrow_rows, by_value, checkpoint, free_name, may_hold, written
 
 WORDS, NUM, DEN = 5, 75, 100  # shingle length; a link needs DEN * intersection >= NUM * union
-SHORT_LIST, FREQUENT, TABLE = 4, 8, 50_000
-PER_BUCKET, SLICE, BITS = 1_000_000, 800_000, 24
+SLICE, SLICE_ROWS = 800_000, 60_000  # tokens and sets of a slice
+BUCKET_BYTES = 12_000_000  # of text, for each bucket of tokens
 ROWS = 1000  # per Arrow batch
-STEPS = 2  # of comparing with hubs
-_SETS = "doc_id long, key binary, n long, data binary"
+STEPS = 3  # of comparing with leaders
+MOST_BITS = 1 << 27  # 16 MB
+_ROWS = "doc_id long, th long, key binary, n long, own long, last long, prefix array<long>"
+_BLOBS = "bucket long, slice long, tokens binary, rows binary, classes binary"
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -69,183 +76,166 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(s)
 
 
-def pack(u: np.ndarray) -> bytes:
-    """The top 48 bits of sorted hashes by byte planes (high planes of a sorted set compress well)."""
-    return np.ascontiguousarray(np.unique(u >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :6] = planes.T
-    return out.view("<u8").ravel()
-
-
 def set_key(u: np.ndarray) -> bytes:
     import xxhash
 
     return xxhash.xxh3_128_digest(u.tobytes())
 
 
-def make_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                sets = [shingles(t, words) for t in part["text"]]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].astype("Int64").values,
-                        "key": [set_key(u) for u in sets],
-                        "n": [len(u) for u in sets],
-                        "data": [pack(u) for u in sets],
-                    }
-                )
-
-    with arrow_rows(docs.sparkSession, ROWS):
-        return written(docs.select("doc_id", "text").mapInPandas(run, _SETS), "sets")
-
-
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Rows with their tokens joined, and each token's row, in slices of bounded size."""
-    for batch in batches:
-        at = 0
-        sizes = batch["data"].map(len).to_numpy() // 6
-        while at < len(batch):
-            end = min(at + 60_000, max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE)) + at))
-            part = batch.iloc[at:end]
-            yield part, np.concatenate([unpack(x) for x in part["data"]]), np.repeat(np.arange(len(part)), sizes[at:end])
-            at = end
-
-
-def frequent_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that a batch holds three times or more, with their counts; at most TABLE of them."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, tokens, _ in _slices(batches):
-            token, count = np.unique(tokens, return_counts=True)
-            many = count >= 3
-            yield pd.DataFrame({"t": token[many].astype(np.int64), "c": count[many]})
+def prefix_size(n):
+    return n - -(-NUM * n // DEN) + 1
 
-    found = sets.filter("n > 0").select("data").mapInPandas(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
-    with arrow_rows(sets.sparkSession, 4 * ROWS):
-        top = found.filter(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "t").limit(TABLE).toPandas().sort_values("t")
-    return top["t"].to_numpy(np.uint64), top["c"].to_numpy(np.int64)
 
+# -- counting ---------------------------------------------------------------------------------------
+
+
+def _slice_blobs(number: int, buckets: int, sets: dict[bytes, np.ndarray], rows: list[tuple]) -> list[tuple]:
+    """A slice's tokens by bucket, and its rows with what the tokens' buckets need not see."""
+    sizes = np.array([len(u) for u in sets.values()], np.int64)
+    tokens = np.concatenate([np.zeros(0, np.uint64), *sets.values()])
+    row = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, row = tokens[order], row[order]
+    first = np.r_[True, tokens[1:] != tokens[:-1]][: len(tokens)]
+    again = np.flatnonzero(~first)  # a token goes to its bucket once; further rows that hold it stay with the slice
+    several = np.zeros(len(tokens), bool)
+    several[again - 1] = True
+    extra = (tokens[again], row[again])
+    tokens, row, several = tokens[first], row[first], several[first]
+    bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    tokens, row, several = ((tokens // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype("<u4")[order], row[order], several[order]
+    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+    out = []
+    for b in range(buckets):
+        lo, hi = (int(ends[b - 1]) if b else 0), int(ends[b])
+        if hi > lo:
+            out.append((b, number, tokens[lo:hi].tobytes(), row[lo:hi].tobytes(), np.packbits(several[lo:hi]).tobytes()))
+    held = pickle.dumps((list(sets), sizes, rows, extra, buckets))
+    return [*out, (number % buckets, number, held, None, None)]
+
+
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _count_bucket(table: pa.Table) -> pa.Table:
+    """Of each blob the tokens that the bucket holds twice or more, with a class of their frequency."""
+    slices, tokens, rows, several = (table.column(c).to_pylist() for c in ("slice", "tokens", "rows", "classes"))
+    bucket = table.column("bucket")[0].as_py()
+    mine = [i for i, r in enumerate(rows) if r is not None]
+    out = [(bucket, slices[i], tokens[i], None, None) for i, r in enumerate(rows) if r is None]
+    if mine:
+        t = np.concatenate([np.frombuffer(tokens[i], "<u4") for i in mine])
+        sizes = [len(tokens[i]) // 4 for i in mine]
+        here = 1 + np.concatenate([np.unpackbits(np.frombuffer(several[i], np.uint8), count=n) for i, n in zip(mine, sizes, strict=True)]).astype(np.int64)
+        known, at = np.unique(t, return_inverse=True)
+        count = np.bincount(at, here)[at]
+        kind = np.minimum(127, np.floor(4 * np.log2(count))).astype(np.uint8)
+        end = 0
+        for i, n in zip(mine, sizes, strict=True):
+            part = slice(end, end + n)
+            end += n
+            often = count[part] >= 2
+            if often.any():
+                out.append((bucket, slices[i], t[part][often].tobytes(), np.frombuffer(rows[i], "<u2")[often].tobytes(), kind[part][often].tobytes()))
+    return pa.Table.from_batches([_arrow(out, table.schema)], table.schema)
+
+
+def _code(bucket, token) -> np.ndarray:
+    """A token's name: its bucket and 32 bits of the rest of its hash. Two tokens of one name only cost time."""
+    return (np.asarray(bucket).astype(np.int64) << 32) | np.asarray(token).astype(np.int64)
+
+
+def _prefixes(table: pa.Table) -> pa.Table:
+    """A slice's rows with the shared tokens of their prefixes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("own", pa.int64()), ("last", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    buckets, tokens, rows, kinds = (table.column(c).to_pylist() for c in ("bucket", "tokens", "rows", "classes"))
+    held = next(tokens[i] for i, r in enumerate(rows) if r is None)
+    keys, n, docs, (more, more_row), number = pickle.loads(held)
+    mine = [i for i, r in enumerate(rows) if r is not None]
+    code = np.concatenate([np.zeros(0, np.int64), *(_code(buckets[i], np.frombuffer(tokens[i], "<u4")) for i in mine)])
+    row = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(rows[i], "<u2").astype(np.int64) for i in mine)])
+    kind = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(kinds[i], np.uint8).astype(np.int64) for i in mine)])
+    if len(more):
+        extra = _code(more % np.uint64(number), (more // np.uint64(number)) & np.uint64(0xFFFFFFFF))
+        by = np.argsort(code, kind="stable")
+        at = by[np.minimum(np.searchsorted(code, extra, sorter=by), len(code) - 1)]
+        code, row, kind = np.r_[code, extra], np.r_[row, more_row.astype(np.int64)], np.r_[kind, kind[at]]
+    place = kind << 56 | code
+    order = np.lexsort((place, row))
+    place, code, row = place[order], code[order], row[order]
+    have = np.bincount(row, minlength=len(n))
+    own = n - have
+    at = np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)
+    want = np.maximum(0, prefix_size(n) - own)
+    inside = at < want[row]
+    # tokens of one name at the end of a prefix go in together
+    last = np.full(len(n), -1, np.int64)
+    np.maximum.at(last, row[inside], place[inside])
+    inside |= place == last[row]
+    inside[1:] &= (place[1:] != place[:-1]) | (row[1:] != row[:-1])  # each name once
+    code, row = code[inside], row[inside]
+    ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(n)))]
+    of = np.array([d[2] for d in docs], np.int64)
+    lists = [code[ends[s] : ends[s + 1]] for s in of.tolist()]
+    offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
+    columns = [
+        pa.array([d[0] for d in docs], pa.int64()),
+        pa.array([d[1] for d in docs], pa.int64()),
+        pa.array([keys[s] for s in of.tolist()], pa.binary()),
+        pa.array(n[of], pa.int64()),
+        pa.array(own[of], pa.int64()),
+        pa.array(last[of], pa.int64()),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *lists]))),
+    ]
+    return pa.Table.from_arrays(columns, schema=schema)
+
+
+def make_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Every document with its set's digest, size, own tokens and the shared tokens of its prefix."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(12, size // BUCKET_BYTES + 1)
+    schema = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("tokens", pa.binary()), ("rows", pa.binary()), ("classes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        sets, place, out, have = {}, {}, [], 0
+        for batch in batches:
+            for doc, text, th in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "th")), strict=True):
+                u = shingles(text, words)
+                key = set_key(u)
+                if key not in sets:
+                    place[key] = len(sets)
+                    sets[key] = u
+                    have += len(u)
+                out.append((doc, th, place[key]))
+                if have >= SLICE or len(sets) >= SLICE_ROWS or len(out) >= 4 * SLICE_ROWS:
+                    yield _arrow(_slice_blobs(number, buckets, sets, out), schema)
+                    number, sets, place, out, have = number + 1, {}, {}, [], 0
+        if out:
+            yield _arrow(_slice_blobs(number, buckets, sets, out), schema)
 
-def prefix_size(n):
-    return n - -(-NUM * n // DEN) + 1
+    with arrow_rows(docs.sparkSession, ROWS):
+        counted = rows.mapInArrow(run, _BLOBS).groupBy("bucket").applyInArrow(_count_bucket, _BLOBS)
+        return written(counted.groupBy("slice").applyInArrow(_prefixes, _ROWS), "sets")
 
 
-def prefix_blobs(sets: DataFrame, table: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """Prefix tokens of all sets, dealt by token into buckets: one row of packed arrays per batch and bucket."""
-    sent = sets.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = sent.value
-        for part, tokens, row in _slices(batches):
-            often = np.zeros(len(tokens), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                often = np.where(known[at] == tokens, np.minimum(counts[at], 32767), 0)
-            order = np.lexsort((tokens, often, row))
-            n = part["n"].to_numpy(np.int64)
-            have = np.bincount(row, minlength=len(part))
-            first = np.concatenate([[0], np.cumsum(have)[:-1]])
-            place = np.arange(len(tokens)) - np.repeat(first, have)
-            order = order[place < prefix_size(have)[row]]  # rows are contiguous, so places follow the order
-            last = np.zeros(len(part), np.int64)  # the place of a prefix's last token in the order of tokens
-            last[row[order]] = often[order] << 48 | tokens[order].astype(np.int64)
-            tokens, row = tokens[order], row[order]
-            bucket = (tokens % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-            keys = np.array(part["key"].tolist(), dtype="V16")
-            out = []
-            for b in range(buckets):
-                o = order[(ends[b - 1] if b else 0) : ends[b]]
-                if len(o):
-                    used, local = np.unique(row[o], return_inverse=True)
-                    t = tokens[o] // np.uint64(buckets)
-                    out.append((b, t.astype("<u4").tobytes() + (t >> np.uint64(32)).astype("<u2").tobytes(), local.astype("<u2").tobytes(), keys[used].tobytes(), n[used].astype("<u4").tobytes(), last[used].tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "tokens", "rows", "keys", "sizes", "lasts"])
-
-    return sets.filter("n > 0").select("key", "n", "data").mapInPandas(run, "bucket long, tokens binary, rows binary, keys binary, sizes binary, lasts binary")
-
-
-def _lists(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket's lists: counted pairs of short ones, and members of long ones, equal lists once."""
-    tokens = np.concatenate([np.frombuffer(x, "<u4", len(x) // 6).astype(np.uint64) | np.frombuffer(x, "<u2", offset=len(x) // 6 * 4).astype(np.uint64) << np.uint64(32) for x in rows["tokens"]])
-    keys = np.concatenate([np.frombuffer(x, "V16") for x in rows["keys"]])
-    sizes = np.concatenate([np.frombuffer(x, "<u4") for x in rows["sizes"]]).astype(np.int64)
-    lasts = np.concatenate([np.frombuffer(x, "<i8") for x in rows["lasts"]])
-    shift = np.concatenate([[0], np.cumsum([len(x) // 16 for x in rows["keys"]])[:-1]])
-    node = np.concatenate([np.frombuffer(x, "<u2").astype(np.int64) + s for x, s in zip(rows["rows"], shift, strict=True)])
-    # equal sets of different batches are one node
-    halves = keys.view(">u8").reshape(-1, 2)
-    order = np.lexsort((halves[:, 1], halves[:, 0]))
-    new = np.ones(len(order), bool)
-    new[1:] = (halves[order][1:] != halves[order][:-1]).any(1)
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    keys, sizes, lasts, node = keys[order][new], sizes[order][new], lasts[order][new], of[node]
-    order = np.lexsort((node, tokens))
-    tokens, node = tokens[order], node[order]
-    once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])])
-    tokens, node = tokens[once], node[once]
-    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    lengths = np.diff(np.concatenate([starts, [len(tokens)]]))
-    left, right = [], []
-    for k in range(2, SHORT_LIST + 1):
-        s = starts[lengths == k]
-        for i in range(k):
-            for j in range(i + 1, k):
-                left.append(node[s + i])
-                right.append(node[s + j])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    fits = DEN * np.minimum(sizes[a], sizes[b]) >= NUM * np.maximum(sizes[a], sizes[b])
-    both, count = np.unique(a[fits] << 32 | b[fits], return_counts=True)
-    a, b = both >> 32, both & 0xFFFFFFFF
-    out = [pd.DataFrame({"list": None, "a": [x.tobytes() for x in keys[a]], "na": sizes[a], "la": lasts[a], "b": [x.tobytes() for x in keys[b]], "nb": sizes[b], "lb": lasts[b], "c": count})]
-    same: dict[bytes, list] = {}
-    for s, k in zip(starts[lengths > SHORT_LIST], lengths[lengths > SHORT_LIST], strict=True):
-        members = node[s : s + k]
-        same.setdefault(members.tobytes(), [members, 0])[1] += 1
-    import xxhash
+# -- index and answers ------------------------------------------------------------------------------
 
-    for members, count in same.values():
-        name = xxhash.xxh3_128_digest(keys[members].tobytes())
-        out.append(pd.DataFrame({"list": name, "a": [x.tobytes() for x in keys[members]], "na": sizes[members], "la": lasts[members], "b": None, "nb": 0, "lb": 0, "c": count}))
-    return pd.concat(out) if len(out) > 1 else out[0]
-
-
-def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, decided on the whole sets."""
-    # A bitmap of fixed size picks the sets that take part, so that the others are not shuffled.
-    place = F.pmod(F.xxhash64("key"), F.lit(1 << BITS))
-    part = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    bits = part.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    bits = F.broadcast(checkpoint(bits))  # at most 2^BITS bits: 2 MB
-    byte = F.conv(F.hex(F.substring("bits", (F.bitmap_bit_position("p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = sets.withColumn("p", place).withColumn("bucket", F.bitmap_bucket_number("p")).join(bits, "bucket")
-    bit = F.expr("bitmap_bit_position(p) % 8").cast("int")
-    there = there.withColumn("byte", byte).filter(F.getbit(F.col("byte"), bit) == 1).select("key", "data")
-    fat = there.groupBy("key").agg(F.first("data").alias("data"))
-    left = fat.select(F.col("key").alias("a"), F.col("data").alias("da"))
-    right = fat.select(F.col("key").alias("b"), F.col("data").alias("db"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["da"], batch["db"], strict=True):
-                u, v = unpack(x), unpack(y)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(DEN * both >= NUM * (len(u) + len(v) - both))
-            yield batch.loc[keep, ["a", "b"]]
 
-    with arrow_rows(sets.sparkSession, ROWS):
-        return checkpoint(joined.mapInPandas(run, "a binary, b binary"))
+def _lists(nodes: DataFrame) -> DataFrame:
+    """(list, m, key, n, own, last, most): members of lists of two sets or more, equal lists once."""
+    entries = nodes.select(F.explode("prefix").alias("list"), "key", "n", "own", "last")
+    h = [F.xxhash64("key", F.lit(i)) for i in range(2)]
+    alike = entries.groupBy("list").agg(F.count("*").alias("k"), *[F.bit_xor(x).alias(f"h{i}") for i, x in enumerate(h)]).filter("k > 1")
+    once = alike.groupBy("k", "h0", "h1").agg(F.min("list").alias("list"), F.count("*").alias("m")).select("list", "m")
+    # the largest partner: an intersection of n - own at most is NUM / (NUM + DEN) of both sizes
+    most = F.floor(F.least(DEN * F.col("n") / NUM, (NUM + DEN) * (F.col("n") - F.col("own")) / NUM - F.col("n"))).cast("long")
+    return checkpoint(entries.join(once, "list").withColumn("most", most))
 
 
 def _roots(df: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
@@ -263,53 +253,155 @@ def _room(c, na, la, nb, lb):
     return (NUM + DEN) * (c + behind) >= NUM * (na + nb)
 
 
-def _may_link():
-    """Whether sets x and y of different clusters can reach the threshold, by what each may share at most."""
+def _fits(x: str, y: str) -> Column:
+    """Whether the sets' sizes lie in each other's ranges, and their clusters differ."""
     col = F.col
-    fits = (DEN * col("nx") >= NUM * col("ny")) & (DEN * col("ny") >= NUM * col("nx")) & (col("rootx") != col("rooty"))
-    return fits & _room(F.least("mlx", "mly") + F.least("msx", "msy"), col("nx"), col("lx"), col("ny"), col("ly"))
+    return (col(f"n{x}") <= col(f"most{y}")) & (col(f"n{y}") <= col(f"most{x}")) & (col(f"root{x}") != col(f"root{y}"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members that can still link in their list: lists of one cluster go, and sets that are too small or large for it."""
+    by = members.groupBy("list").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("n").alias("least"), F.max("most").alias("top"))
+    left = members.join(checkpoint(by.filter("r <> s")), "list").filter("most >= least AND n <= top").drop("r", "s", "least", "top")
+    return checkpoint(left)
+
+
+_COLUMNS = ("key", "n", "last", "root", "most", "own")
+
+
+def _as(members: DataFrame, s: str, *more: str) -> DataFrame:
+    return members.select("list", *more, *[F.col(c).alias(c + s) for c in _COLUMNS])
+
 
+def _pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
+    """(a, na, la, b, nb, lb, c): pairs with the number of prefix tokens that they share."""
+    by = [F.col(f"{c}{s}").alias(f"{d}{t}") for s, t in ((x, "a"), (y, "b")) for c, d in (("key", ""), ("n", "n"), ("last", "l"))]
+    return joined.groupBy(*by).agg(F.sum("m").alias("c"))
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members of the lists that hold sets of several clusters; the others are skipped as a whole."""
-    several = members.groupBy("list").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("list")
-    return checkpoint(members.join(several, "list"))
 
+def _merged(clusters: DataFrame, upper: DataFrame) -> DataFrame:
+    """(node, root) after roots got roots of their own."""
+    up = upper.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = clusters.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return checkpoint(moved.unionByName(upper.filter("node <> root").join(clusters.select("node"), "node", "left_anti")))
+
+
+def _above(links: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Clusters of clusters, from links between their members."""
+    over = _roots(_roots(links.select("a", "b"), clusters, "a", "ra"), clusters, "b", "rb").filter("ra <> rb")
+    return components(over.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+
+
+def sets_of(docs: DataFrame, need: DataFrame, words: int = WORDS) -> DataFrame:
+    """(key, data) for the sets of ``need`` (th): made again from their texts."""
+    rows, _ = may_hold(docs.select("text", F.xxhash64("text").alias("th")), "th", need, MOST_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            th, text = (batch.column(c).to_pylist() for c in ("th", "text"))
+            new = [i for i, t in enumerate(th) if t not in done and not done.add(t)]
+            if len(done) > 1_000_000:
+                done.clear()
+            sets = [shingles(text[i], words) for i in new]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(u) for u in sets], pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["key", "data"])
+
+    with arrow_rows(docs.sparkSession, ROWS):
+        return written(rows.mapInArrow(run, "key binary, data binary").groupBy("key").agg(F.first("data").alias("data")), "data")
+
+
+def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, both): the size of the intersection of each pair, on the whole sets."""
+    joined = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("data").alias("da")), "a")
+    joined = joined.join(sets.select(F.col("key").alias("b"), F.col("data").alias("db")), "b")
 
-def _through_hubs(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clusters, and the mixed lists that are left, after comparing sets with the hubs of their lists.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = []
+            for x, y in zip(batch.column("da"), batch.column("db"), strict=True):
+                u, v = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
+                u, v = (u, v) if len(u) <= len(v) else (v, u)
+                both.append(int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(u) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64())], names=["a", "b", "both"])
+
+    with arrow_rows(sets.sparkSession, ROWS):
+        return checkpoint(joined.mapInArrow(run, "a binary, b binary, both long"))
+
+
+def _linked(both: Column, na: Column, nb: Column) -> Column:
+    return (NUM + DEN) * both >= NUM * (na + nb)
+
+
+def _leaders(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clusters, their members' distances to their leaders, and the members that are still open.
 
-    The less a copy was edited, the fewer rare tokens it has of its own, so the more of its prefix lies
-    in long lists: such sets are hubs, to which most of a group's copies are similar. First each set is
-    compared with one hub that comes before it in one order of all sets, so links are a forest. Later
-    steps take further hubs for the sets that are still in other clusters. Steps decide speed, not
-    results: all pairs that are then in different clusters are drawn by the caller.
+    A list's leader is its set with the smallest share of own tokens: the less a copy was edited, the
+    fewer tokens it has that no other copy holds, and the more copies are similar to it. First each set
+    is compared with one leader that comes before it in one order of all sets, so links are a forest;
+    later steps take the next leaders of lists that still hold several clusters. Steps decide speed, not
+    results: all pairs of different clusters that are then open are looked at by the caller.
     """
-    col, clusters = F.col, None
-    for step in range(STEPS):
-        named = lambda s: [col(c).alias(c + s) for c in ("key", "n", "l", "root", "ml", "ms", "rank")]
-        hubs = members.filter(col("rank").between(1 << step, (2 << step) - 1)).select("list", *named("y"))
-        pairs = members.select("list", "c", *named("x")).join(hubs, "list").filter(_may_link() & (col("ranky") < col("rankx")))
-        pairs = pairs.groupBy(col("keyx").alias("a"), col("keyy").alias("b")).agg(F.sum("c").alias("c"))
-        best = pairs.groupBy("a").agg(F.min(F.struct((-col("c")).alias("c"), "b"))["b"].alias("b"))
-        links = verify(sets, checkpoint(best))
+    col, clusters, near = F.col, None, None
+    order = F.struct((col("own") * 10_000 / col("n")).cast("long").alias("share"), col("key").alias("key"))
+    members = members.withColumn("order", order).withColumn("root", col("key"))
+    members = checkpoint(members)
+    used = None
+    for _ in range(STEPS):
+        rest = members if used is None else members.join(used, "list", "left").filter("used IS NULL OR order > used").drop("used")
+        first = rest.groupBy("list").agg(F.min(F.struct("order", *_COLUMNS)).alias("f"))
+        lead = checkpoint(first.select("list", col("f.order").alias("ordery"), *[col(f"f.{c}").alias(f"{c}y") for c in _COLUMNS]))
+        joined = _as(members, "x", "m", "order").join(lead, "list").filter(_fits("x", "y") & (col("ordery") < col("order")))
+        pairs = _pairs(joined, "x", "y")
+        best = pairs.groupBy("a").agg(F.max(F.struct("c", "na", "la", "b", "nb", "lb")).alias("p")).select("a", "p.*")
+        best = checkpoint(best.select("a", "na", "b", "nb"))
+        links = overlaps(sets, best).join(best, ["a", "b"]).filter(_linked(col("both"), col("na"), col("nb")))
+        links = checkpoint(links.select("a", "b", (col("na") + col("nb") - 2 * col("both")).alias("apart")))
         if clusters is None:
+            near = links
             upper = clusters = forest_roots(links.select(col("a").alias("node"), col("b").alias("parent")))
         elif links.isEmpty():
             break
         else:
-            over = _roots(_roots(links, clusters, "a", "ra"), clusters, "b", "rb")
-            upper = components(over.select(col("ra").alias("a"), col("rb").alias("b")))
-            clusters = checkpoint(_merged(clusters, upper))
-        members = _mixed(_roots(members, upper, "root", "top").drop("root").withColumnRenamed("top", "root"))
-    return clusters, members
+            upper = _above(links, clusters)
+            clusters = _merged(clusters, upper)
+        members = _open(_roots(members, upper, "root", "top").drop("root").withColumnRenamed("top", "root"))
+        used = lead.select("list", col("ordery").alias("used"))
+    return clusters, near, members
 
 
-def _merged(clusters: DataFrame, upper: DataFrame) -> DataFrame:
-    """(node, root) after roots got roots of their own."""
-    up = upper.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    moved = clusters.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return moved.unionByName(upper.filter("node <> root").join(clusters.select("node"), "node", "left_anti"))
+def _blocks(members: DataFrame, near: DataFrame) -> DataFrame:
+    """Members that a block of another cluster in their list may link with, with their leader and distance to it."""
+    leader = near.select(F.col("a").alias("key"), F.col("b").alias("lead"), "apart")
+    members = members.drop("order").join(leader, "key", "left")
+    return members.withColumns({"lead": F.coalesce("lead", "key"), "apart": F.coalesce("apart", F.lit(0))})
+
+
+def _left_over(sets: DataFrame, members: DataFrame, near: DataFrame) -> DataFrame:
+    """Links between clusters that no leader has shown: (a, b)."""
+    col = F.col
+    members = checkpoint(_blocks(members, near))
+    block = checkpoint(members.groupBy("list", "root").agg(F.min("n").alias("n"), F.max("most").alias("most")))
+    a, b = (block.select("list", *[col(c).alias(c + s) for c in ("root", "n", "most")]) for s in "xy")
+    # two blocks of a list are skipped if no size of one lies in a range of the other
+    meet = a.join(b, "list").filter("rootx < rooty AND nx <= mosty AND ny <= mostx").select("list", "rootx", "rooty", col("ny").alias("low"), col("mosty").alias("top"))
+    side = lambda s: members.select("list", "m", *[col(c).alias(c + s) for c in (*_COLUMNS, "lead", "apart")])
+    joined = meet.join(side("x"), ["list", "rootx"]).filter("nx <= top AND mostx >= low").join(side("y").drop("m"), ["list", "rooty"]).filter(_fits("x", "y"))
+    names = [col(f"{c}{s}").alias(f"{d}{t}") for s, t in (("x", "a"), ("y", "b")) for c, d in (("key", ""), ("n", "n"), ("last", "l"), ("lead", "h"), ("apart", "d"))]
+    pairs = joined.groupBy(*names).agg(F.sum("m").alias("c")).filter(_room(col("c"), col("na"), col("la"), col("nb"), col("lb")))
+    pairs = checkpoint(pairs.drop("c", "la", "lb"))
+    # the leaders' answers first: one comparison for all members of two groups
+    led = pairs.select(col("ha").alias("a"), col("hb").alias("b")).distinct()
+    sizes = sets.select(col("key"), (F.octet_length("data") / 8).cast("long").alias("size"))
+    known = overlaps(sets, checkpoint(led)).join(sizes.withColumnRenamed("key", "a").withColumnRenamed("size", "sa"), "a").join(sizes.withColumnRenamed("key", "b").withColumnRenamed("size", "sb"), "b")
+    known = known.select(col("a").alias("ha"), col("b").alias("hb"), (col("sa") + col("sb") - 2 * col("both")).alias("apart"))
+    pairs = pairs.join(known, ["ha", "hb"])
+    # sets of sizes na and nb link if they differ in at most this many tokens
+    limit = F.floor((DEN - NUM) * (col("na") + col("nb")) / (DEN + NUM))
+    pairs = pairs.withColumns({"limit": limit, "low": col("apart") - col("da") - col("db"), "high": col("apart") + col("da") + col("db")}).filter("low <= limit")
+    pairs = checkpoint(pairs)
+    sure, unsure = pairs.filter("high <= limit").select("a", "b"), pairs.filter("high > limit").select("a", "b", "na", "nb")
+    found = overlaps(sets, unsure).join(unsure, ["a", "b"]).filter(_linked(col("both"), col("na"), col("nb")))
+    return checkpoint(sure.unionByName(found.select("a", "b")))
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -318,69 +410,45 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, key, n, top, component_id) for every document: its set, and the set that names its component."""
+    """(doc_id, th, n, top, component_id) for every document: its text's hash, its set's size, and the set that names its component."""
     col = F.col
-    sets = make_sets(docs, words)
-    full = sets.filter("n > 0")
-
-    table = frequent_tokens(sets)
-    tokens = full.agg(F.sum((col("n") + 3) / 4)).first()[0] or 0
-    buckets = max(24, int(tokens // PER_BUCKET) + 1)
-    blobs = prefix_blobs(sets, table, buckets)
-    with arrow_rows(docs.sparkSession, 4 * ROWS):
-        lists = checkpoint(blobs.groupBy("bucket").applyInPandas(_lists, "list binary, a binary, na long, la long, b binary, nb long, lb long, c long"))
-
-    order = col("a") < col("b")
-    swap = {x + y: F.when(order, col(x + y)).otherwise(col(x + z)) for x in ("", "n", "l") for y, z in ("ab", "ba")}
-    short = lists.filter("list IS NULL").select(*[v.alias(k) for k, v in swap.items()], "c").groupBy("a", "na", "la", "b", "nb", "lb").agg(F.sum("c").alias("c"))
-    short = checkpoint(short)
-    members = lists.filter("list IS NOT NULL").groupBy("list", col("a").alias("key"), col("na").alias("n"), col("la").alias("l")).agg(F.sum("c").alias("c"))
-    # at most so many prefix tokens can a set share with another one in long and in short lists
-    most_long = members.groupBy("key").agg(F.sum("c").alias("ml"))
-    most_short = short.select(F.explode(F.array("a", "b")).alias("key"), "c").groupBy("key").agg(F.max("c").alias("ms"))
-    members = members.join(most_long, "key").join(most_short, "key", "left").withColumn("ms", F.coalesce("ms", F.lit(0).cast("long")))
-    members = members.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("ml"), "key")))
-    clusters, members = _through_hubs(sets, checkpoint(members.withColumn("root", col("key"))))
-    x, y = (members.select("list", *[col(c).alias(c + s) for c in ("key", "n", "l", "c", "root", "ml", "ms")]) for s in "xy")
-    long = x.join(y, (x.list == y.list) & (col("keyx") < col("keyy")) & _may_link())
-    long = long.select(*[col(f"{p}{s}").alias(f"{q}{t}") for s, t in ("xa", "yb") for p, q in (("key", ""), ("n", "n"), ("l", "l"))], col("cx").alias("c"))
-    pairs = short.unionByName(long).groupBy("a", "na", "la", "b", "nb", "lb").agg(F.sum("c").alias("c"))
-    pairs = pairs.filter(_room(col("c"), col("na"), col("la"), col("nb"), col("lb"))).select("a", "b")
-    pairs = _roots(_roots(pairs, clusters, "a", "ra"), clusters, "b", "rb").filter("ra <> rb").select("a", "b")
-    far = verify(sets, checkpoint(pairs))
-    over = _roots(_roots(far, clusters, "a", "ra"), clusters, "b", "rb")
-    upper = components(over.select(col("ra").alias("a"), col("rb").alias("b")))
-
-    rows = _roots(_roots(sets.select("doc_id", "key", "n"), clusters, "key", "root"), upper, "root", "top")
-    first = rows.filter("n > 0").groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    named = rows.filter("n > 0").join(first, "top").select("doc_id", "key", "n", "top", "component_id")
-    return named.unionByName(rows.filter("n = 0").select("doc_id", "key", "n", "top", col("doc_id").alias("component_id")))
+    rows = make_rows(docs, words)
+    nodes = rows.filter(F.size("prefix") > 0).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "own", "last", "prefix")], F.min("th").alias("th"))
+    nodes = written(nodes, "nodes")
+    members = _lists(nodes)
+    need = nodes.join(members.select("key").distinct(), "key", "left_semi").select("th")
+    sets = sets_of(docs, checkpoint(need), words)
+    clusters, near, members = _leaders(sets, members)
+    upper = _above(_left_over(sets, members, near), clusters)
+    clusters = _merged(clusters, upper)
+
+    named = _roots(rows.select("doc_id", "th", "key", "n"), clusters, "key", "top")
+    first = named.filter("n > 0").groupBy("top").agg(F.min("doc_id").alias("component_id"))
+    full = named.filter("n > 0").join(first, "top").select("doc_id", "th", "n", "top", "component_id")
+    return full.unionByName(named.filter("n = 0").select("doc_id", "th", "n", "top", col("doc_id").alias("component_id")))
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one whose id is the component's.
 
-    Rows that repeat both id and text stay once. Rows of one id with different texts are told apart by
-    their sets; of those in one component the least text stays. Rows without an id stay unless their
-    component has one.
+    Rows that repeat both id and text stay once. Of several texts under that id the one with the least
+    hash stays; where no row of a component has an id, so does the least text of all. Documents without words stay.
     """
-    found = checkpoint(_grouped(docs))
-    again = F.col("doc_id").eqNullSafe(F.col("__id"))
-    goes = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = found.filter(goes).select(F.col("doc_id").alias("__id")).distinct()
-    twice = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id"))
-    if twice.isEmpty():
-        return docs.join(gone, again, "left_anti")
-    # only then is a text looked at twice
-    once = docs.join(twice, again, "left_anti").join(gone, again, "left_anti")
-    places = found.join(twice, again, "left_semi").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("top").alias("__top"), ((F.col("n") == 0) | F.col("component_id").isNull()).alias("__alone"), goes.alias("__goes")).distinct()
-    keys = F.pandas_udf(lambda texts: pd.Series([set_key(shingles(t)) for t in texts]), "binary")
-    rows = docs.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("__own", keys("text"))
-    placed = rows.join(places, again & (F.col("__own") == F.col("__key"))).filter("NOT __goes")
-    least = F.row_number().over(Window.partitionBy("__top").orderBy("text"))
-    left = placed.filter("__alone").unionByName(placed.filter("NOT __alone").withColumn("__row", least).filter("__row = 1").drop("__row"))
+    found = checkpoint(_grouped(docs).filter("n > 0").groupBy("doc_id", "th", "top").agg(F.count("*").alias("k")))
+    own = F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "th")
+    stays = found.groupBy("top").agg(F.min(own).alias("stays"))
+    marked = found.join(stays, "top").select("doc_id", "th", "k", own.eqNullSafe(F.col("stays")).alias("keep"))
+    touched = checkpoint(marked.filter("NOT keep OR k > 1"))
+    i, t, h = (free_name(docs, x) for x in ("id", "text", "hash"))
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), t: F.xxhash64("text"), h: F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))})
+    need = touched.select(F.xxhash64("doc_id", "th").alias("hash"))
+    rest, clear = may_hold(rows, h, need, MOST_BITS)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return once.unionByName(left.select(*columns)).select(*columns)
+    side = touched.select(F.col("doc_id").alias(f"{i}t"), F.col("th").alias(f"{t}t"), F.col("keep").alias(f"{h}t"))
+    joined = rest.join(side, F.col(i).eqNullSafe(F.col(f"{i}t")) & F.col(t).eqNullSafe(F.col(f"{t}t")), "left")
+    plain = joined.filter(F.col(f"{h}t").isNull())
+    once = joined.filter(F.col(f"{h}t")).dropDuplicates([i, t])
+    return clear.select(*columns).unionByName(plain.select(*columns)).unionByName(once.select(*columns))
 
 
 by_value(__name__)

@@ -52,6 +52,41 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that no column of ``df`` has or begins with."""
+    name = f"__{base}"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
+def may_hold(rows: DataFrame, column: str, need: DataFrame, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose hash ``column`` may be in ``need`` (one column of hashes), and those where it is not.
+
+    A bitmap with 16 bits for each of the hashes, made by an aggregation, is broadcast; about 1 of 16
+    rows with other hashes passes it too. If it would have more than ``most_bits``, all rows are joined instead.
+    """
+    bits, hashes = 1 << 16, need.count()
+    while bits < 16 * hashes:
+        bits *= 2
+    mine, bucket, bit, found = (free_name(rows, x) for x in ("place", "bucket", "bit", "found"))
+    if bits > most_bits:
+        marked = rows.join(need.toDF(mine).distinct().withColumn(found, F.lit(1)), F.col(column) == F.col(mine), "left")
+        return tuple(marked.filter(x).select(*[F.col(f"`{c}`") for c in rows.columns]) for x in (F.col(found).isNotNull(), F.col(found).isNull()))
+
+    def place(hash_column: str) -> Column:
+        return F.pmod(F.xxhash64(hash_column), F.lit(bits))
+
+    ones = need.toDF(mine).select(place(mine).alias(mine))
+    table = ones.groupBy(F.bitmap_bucket_number(mine).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mine)).alias(found))
+    marked = rows.withColumn(mine, place(column)).withColumn(bit, F.bitmap_bit_position(mine))
+    marked = marked.join(F.broadcast(checkpoint(table.withColumnRenamed(bucket, f"{bucket}t"))), F.bitmap_bucket_number(mine) == F.col(f"{bucket}t"), "left")
+    byte = F.conv(F.hex(F.substring(found, (F.col(bit) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, (F.col(bit) % 8).cast("int")) == 1, F.lit(False))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return marked.filter(there).select(*columns), marked.filter(~there).select(*columns)
+
+
 def by_value(name: str) -> None:
     """Send this module's functions to Python workers by value: executors need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[name])

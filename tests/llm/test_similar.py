@@ -94,11 +94,6 @@ def test_one_document_stays_where_ids_repeat(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(7, a), (3, b), (5, c), (5, ""), (4, d), (None, "one of its own")])
 
 
-def test_pack_round_trip():
-    u = np.unique(np.random.default_rng(0).integers(0, 2**64, 500, dtype=np.uint64))
-    assert (jaccard.unpack(jaccard.pack(u)) == u >> np.uint64(16)).all()
-
-
 def test_components_of_paths_stars_and_cycles(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(50)] + [(200, 201), (201, 202), (202, 200)] + [(300, 300)]
