@@ -23,15 +23,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paritas.llm.shared import by_value, checkpoint, count_words, trimmed
+from paritas.llm.shared import by_value, checkpoint, count_words, free_name, trimmed
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 BUCKET, FAN_IN, BROADCAST = 4096, 1024, 10_000
-_UNIT = "doc_id long, h long, source string, rank int, source_size long, target double, m long, size long, whole int, f double, bucket long"
+_UNIT = "blank boolean, id long, h long, source string, rank int, source_size long, target double, m long, size long, whole int, f double, bucket long"
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
@@ -90,15 +90,19 @@ def pivotal(size: Sequence[float], f: Sequence[float], u: Sequence[float]) -> tu
 
 
 def _round_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["h", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+    rows = rows.sort_values(["h", "blank", "id", "size"], kind="stable").reset_index(drop=True)
     f, _ = pivotal(rows["size"].astype(float).tolist(), rows["f"].tolist(), _uniform(rows["h"].to_numpy(np.int64).view(np.uint64)).tolist())
     return rows.assign(f=f)
 
 
+def _row_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+
+
 def mix_units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
     """Units (doc_id, h, source, m equal rows, size of one, copies) with the targets of their sources."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("h"), "source", count_words(trimmed(text)).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash().alias("h"), "source", count_words(trimmed(text)).alias("size"))
     units = checkpoint(rows.groupBy("doc_id", "h", "source").agg(F.count("*").alias("m"), F.first("size").alias("size")))
     stats = checkpoint(source_targets(units.select("source", (F.col("m") * F.col("size")).alias("size")), weights, most))
     side = F.broadcast(stats) if stats.count() <= BROADCAST else stats
@@ -108,7 +112,9 @@ def mix_units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     buckets = F.ceil(F.col("units") / F.lit(float(BUCKET)))
     units = units.withColumn("f", F.when(F.col("size") > 0, F.col("p") - F.col("whole")).otherwise(0.0)).withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(1)), buckets).cast("long"))
     # a unit of m equal rows moves m times its size at once
-    units = units.select("doc_id", "h", "source", "rank", "source_size", "target", "m", (F.col("m") * F.col("size")).alias("size"), "whole", "f", "bucket")
+    # an id that may be null would become a float in pandas
+    own = [F.col("doc_id").isNull().alias("blank"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id")]
+    units = units.select(*own, "h", "source", "rank", "source_size", "target", "m", (F.col("m") * F.col("size")).alias("size"), "whole", "f", "bucket")
     most_buckets = stats.agg(F.max(F.ceil(F.col("units") / F.lit(float(BUCKET))))).first()[0] or 1
 
     done, level = [], units
@@ -125,7 +131,7 @@ def mix_units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "h", "source", "source_size", "target", "m", (F.col("size") / F.col("m")).cast("long").alias("size"), F.when(F.col("size") > 0, F.col("whole") + F.round("f").cast("int")).otherwise(0).alias("copies"))
+    return out.select(F.when(~F.col("blank"), F.col("id")).alias("doc_id"), "h", "source", "source_size", "target", "m", (F.col("size") / F.col("m")).cast("long").alias("size"), F.when(F.col("size") > 0, F.col("whole") + F.round("f").cast("int")).otherwise(0).alias("copies"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -136,11 +142,11 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken."""
-    key = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
-    units = mix_units(docs).filter("copies > 0").select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), F.col("source").alias("__s"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__h")) & F.col("source").eqNullSafe(F.col("__s"))
-    joined = docs.withColumn("__k", key).join(units.withColumnRenamed("copies", "__c"), same)
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__c")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    i, h, source, copies, n = (free_name(docs, x) for x in ("id", "hash", "source", "copies", "number"))
+    units = mix_units(docs).filter("copies > 0").select("doc_id", "h", "source", "copies").toDF(i, h, source, copies)
+    same = (_row_hash() == F.col(h)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(source))
+    joined = docs.join(units, same)
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 by_value(__name__)

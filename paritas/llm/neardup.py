@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +35,11 @@ from paritas.llm.shared import by_value, checkpoint
 COSINE, BLOCK, SAMPLE, MOST_CENTRES = 0.98, 1024, 512, 32
 
 
-def unit(batch: pd.DataFrame) -> list[np.ndarray | None]:
+def unit(embeddings: list) -> list[np.ndarray | None]:
+    """Vectors of length 1, or None for those that link with nothing."""
     out = []
-    for e in batch["embedding"]:
-        v = None if e is None else np.asarray(e, dtype=np.float64)
+    for e in embeddings:
+        v = None if e is None else np.array(e, dtype=np.float64)
         n = np.sqrt((v * v).sum()) if v is not None and v.size and np.isfinite(v).all() else 0.0
         if n and not np.isfinite(n):  # squares overflow
             v = v / np.abs(v).max()
@@ -175,12 +177,13 @@ def _pack(x: np.ndarray) -> bytes:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
 
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = [None if pd.isna(label) else u for u, label in zip(unit(batch), batch["label"], strict=True)]
-            yield pd.DataFrame({"vec_id": batch["vec_id"].astype("Int64"), "label": batch["label"].astype("Int64"), "dim": [0 if u is None else len(u) for u in v], "v": [None if u is None else _pack(u) for u in v]})
+            v = [None if label is None else u for u, label in zip(unit(batch.column("embedding").to_pylist()), batch.column("label").to_pylist(), strict=True)]
+            columns = [batch.column("vec_id"), batch.column("label"), pa.array([0 if u is None else len(u) for u in v], pa.int32()), pa.array([None if u is None else _pack(u) for u in v], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "label", "dim", "v"])
 
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding").mapInPandas(units, "vec_id long, label long, dim int, v binary")
+    rows = vectors.select(*[F.col(c).cast("long").alias(c) for c in ("vec_id", "label")], F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(units, "vec_id long, label long, dim int, v binary")
     rows = checkpoint(rows.withColumn("id", F.monotonically_increasing_id()))
     nodes = rows.filter("v IS NOT NULL").select("id", F.struct("label", "dim").alias("top"), F.concat_ws("/", "label", "dim").alias("node"), "v")
     nodes = _split(nodes, block)

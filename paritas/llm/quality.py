@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.shared import count_words, split_words, trimmed, without_space
+from paritas.llm.shared import count_words, free_name, split_words, trimmed, without_space
 
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -129,8 +129,9 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     a row is dropped by exploding an empty array instead.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
-    once = F.when(verdict()[1], F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return measures(docs).select(*own, F.explode(once).alias("__q_kept")).select(*own)
+    prefix = free_name(docs, "q_")
+    once = F.when(verdict(prefix)[1], F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return measures(docs, prefix=prefix).select(*own, F.explode(once).alias(f"{prefix}kept")).select(*own)
 
 
 ORACLE = r"""

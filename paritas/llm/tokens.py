@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,27 +42,32 @@ def write_token_files(docs: DataFrame, path: str, pattern: str | None = None, bl
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
     sent, pattern = docs.sparkSession.sparkContext.broadcast(ranks), pattern or public_tokenizers.PATTERN
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
         from pyspark import TaskContext
 
         enc = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
         file_id, no, kept, ending, have = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def flat() -> pa.RecordBatch:
+            columns = [pa.array([file_id], pa.int64()), pa.array([no], pa.int64()), pa.array([np.concatenate(kept).tobytes()], pa.binary()), pa.array([ending], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["file_id", "block_no", "ids", "ending"])
+
         for batch in batches:
-            for i, t in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array([*(enc.encode_ordinary(t) if isinstance(t, str) and t else ()), EOD], dtype=_KIND)
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids = np.array([*(enc.encode_ordinary(t) if t else ()), EOD], dtype=_KIND)
                 while have + len(ids) > block:
                     kept.append(ids[: block - have])
                     ids = ids[block - have :]
-                    yield pd.DataFrame({"file_id": [file_id], "block_no": [no], "ids": [np.concatenate(kept).tobytes()], "ending": [ending]})
+                    yield flat()
                     no, kept, ending, have = no + 1, [], [], 0
                 kept.append(ids)
-                ending.append(None if pd.isna(i) else int(i))
+                ending.append(i)
                 have += len(ids)
         if have:
-            yield pd.DataFrame({"file_id": [file_id], "block_no": [no], "ids": [np.concatenate(kept).tobytes()], "ending": [ending]})
+            yield flat()
 
-    blocks = docs.select("doc_id", "text").mapInPandas(encode, "file_id long, block_no long, ids binary, ending array<long>")
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "file_id long, block_no long, ids binary, ending array<long>")
     return written(blocks, "tokens")
 
 

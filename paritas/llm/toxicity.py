@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -278,13 +279,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
     index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = [index.value.score(t) for t in batch["text"]]
-            held = [None if pd.isna(i) else zlib.crc32(str(int(i)).encode()) % 3 == 1 for i in batch["doc_id"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": pd.array(held, "boolean"), "score": score, "predicted": [int(s >= 0.7) for s in score]})
+            score = [index.value.score(t) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= 0.7) for s in score], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    ids = F.col("doc_id").cast("long")
+    return docs.select(ids.alias("doc_id"), held_out(ids).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 by_value(__name__)

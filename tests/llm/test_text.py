@@ -179,3 +179,44 @@ def test_redaction_leaves_no_base_span(docs, rows):
 def test_empty_tables(none):
     for f in (lambda d: bpe.encode_digests(d, vocabulary()), mixing.mix_report, mixing.mix_documents, lambda d: tokens.token_report(d, vocabulary()), secrets.secret_digests, secrets.redact):
         assert f(none).count() == 0
+
+
+LARGE = 2**53 + 1
+
+
+def test_large_ids_stay_exact_beside_nulls(spark):
+    from paritas.llm import jaccard, license, neardup, quality, sharding, toxicity
+
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(LARGE, text, "a"), (None, text, "a"), (LARGE + 2, "other", "a")], "doc_id long, text string, source string").coalesce(1)
+    labels = spark.createDataFrame([(LARGE, 1), (LARGE + 2, 0)], "doc_id long, toxic int")
+    for f in (
+        mixing.mix_report,
+        lambda d: bpe.encode_digests(d, vocabulary()),
+        lambda d: bpe.encode_documents(d, vocabulary()),
+        lambda d: toxicity.score_toxicity(d, labels),
+        jaccard.similar_documents,
+        sharding.shard_documents,
+        lambda d: tokens.token_report(d, vocabulary()),
+        license.scan_licenses,
+        quality.score_quality,
+        secrets.secret_digests,
+    ):
+        assert Counter(r.doc_id for r in f(docs).collect()) == Counter([LARGE, None, LARGE + 2])
+    vectors = spark.createDataFrame([(LARGE, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (LARGE + 2, [1.0, 0.01], 1), (5, [0.0, 1.0], None)], "vec_id long, embedding array<double>, label long").coalesce(1)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(vectors).collect()}
+    assert got == {LARGE: (2, LARGE), None: (2, LARGE), LARGE + 2: (2, LARGE), 5: (0, 5)}
+
+
+def test_stages_with_names_of_their_own_columns(spark):
+    from paritas.llm import jaccard, quality
+
+    good = " ".join(f"the word{i} of" for i in range(40))
+    names = ["__q_w", "__q_", "__i", "__h", "__s", "__k", "__c", "__n", "__id", "__key", "__top", "__text", "__hash", "__place", "__bucket", "__bit", "__found", "__number", "__copies", "a.b"]
+    rows = [(i, good if i < 2 else good + f" more{i}", "a", 1, *range(len(names))) for i in range(3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", "n_chars", *names])
+    for stage in (quality.quality_filter, jaccard.one_per_group, secrets.redact, mixing.mix_documents):
+        out = stage(docs)
+        assert out.columns == docs.columns and all(list(r)[4:] == list(range(len(names))) for r in out.collect())
+    assert [r.doc_id for r in jaccard.one_per_group(docs).collect()] == [0]
+    assert quality.quality_filter(docs).count() == 3
