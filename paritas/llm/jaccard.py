@@ -10,14 +10,14 @@ positions skip most of them, and the rest is decided on whole sets.
    have in the whole table, and a set knows how many of its tokens (``own``) no other set holds.
 2. Prefixes. Two sets can only link if their prefixes in that order share a token. Passages that many
    documents share are frequent, come last and are in few prefixes; most sets have none and are done.
-3. Index. Lists of equal members are one list with a multiplicity. ``own`` and the size give each set
-   the range of sizes that a partner can have (``most``); lists are cut into blocks by cluster, with the
-   extremes of size, ``most``, position and distance, and whole blocks are skipped by them.
+3. Index. Lists of equal members are one list. ``own`` and the size give each set the range of sizes
+   that a partner can have (``most``). Lists whose sets lie in one cluster are skipped, and sets that no
+   size in their list lets link.
 4. Answers. In each list sets are compared with a leader, the set with the fewest tokens of its own, and
-   sets linked so form clusters; within a cluster no further pair has to be found. For what is left, a
-   set's distance to the leader of another cluster is computed once; by the triangle inequality it tells
-   the answers of the members that are highly similar to that leader (all linked, or none). Only those
-   that it leaves open are compared on their own sets.
+   sets linked so form clusters; within a cluster no further pair has to be found. What is left is
+   derived from the distances to the leader: blocks (a cluster in a leader's group) are skipped by their
+   extremes, some links are sure by the triangle inequality, and any other pair has to share enough of
+   its differences from the leader, which a prefix filter over those differences finds.
 
 Nothing is gathered by list: leaders are minima, and the joins by list have a small side or few rows.
 The sets themselves are made again, for those documents only that share a list with others; a bitmap
@@ -41,14 +41,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.components import components, forest_roots
+from paritas.llm.components import components
 from paritas.llm.shared import arrow_rows, by_value, checkpoint, free_name, may_hold, written
 
 WORDS, NUM, DEN = 5, 75, 100  # shingle length; a link needs DEN * intersection >= NUM * union
 SLICE, SLICE_ROWS = 800_000, 60_000  # tokens and sets of a slice
 BUCKET_BYTES = 12_000_000  # of text, for each bucket of tokens
 ROWS = 1000  # per Arrow batch
-STEPS = 3  # of comparing with leaders
 MOST_BITS = 1 << 27  # 16 MB
 _ROWS = "doc_id long, th long, key binary, n long, own long, last long, prefix array<long>"
 _BLOBS = "bucket long, slice long, tokens binary, rows binary, classes binary"
@@ -243,42 +242,12 @@ def _roots(df: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
     return df.join(r, key, "left").withColumn(name, F.coalesce(name, key))
 
 
-def _room(c, na, la, nb, lb):
-    """Whether sets of sizes na and nb that share c prefix tokens can still reach the threshold.
-
-    All common tokens up to the earlier of the two prefixes' ends lie in both prefixes and are counted
-    in c; the others lie behind the prefix that ends earlier.
-    """
-    behind = F.when(la <= lb, F.ceil(F.lit(NUM) * na / F.lit(DEN)) - 1).otherwise(F.ceil(F.lit(NUM) * nb / F.lit(DEN)) - 1)
-    return (NUM + DEN) * (c + behind) >= NUM * (na + nb)
-
-
 def _fits(x: str, y: str) -> Column:
     """Whether the sets' sizes lie in each other's ranges, and their clusters differ."""
     col = F.col
     return (col(f"n{x}") <= col(f"most{y}")) & (col(f"n{y}") <= col(f"most{x}")) & (col(f"root{x}") != col(f"root{y}"))
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """Members that can still link in their list: lists of one cluster go, and sets that are too small or large for it."""
-    by = members.groupBy("list").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("n").alias("least"), F.max("most").alias("top"))
-    left = members.join(checkpoint(by.filter("r <> s")), "list").filter("most >= least AND n <= top").drop("r", "s", "least", "top")
-    return checkpoint(left)
-
-
-_COLUMNS = ("key", "n", "last", "root", "most", "own")
-
-
-def _as(members: DataFrame, s: str, *more: str) -> DataFrame:
-    return members.select("list", *more, *[F.col(c).alias(c + s) for c in _COLUMNS])
-
-
-def _pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
-    """(a, na, la, b, nb, lb, c): pairs with the number of prefix tokens that they share."""
-    by = [F.col(f"{c}{s}").alias(f"{d}{t}") for s, t in ((x, "a"), (y, "b")) for c, d in (("key", ""), ("n", "n"), ("last", "l"))]
-    return joined.groupBy(*by).agg(F.sum("m").alias("c"))
-
-
 def _merged(clusters: DataFrame, upper: DataFrame) -> DataFrame:
     """(node, root) after roots got roots of their own."""
     up = upper.select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -332,76 +301,88 @@ def _linked(both: Column, na: Column, nb: Column) -> Column:
     return (NUM + DEN) * both >= NUM * (na + nb)
 
 
-def _leaders(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Clusters, their members' distances to their leaders, and the members that are still open.
+def _leaders(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members with their lists' leaders, and each set's distance to the leaders of its lists: (key, lead, n, nl, apart).
 
     A list's leader is its set with the smallest share of own tokens: the less a copy was edited, the
-    fewer tokens it has that no other copy holds, and the more copies are similar to it. First each set
-    is compared with one leader that comes before it in one order of all sets, so links are a forest;
-    later steps take the next leaders of lists that still hold several clusters. Steps decide speed, not
-    results: all pairs of different clusters that are then open are looked at by the caller.
+    fewer tokens it has that no other copy holds, and the more copies are similar to it.
+    """
+    order = F.struct((F.col("own") * 10_000 / F.col("n")).cast("long").alias("share"), "key", "n")
+    lead = checkpoint(members.groupBy("list").agg(F.min(order).alias("f")).select("list", F.col("f.key").alias("lead"), F.col("f.n").alias("nl")))
+    members = checkpoint(members.join(lead, "list"))
+    pairs = checkpoint(members.filter("key <> lead").select("key", "n", "lead", "nl").distinct())
+    both = overlaps(sets, pairs.select(F.col("key").alias("a"), F.col("lead").alias("b"))).toDF("key", "lead", "both")
+    near = pairs.join(both, ["key", "lead"]).select("key", "lead", "n", "nl", (F.col("n") + F.col("nl") - 2 * F.col("both")).alias("apart"))
+    return members, checkpoint(near)
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Distinct (lead, key) of the lists that hold several clusters, without sets that no size in their list lets link."""
+    by = members.groupBy("list").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("n").alias("least"), F.max("most").alias("top"))
+    left = members.join(checkpoint(by.filter("r <> s")), "list").filter("most >= least AND n <= top")
+    return left.select("lead", "key", "n", "own", "most", "root").distinct()
+
+
+def _within_reach(found: DataFrame) -> DataFrame:
+    """Sets of a leader's group that a set of another cluster may link with, by their distances to the leader.
+
+    None of x's own tokens is among the differences that it shares with y, so x and y differ in at
+    least apart(y) - apart(x) + 2 * own(x) tokens. They can link only if far(y) <= reach(x) and
+    far(x) <= reach(y). A block, the part of a group that lies in one cluster, is known by its extremes.
+    """
+    col = F.col
+    own = F.when(col("key") == col("lead"), 0).otherwise(col("own"))  # the leader differs from itself in nothing
+    far, reach = (NUM + DEN) * col("apart") - (DEN - NUM) * col("n"), (NUM + DEN) * (col("apart") - 2 * own) + (DEN - NUM) * col("n")
+    found = checkpoint(found.withColumns({"far": far, "reach": reach}))
+    blocks = checkpoint(found.groupBy("lead", "root").agg(F.min("far").alias("far"), F.max("reach").alias("reach")))
+    best = checkpoint(blocks.groupBy("lead").agg(F.min(F.struct("far", "root")).alias("f"), F.max(F.struct("reach", "root")).alias("r")))
+    # the extremes of the blocks of a leader's other clusters
+    others = blocks.join(best, "lead").groupBy("lead", "f", "r").agg(F.min(F.when(col("root") != col("f.root"), col("far"))).alias("f2"), F.max(F.when(col("root") != col("r.root"), col("reach"))).alias("r2"))
+    least = F.when(col("root") == col("f.root"), col("f2")).otherwise(col("f.far"))
+    most = F.when(col("root") == col("r.root"), col("r2")).otherwise(col("r.reach"))
+    kept = found.join(checkpoint(others), "lead").withColumns({"least": least, "widest": most})
+    return checkpoint(kept.filter("far <= widest AND reach >= least").drop("f", "r", "f2", "r2", "widest"))
+
+
+def _sure(found: DataFrame) -> DataFrame:
+    """Links (a, b) that distances to the leader prove. Of a set's links of this kind one is enough: the others lie in the leader's cluster."""
+    least = found.groupBy("lead").agg(F.min(F.struct("far", "key", "root")).alias("y"))
+    return found.join(checkpoint(least), "lead").filter("far + y.far <= 0 AND root <> y.root").select(F.col("key").alias("a"), F.col("y.key").alias("b"))
+
+
+def _differences(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """(lead, key, token): the tokens that a set and its leader do not share."""
+    joined = found.select("lead", "key").join(sets.select("key", F.col("data").alias("dx")), "key").join(sets.select(F.col("key").alias("lead"), F.col("data").alias("dl")), "lead")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.setxor1d(*(np.frombuffer(z.as_buffer(), "<i8") for z in two), assume_unique=True) for two in zip(batch.column("dx"), batch.column("dl"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("key"), pa.array(tokens, pa.list_(pa.int64()))], names=["lead", "key", "tokens"])
+
+    with arrow_rows(sets.sparkSession, ROWS):
+        return checkpoint(joined.mapInArrow(run, "lead binary, key binary, tokens array<long>")).select("lead", "key", F.explode("tokens").alias("token"))
+
+
+def _left_over(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) between clusters that no distance has shown.
+
+    Sets x and y of a leader's group differ in apart(x) + apart(y) - 2 * (shared differences from the
+    leader) tokens. So they link only if they share enough of those, and a prefix filter over the
+    differences, rare ones first, finds all such pairs.
     """
-    col, clusters, near = F.col, None, None
-    order = F.struct((col("own") * 10_000 / col("n")).cast("long").alias("share"), col("key").alias("key"))
-    members = members.withColumn("order", order).withColumn("root", col("key"))
-    members = checkpoint(members)
-    used = None
-    for _ in range(STEPS):
-        rest = members if used is None else members.join(used, "list", "left").filter("used IS NULL OR order > used").drop("used")
-        first = rest.groupBy("list").agg(F.min(F.struct("order", *_COLUMNS)).alias("f"))
-        lead = checkpoint(first.select("list", col("f.order").alias("ordery"), *[col(f"f.{c}").alias(f"{c}y") for c in _COLUMNS]))
-        joined = _as(members, "x", "m", "order").join(lead, "list").filter(_fits("x", "y") & (col("ordery") < col("order")))
-        pairs = _pairs(joined, "x", "y")
-        best = pairs.groupBy("a").agg(F.max(F.struct("c", "na", "la", "b", "nb", "lb")).alias("p")).select("a", "p.*")
-        best = checkpoint(best.select("a", "na", "b", "nb"))
-        links = overlaps(sets, best).join(best, ["a", "b"]).filter(_linked(col("both"), col("na"), col("nb")))
-        links = checkpoint(links.select("a", "b", (col("na") + col("nb") - 2 * col("both")).alias("apart")))
-        if clusters is None:
-            near = links
-            upper = clusters = forest_roots(links.select(col("a").alias("node"), col("b").alias("parent")))
-        elif links.isEmpty():
-            break
-        else:
-            upper = _above(links, clusters)
-            clusters = _merged(clusters, upper)
-        members = _open(_roots(members, upper, "root", "top").drop("root").withColumnRenamed("top", "root"))
-        used = lead.select("list", col("ordery").alias("used"))
-    return clusters, near, members
-
-
-def _blocks(members: DataFrame, near: DataFrame) -> DataFrame:
-    """Members that a block of another cluster in their list may link with, with their leader and distance to it."""
-    leader = near.select(F.col("a").alias("key"), F.col("b").alias("lead"), "apart")
-    members = members.drop("order").join(leader, "key", "left")
-    return members.withColumns({"lead": F.coalesce("lead", "key"), "apart": F.coalesce("apart", F.lit(0))})
-
-
-def _left_over(sets: DataFrame, members: DataFrame, near: DataFrame) -> DataFrame:
-    """Links between clusters that no leader has shown: (a, b)."""
     col = F.col
-    members = checkpoint(_blocks(members, near))
-    block = checkpoint(members.groupBy("list", "root").agg(F.min("n").alias("n"), F.max("most").alias("most")))
-    a, b = (block.select("list", *[col(c).alias(c + s) for c in ("root", "n", "most")]) for s in "xy")
-    # two blocks of a list are skipped if no size of one lies in a range of the other
-    meet = a.join(b, "list").filter("rootx < rooty AND nx <= mosty AND ny <= mostx").select("list", "rootx", "rooty", col("ny").alias("low"), col("mosty").alias("top"))
-    side = lambda s: members.select("list", "m", *[col(c).alias(c + s) for c in (*_COLUMNS, "lead", "apart")])
-    joined = meet.join(side("x"), ["list", "rootx"]).filter("nx <= top AND mostx >= low").join(side("y").drop("m"), ["list", "rooty"]).filter(_fits("x", "y"))
-    names = [col(f"{c}{s}").alias(f"{d}{t}") for s, t in (("x", "a"), ("y", "b")) for c, d in (("key", ""), ("n", "n"), ("last", "l"), ("lead", "h"), ("apart", "d"))]
-    pairs = joined.groupBy(*names).agg(F.sum("m").alias("c")).filter(_room(col("c"), col("na"), col("la"), col("nb"), col("lb")))
-    pairs = checkpoint(pairs.drop("c", "la", "lb"))
-    # the leaders' answers first: one comparison for all members of two groups
-    led = pairs.select(col("ha").alias("a"), col("hb").alias("b")).distinct()
-    sizes = sets.select(col("key"), (F.octet_length("data") / 8).cast("long").alias("size"))
-    known = overlaps(sets, checkpoint(led)).join(sizes.withColumnRenamed("key", "a").withColumnRenamed("size", "sa"), "a").join(sizes.withColumnRenamed("key", "b").withColumnRenamed("size", "sb"), "b")
-    known = known.select(col("a").alias("ha"), col("b").alias("hb"), (col("sa") + col("sb") - 2 * col("both")).alias("apart"))
-    pairs = pairs.join(known, ["ha", "hb"])
-    # sets of sizes na and nb link if they differ in at most this many tokens
-    limit = F.floor((DEN - NUM) * (col("na") + col("nb")) / (DEN + NUM))
-    pairs = pairs.withColumns({"limit": limit, "low": col("apart") - col("da") - col("db"), "high": col("apart") + col("da") + col("db")}).filter("low <= limit")
-    pairs = checkpoint(pairs)
-    sure, unsure = pairs.filter("high <= limit").select("a", "b"), pairs.filter("high > limit").select("a", "b", "na", "nb")
-    found = overlaps(sets, unsure).join(unsure, ["a", "b"]).filter(_linked(col("both"), col("na"), col("nb")))
-    return checkpoint(sure.unionByName(found.select("a", "b")))
+    tokens = _differences(sets, found)
+    often = checkpoint(tokens.groupBy("lead", "token").agg(F.count("*").alias("k")).filter("k > 1"))
+    shared = tokens.join(often, ["lead", "token"]).groupBy("lead", "key").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("shared"))
+    need = F.greatest(F.lit(1), F.ceil((col("far") + col("least")) / (2 * (NUM + DEN))))
+    take = (F.size("shared") - need + 1).cast("int")  # differences that no other set of the group has come before the shared ones
+    rows = found.join(shared, ["lead", "key"]).withColumn("take", take).filter("take > 0")
+    rows = rows.withColumn("token", F.explode(F.slice("shared", F.lit(1), col("take")))).withColumn("token", col("token.token"))
+    rows = checkpoint(rows.select("lead", "token", "key", "n", "most", "root", "far", "reach"))
+    side = lambda s: rows.select("lead", "token", *[col(c).alias(c + s) for c in ("key", "n", "most", "root", "far", "reach")])
+    joined = side("x").join(side("y"), ["lead", "token"]).filter(_fits("x", "y") & (col("keyx") < col("keyy")) & (col("farx") <= col("reachy")) & (col("fary") <= col("reachx")))
+    pairs = checkpoint(joined.select(col("keyx").alias("a"), col("keyy").alias("b"), col("nx").alias("na"), col("ny").alias("nb")).distinct())
+    return checkpoint(overlaps(sets, pairs).join(pairs, ["a", "b"]).filter(_linked(col("both"), col("na"), col("nb"))).select("a", "b"))
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -418,9 +399,13 @@ def _grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
     members = _lists(nodes)
     need = nodes.join(members.select("key").distinct(), "key", "left_semi").select("th")
     sets = sets_of(docs, checkpoint(need), words)
-    clusters, near, members = _leaders(sets, members)
-    upper = _above(_left_over(sets, members, near), clusters)
-    clusters = _merged(clusters, upper)
+    members, near = _leaders(sets, members)
+    linked = near.filter(((NUM + DEN) * col("apart")) <= (DEN - NUM) * (col("n") + col("nl")))
+    clusters = components(linked.select(col("key").alias("a"), col("lead").alias("b")))
+    for links in (_sure, lambda found: _left_over(sets, found)):
+        found = _open(_roots(members, clusters, "key", "root")).join(near.select("lead", "key", "apart"), ["lead", "key"], "left")
+        found = _within_reach(found.withColumn("apart", F.coalesce("apart", F.lit(0))))
+        clusters = _merged(clusters, _above(links(found), clusters))
 
     named = _roots(rows.select("doc_id", "th", "key", "n"), clusters, "key", "top")
     first = named.filter("n > 0").groupBy("top").agg(F.min("doc_id").alias("component_id"))

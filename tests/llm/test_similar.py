@@ -64,6 +64,21 @@ def test_jaccard_chains_thresholds_and_common_passages(spark):
     assert got == brute(rows)
 
 
+def test_jaccard_large_groups_of_many_edits(spark):
+    rng = random.Random(8)
+    base, extra = [f"w{i}" for i in range(80)], [f"e{i}" for i in range(6)]
+    rows = []
+    for i in range(400):  # edits up to and beyond the threshold, some with words that other copies take too
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(80)] = rng.choice(extra) if rng.random() < 0.5 else f"x{rng.randrange(5000)}"
+        if rng.random() < 0.3:
+            t += [rng.choice(extra) for _ in range(rng.randint(1, 8))]
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_documents(df).collect()) == brute(rows)
+
+
 def test_jaccard_large_group(spark):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(100)]
