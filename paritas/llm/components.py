@@ -9,17 +9,43 @@ driver, and every round is checkpointed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.shared import checkpoint
+from paritas.llm.shared import by_value, checkpoint
+
+FINISH = 20_000
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of at most FINISH links."""
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            parent[max(x, y)] = min(x, y)
+    if parent:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["node", "root"])
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that occurs in a link; loops count as nodes of their own."""
-    edges = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    edges = checkpoint(links.select(F.col(a).alias("a"), F.col(b).alias("b")))
     rounds: list[DataFrame] = []
-    while True:
+    while edges.count() > FINISH:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         seed = F.lit(len(rounds))
         low = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", seed).alias("h"), F.col("b").alias("b"))).alias("m"))
@@ -32,20 +58,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ta, tb = picks.select("a", F.col("t").alias("ta")), picks.select(F.col("a").alias("b"), F.col("t").alias("tb"))
         moved = edges.join(ta, "a").join(tb, "b").filter("ta <> tb")
         edges = checkpoint(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-        if edges.isEmpty():
-            break
-    roots = rounds[-1].select(F.col("a").alias("node"), F.col("t").alias("root"))
-    for picks in rounds[-2::-1]:
+    kind = dict(edges.dtypes)["a"]
+    roots = edges.coalesce(1).mapInArrow(_unite, f"node {kind}, root {kind}")
+    for picks in rounds[::-1]:
         up = roots.withColumnRenamed("node", "t")
         roots = picks.join(up, "t", "left").select(F.col("a").alias("node"), F.coalesce("root", "t").alias("root"))
     return checkpoint(roots)
 
 
-def forest_roots(parents: DataFrame) -> DataFrame:
-    """(node, root) from (node, parent), one parent each and no cycles, by pointer jumping."""
-    now = checkpoint(parents.select("node", F.col("parent").alias("root")))
-    while True:
-        up = now.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        if now.join(up, "root", "left_semi").isEmpty():  # every root is without a parent
-            return now
-        now = checkpoint(now.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+by_value(__name__)

@@ -280,9 +280,10 @@ def sets_of(docs: DataFrame, need: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, both): the size of the intersection of each pair, on the whole sets."""
-    joined = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("data").alias("da")), "a")
+    """``pairs`` with ``both``: the size of the intersection of the sets a and b, on the whole sets."""
+    joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("data").alias("da")), "a")
     joined = joined.join(sets.select(F.col("key").alias("b"), F.col("data").alias("db")), "b")
+    names = [*pairs.columns, "both"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,10 +292,10 @@ def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 u, v = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
                 u, v = (u, v) if len(u) <= len(v) else (v, u)
                 both.append(int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(u) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64())], names=["a", "b", "both"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(both, pa.int64())], names=names)
 
     with arrow_rows(sets.sparkSession, ROWS):
-        return checkpoint(joined.mapInArrow(run, "a binary, b binary, both long"))
+        return checkpoint(joined.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in pairs.dtypes) + ", both long"))
 
 
 def _linked(both: Column, na: Column, nb: Column) -> Column:
@@ -310,10 +311,9 @@ def _leaders(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]
     order = F.struct((F.col("own") * 10_000 / F.col("n")).cast("long").alias("share"), "key", "n")
     lead = checkpoint(members.groupBy("list").agg(F.min(order).alias("f")).select("list", F.col("f.key").alias("lead"), F.col("f.n").alias("nl")))
     members = checkpoint(members.join(lead, "list"))
-    pairs = checkpoint(members.filter("key <> lead").select("key", "n", "lead", "nl").distinct())
-    both = overlaps(sets, pairs.select(F.col("key").alias("a"), F.col("lead").alias("b"))).toDF("key", "lead", "both")
-    near = pairs.join(both, ["key", "lead"]).select("key", "lead", "n", "nl", (F.col("n") + F.col("nl") - 2 * F.col("both")).alias("apart"))
-    return members, checkpoint(near)
+    pairs = members.filter("key <> lead").select(F.col("key").alias("a"), "n", F.col("lead").alias("b"), "nl").distinct()
+    near = overlaps(sets, checkpoint(pairs))
+    return members, near.select(F.col("a").alias("key"), F.col("b").alias("lead"), "n", "nl", (F.col("n") + F.col("nl") - 2 * F.col("both")).alias("apart"))
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -335,19 +335,19 @@ def _within_reach(found: DataFrame) -> DataFrame:
     far, reach = (NUM + DEN) * col("apart") - (DEN - NUM) * col("n"), (NUM + DEN) * (col("apart") - 2 * own) + (DEN - NUM) * col("n")
     found = checkpoint(found.withColumns({"far": far, "reach": reach}))
     blocks = checkpoint(found.groupBy("lead", "root").agg(F.min("far").alias("far"), F.max("reach").alias("reach")))
-    best = checkpoint(blocks.groupBy("lead").agg(F.min(F.struct("far", "root")).alias("f"), F.max(F.struct("reach", "root")).alias("r")))
+    best = blocks.groupBy("lead").agg(F.min(F.struct("far", "root")).alias("f"), F.max(F.struct("reach", "root")).alias("r"))
     # the extremes of the blocks of a leader's other clusters
     others = blocks.join(best, "lead").groupBy("lead", "f", "r").agg(F.min(F.when(col("root") != col("f.root"), col("far"))).alias("f2"), F.max(F.when(col("root") != col("r.root"), col("reach"))).alias("r2"))
     least = F.when(col("root") == col("f.root"), col("f2")).otherwise(col("f.far"))
     most = F.when(col("root") == col("r.root"), col("r2")).otherwise(col("r.reach"))
-    kept = found.join(checkpoint(others), "lead").withColumns({"least": least, "widest": most})
+    kept = found.join(others, "lead").withColumns({"least": least, "widest": most})
     return checkpoint(kept.filter("far <= widest AND reach >= least").drop("f", "r", "f2", "r2", "widest"))
 
 
 def _sure(found: DataFrame) -> DataFrame:
     """Links (a, b) that distances to the leader prove. Of a set's links of this kind one is enough: the others lie in the leader's cluster."""
     least = found.groupBy("lead").agg(F.min(F.struct("far", "key", "root")).alias("y"))
-    return found.join(checkpoint(least), "lead").filter("far + y.far <= 0 AND root <> y.root").select(F.col("key").alias("a"), F.col("y.key").alias("b"))
+    return found.join(least, "lead").filter("far + y.far <= 0 AND root <> y.root").select(F.col("key").alias("a"), F.col("y.key").alias("b"))
 
 
 def _differences(sets: DataFrame, found: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def _left_over(sets: DataFrame, found: DataFrame) -> DataFrame:
 
     Sets x and y of a leader's group differ in apart(x) + apart(y) - 2 * (shared differences from the
     leader) tokens. So they link only if they share enough of those, and a prefix filter over the
-    differences, rare ones first, finds all such pairs.
+    differences, rare ones first, finds all such pairs (but for those that need share none, see ``_sure``).
     """
     col = F.col
     tokens = _differences(sets, found)
@@ -382,7 +382,7 @@ def _left_over(sets: DataFrame, found: DataFrame) -> DataFrame:
     side = lambda s: rows.select("lead", "token", *[col(c).alias(c + s) for c in ("key", "n", "most", "root", "far", "reach")])
     joined = side("x").join(side("y"), ["lead", "token"]).filter(_fits("x", "y") & (col("keyx") < col("keyy")) & (col("farx") <= col("reachy")) & (col("fary") <= col("reachx")))
     pairs = checkpoint(joined.select(col("keyx").alias("a"), col("keyy").alias("b"), col("nx").alias("na"), col("ny").alias("nb")).distinct())
-    return checkpoint(overlaps(sets, pairs).join(pairs, ["a", "b"]).filter(_linked(col("both"), col("na"), col("nb"))).select("a", "b"))
+    return overlaps(sets, pairs).filter(_linked(col("both"), col("na"), col("nb"))).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -402,10 +402,9 @@ def _grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
     members, near = _leaders(sets, members)
     linked = near.filter(((NUM + DEN) * col("apart")) <= (DEN - NUM) * (col("n") + col("nl")))
     clusters = components(linked.select(col("key").alias("a"), col("lead").alias("b")))
-    for links in (_sure, lambda found: _left_over(sets, found)):
-        found = _open(_roots(members, clusters, "key", "root")).join(near.select("lead", "key", "apart"), ["lead", "key"], "left")
-        found = _within_reach(found.withColumn("apart", F.coalesce("apart", F.lit(0))))
-        clusters = _merged(clusters, _above(links(found), clusters))
+    found = _open(_roots(members, clusters, "key", "root")).join(near.select("lead", "key", "apart"), ["lead", "key"], "left")
+    found = _within_reach(found.withColumn("apart", F.coalesce("apart", F.lit(0))))
+    clusters = _merged(clusters, _above(_sure(found).unionByName(_left_over(sets, found)), clusters))
 
     named = _roots(rows.select("doc_id", "th", "key", "n"), clusters, "key", "top")
     first = named.filter("n > 0").groupBy("top").agg(F.min("doc_id").alias("component_id"))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from paritas.llm import components, jaccard, neardup, quality, toxicity
@@ -109,7 +110,9 @@ def test_one_document_stays_where_ids_repeat(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(7, a), (3, b), (5, c), (5, ""), (4, d), (None, "one of its own")])
 
 
-def test_components_of_paths_stars_and_cycles(spark):
+@pytest.mark.parametrize("finish", [0, 20_000])
+def test_components_of_paths_stars_and_cycles(spark, monkeypatch, finish):
+    monkeypatch.setattr(components, "FINISH", finish)
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(50)] + [(200, 201), (201, 202), (202, 200)] + [(300, 300)]
     names = list(range(400))
@@ -121,12 +124,6 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert {frozenset(n for n in got if got[n] == r) for r in set(got.values())} == {frozenset(n for n in want if want[n] == r) for r in set(want.values())}
 
 
-def test_forest_roots(spark):
-    rows = [(i, i - 1) for i in range(1, 30)] + [(50, 40)]
-    got = {r.node: r.root for r in components.forest_roots(spark.createDataFrame(rows, "node long, parent long")).collect()}
-    assert got == {**{i: 0 for i in range(1, 30)}, 50: 40}
-
-
 def vectors():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(25, 16))
