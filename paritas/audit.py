@@ -10,6 +10,10 @@ from paritas.functions import typed
 from paritas.operators import bootstrap, metrics, validate
 
 
+#: The column that says why a comparison is undefined; differences of selection rates have their own.
+_REASONS = {"adverse_impact_ratio": "air_reason", "equal_opportunity_difference": "opportunity_reason", "equalized_odds_gap": "odds_reason"}
+
+
 def _text(v) -> str:
     return str(v).lower() if isinstance(v, bool) else str(v)
 
@@ -61,6 +65,6 @@ def run_audit(df: DataFrame, config: AuditConfig, intervals: bool = False) -> di
         for m in metrics.COMPARISONS:
             value = r["selection_rate_difference"] if m == "demographic_parity_difference" else r[m]
             key = typed.metric_key(m, r.attribute, typed_value[r.attribute, r.value], config.reference[r.attribute])
-            out.append({"metric_key": key, "metric": m, "value": value, "undefined_reason": r.air_reason if m == "adverse_impact_ratio" else None if value is not None else "component_metric_undefined", "sample_count": r.sample_count, "comparison_group": {r.attribute: typed_value[r.attribute, r.value]}, "reference_group": {r.attribute: config.reference[r.attribute]}})
+            out.append({"metric_key": key, "metric": m, "value": value, "undefined_reason": r[_REASONS.get(m, "difference_reason")], "sample_count": r.sample_count, "comparison_group": {r.attribute: typed_value[r.attribute, r.value]}, "reference_group": {r.attribute: config.reference[r.attribute]}})
     flags = [r.asDict() for r in metrics.air_flags(compared, config.air_threshold, config.minimum_group_size).orderBy("attribute", "value").collect()]
     return {"schema_version": "2.0", "validation": counts, "metrics": out, "flags": flags}

@@ -45,9 +45,11 @@ def main(argv: list[str] | None = None) -> int:
     except AuditDataError as e:
         print(f"audit: {e}", file=sys.stderr)
         return AUDIT
-    render = {"json": ("audit-result.json", files.report_json), "csv": ("metrics.csv", lambda r: files.metrics_csv(r["metrics"])), "html": ("report.html", files.report_html)}
+    texts = {}
+    for kind in args.format or files.SINKS:
+        texts[files.SINKS[kind].file] = files.SINKS[kind].text(result)
     try:
-        files.publish({render[f][0]: render[f][1](result) for f in dict.fromkeys(args.format or ["json"])}, args.output, args.overwrite)
+        files.publish(texts, args.output, args.overwrite)
     except OSError as e:
         print(f"output: {e}", file=sys.stderr)
         return OUTPUT

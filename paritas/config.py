@@ -86,6 +86,8 @@ class AuditConfig:
             need(contains(labels, must), f"expected_categories of {column} miss its favorable or reference value")
         for p in (self.missing_policy, self.unknown_group_policy, self.duplicate_policy):
             need(p in POLICIES, f"unknown policy {p}")
+        for p in (self.missing_policy, self.unknown_group_policy):
+            need(p != "allow", "rows with missing values or unknown groups cannot be allowed")
 
     @property
     def required(self) -> tuple[str, ...]:

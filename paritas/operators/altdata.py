@@ -15,19 +15,19 @@ def instant(c: Column, end: bool = False) -> Column:
     return day + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND") if end else day
 
 
-def feature_gate(start: Column, end: Column, observed: Column, revises: Column, status: Column, as_of: Column, execution: Column) -> Column:
-    """Ordered rules of a feature record: (disposition, code)."""
+def _decided(disposition: str, code: str | None = None) -> Column:
+    return F.struct(F.lit(disposition).alias("disposition"), F.lit(code).cast("string").alias("code"))
 
-    def s(d: str, c: str | None) -> Column:
-        return F.struct(F.lit(d).alias("disposition"), F.lit(c).cast("string").alias("code"))
 
+def feature_gate(start: Column, end: Column, observed: Column, revises: Column, status: Column, as_of: Column, execution: Column) -> Column:
+    """Ordered rules of a feature record: (disposition, code)."""
     return (
-        F.when((end > execution) | (observed > execution), s("error", "ad_future_evidence"))
-        .when(end > as_of, s("error", "ad_feature_after_decision"))
-        .when((observed > as_of) & revises, s("exclude", "ad_revision_after_decision"))
-        .when(observed > as_of, s("exclude", "ad_observed_after_decision"))
-        .when(status == "pending", s("unavailable", "ad_pending_record"))
-        .otherwise(s("eligible", None))
+        F.when((end > execution) | (observed > execution), _decided("error", "ad_future_timestamp"))
+        .when(end > as_of, _decided("error", "ad_feature_after_decision"))
+        .when((observed > as_of) & revises, _decided("exclude", "ad_revision_after_decision"))
+        .when(observed > as_of, _decided("exclude", "ad_observed_after_decision"))
+        .when(status == "pending", _decided("unavailable", "ad_pending_record"))
+        .otherwise(_decided("eligible", None))
     )
 
 
@@ -35,19 +35,21 @@ def coverage_gate(assessed: Column, as_of: Column, execution: Column) -> Column:
     return F.when(assessed > execution, "error").when(assessed > as_of, "exclude").otherwise("eligible")
 
 
-def outcome_gate(start: Column, end: Column, observed: Column, mature_at: Column, as_of: Column, window_end: Column, execution: Column) -> Column:
+def outcome_gate(start: Column, end: Column, observed: Column, mature_at: Column, as_of: Column, window_start: Column, window_end: Column, execution: Column) -> Column:
+    """Ordered rules of an outcome record: (disposition, code). A label that is not mature yet is unavailable, not wrong."""
     return (
-        F.when((end > execution) | (observed > execution), "error:ad_future_evidence")
-        .when(mature_at > execution, "exclude:ad_label_immature")
-        .when(start <= as_of, "error:ad_outcome_before_decision")
-        .when((start > window_end) | (end > window_end), "exclude:ad_outside_performance_window")
-        .otherwise("eligible")
+        F.when((end > execution) | (observed > execution), _decided("error", "ad_future_timestamp"))
+        .when(mature_at > execution, _decided("unavailable", "ad_label_immature"))
+        .when(start <= as_of, _decided("error", "ad_outcome_not_post_decision"))
+        .when((start < window_start) | (end > window_end), _decided("exclude", "ad_outcome_outside_window"))
+        .otherwise(_decided("eligible"))
     )
 
 
 def revision_roots(records: DataFrame, most: int = 64) -> DataFrame:
     """(source_id, record_id, root, depth) along ``revision_of``, by pointer jumping; a cycle raises."""
     key = ["source_id", "record_id"]
+    rows = records.count()
     now = records.select(*key, F.coalesce("revision_of", "record_id").alias("root"), F.when(F.col("revision_of").isNull(), 0).otherwise(1).alias("depth")).checkpoint()
     for _ in range(most):
         up = now.select("source_id", F.col("record_id").alias("root"), F.col("root").alias("top"), F.col("depth").alias("more"))
@@ -56,12 +58,16 @@ def revision_roots(records: DataFrame, most: int = 64) -> DataFrame:
             if not nxt.filter((F.col("root") == F.col("record_id")) & (F.col("depth") > 0)).isEmpty():
                 raise ValueError("ad_revision_cycle")
             return nxt
+        if not nxt.filter(F.col("depth") > rows).isEmpty():  # longer than any chain without a cycle
+            raise ValueError("ad_revision_cycle")
         now = nxt
     raise ValueError("ad_revision_cycle")
 
 
-def terminal_records(records: DataFrame) -> DataFrame:
-    """Records that no other record revises."""
+def terminal_records(records: DataFrame, eligible: Column | None = None) -> DataFrame:
+    """Eligible records that no other eligible record revises: what a gate rejects replaces nothing."""
+    if eligible is not None:
+        records = records.filter(eligible)
     revised = records.filter("revision_of IS NOT NULL").select("source_id", F.col("revision_of").alias("record_id")).distinct()
     return records.join(revised, ["source_id", "record_id"], "left_anti")
 

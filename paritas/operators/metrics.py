@@ -82,11 +82,16 @@ def compare(stats: DataFrame, reference: dict[str, str]) -> DataFrame:
     """One row per group but the reference, with its comparisons to the reference."""
     rate = {"sr": ("wtp + wfp", "w"), "tpr": ("wtp", "wtp + wfn"), "fpr": ("wfp", "wfp + wtn")}
     wide = stats.filter("attribute <> '__scope__'").select("attribute", "value", "n", *[F.expr(f"try_divide({a}, {b})").alias(k) for k, (a, b) in rate.items()])
-    is_ref = F.expr(" OR ".join(f"(attribute = '{a}' AND value = '{v}')" for a, v in reference.items()))
+    named = F.create_map(*[F.lit(x) for pair in reference.items() for x in pair])
+    is_ref = F.coalesce(F.element_at(named, F.col("attribute")) == F.col("value"), F.lit(False))
     ref = wide.filter(is_ref).select("attribute", F.col("value").alias("reference"), *[F.col(c).alias(f"{c}_r") for c in ("n", *rate)])
     both = wide.filter(~is_ref).join(F.broadcast(ref), "attribute")  # one row per attribute
     dt, df = F.col("tpr") - F.col("tpr_r"), F.col("fpr") - F.col("fpr_r")
-    reason = F.when(F.col("sr").isNull(), "comparison_metric_undefined").when(F.col("sr_r").isNull(), "reference_metric_undefined").when(F.col("sr_r") == 0, "zero_reference_selection_rate")
+
+    def undefined(rate: str) -> Column:
+        return F.when(F.col(rate).isNull(), "comparison_metric_undefined").when(F.col(f"{rate}_r").isNull(), "reference_metric_undefined")
+
+    reason = undefined("sr").when(F.col("sr_r") == 0, "zero_reference_selection_rate")
     return both.select(
         "attribute", "value", "reference", F.col("sr").alias("comparison_rate"), F.col("sr_r").alias("reference_rate"),
         (F.col("sr") - F.col("sr_r")).alias("selection_rate_difference"),
@@ -94,6 +99,7 @@ def compare(stats: DataFrame, reference: dict[str, str]) -> DataFrame:
         reason.alias("air_reason"),
         dt.alias("equal_opportunity_difference"),
         F.when(dt.isNotNull() & df.isNotNull(), F.greatest(F.abs(dt), F.abs(df))).alias("equalized_odds_gap"),
+        undefined("sr").alias("difference_reason"), undefined("tpr").alias("opportunity_reason"), F.when(dt.isNull() | df.isNull(), "component_metric_undefined").alias("odds_reason"),
         (F.col("n") + F.col("n_r")).alias("sample_count"), F.least("n", "n_r").alias("smaller"),
     )
 
@@ -110,7 +116,7 @@ def reliability(metrics: DataFrame, minimum: int) -> DataFrame:
         )
     )
     codes = F.when(F.col("reason").isNull(), codes).otherwise(F.array().cast("array<string>"))
-    state = F.when(F.col("reason").isNotNull(), "undefined").when(F.size(codes) == 0, "reliable").otherwise("limited")
+    state = F.when(F.col("reason").isNotNull(), "undefined").when(F.size(codes) == 0, "reliable").otherwise("unreliable")
     return metrics.withColumn("limitations", codes).withColumn("reliability", state)
 
 

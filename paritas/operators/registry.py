@@ -25,8 +25,9 @@ def out_of_range(metrics: DataFrame) -> DataFrame:
     low = F.coalesce(*[F.when(F.col("metric") == k, F.lit(v[0])) for k, v in RANGES.items()], F.lit(0.0))
     high = F.coalesce(*[F.when(F.col("metric") == k, F.lit(v[1])) for k, v in RANGES.items()], F.lit(1.0))
     v = F.col("metric_value")
-    bad = (v < low) | (v > high) | F.isnan(v) | (v.isNotNull() & F.col("reason").isNotNull()) | (v.isNull() & F.col("reason").isNull())
-    return metrics.filter(F.coalesce(bad, F.lit(True)))
+    outside = F.coalesce((v < low) | (v > high) | F.isnan(v), F.lit(False))  # an undefined metric has no value to check
+    bad = outside | (v.isNotNull() & F.col("reason").isNotNull()) | (v.isNull() & F.col("reason").isNull())
+    return metrics.filter(bad)
 
 
 def has_verdict(text: str) -> bool:

@@ -103,12 +103,16 @@ def validate(df: DataFrame, config: AuditConfig) -> tuple[DataFrame, dict]:
     aggs = [F.max(c).alias(k.replace(":", "__")) for k, c in checks.items()] + [F.count("*").alias("n")]
     if config.weight:
         aggs += [F.min(config.weight).alias("low"), F.sum(config.weight).alias("total")]
+    if config.score_type == "probability":
+        aggs += [F.min(F.col(config.score).cast("double")).alias("least"), F.max(F.col(config.score).cast("double")).alias("most")]
     got = rows.agg(*aggs).first().asDict()
     if not got["n"]:
         raise AuditDataError("no_eligible_rows")
     for k in checks:
         if not got[k.replace(":", "__")]:
             raise AuditDataError(k)
+    if config.score_type == "probability" and not 0 <= got["least"] <= got["most"] <= 1:
+        raise AuditDataError("invalid_probability")
     if config.weight and (got["low"] < 0 or got["total"] <= 0):
         raise AuditDataError("invalid_weights")
     return rows, counts | {"eligible_rows": got["n"]}

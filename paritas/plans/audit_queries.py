@@ -190,7 +190,7 @@ QUERIES = {
     ),
     "reliability_gates": (
         lambda s, d: _gates(s, d).select("attribute", "value", "metric", F.array_join("limitations", ",").alias("limitations"), "reliability"),
-        f"{_GATES_SQL} SELECT attribute, value, metric, array_to_string(codes, ',') AS limitations, CASE WHEN reason IS NOT NULL THEN 'undefined' WHEN len(codes) = 0 THEN 'reliable' ELSE 'limited' END AS reliability FROM g",
+        f"{_GATES_SQL} SELECT attribute, value, metric, array_to_string(codes, ',') AS limitations, CASE WHEN reason IS NOT NULL THEN 'undefined' WHEN len(codes) = 0 THEN 'reliable' ELSE 'unreliable' END AS reliability FROM g",
     ),
     "limitation_rollup": (
         lambda s, d: _gates(s, d).select(F.explode("limitations").alias("code"), "metric").groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("metric").alias("metrics")),

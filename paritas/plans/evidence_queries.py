@@ -29,7 +29,7 @@ def _gate(s, d):
     return r.withColumn("g", g).select("record_id", "source_id", "entity_id", "g.disposition", "g.code")
 
 
-_GATE_SQL = f"""{SIGNALS}, gate AS (SELECT *, CASE WHEN event_time > '{EXECUTION}'::TIMESTAMP OR observed_at > '{EXECUTION}'::TIMESTAMP THEN 'error|ad_future_evidence'
+_GATE_SQL = f"""{SIGNALS}, gate AS (SELECT *, CASE WHEN event_time > '{EXECUTION}'::TIMESTAMP OR observed_at > '{EXECUTION}'::TIMESTAMP THEN 'error|ad_future_timestamp'
   WHEN event_time > '{AS_OF}'::TIMESTAMP THEN 'error|ad_feature_after_decision' WHEN observed_at > '{AS_OF}'::TIMESTAMP AND revision_of IS NOT NULL THEN 'exclude|ad_revision_after_decision'
   WHEN observed_at > '{AS_OF}'::TIMESTAMP THEN 'exclude|ad_observed_after_decision' WHEN status = 'pending' THEN 'unavailable|ad_pending_record' ELSE 'eligible|' END AS dc FROM signals)"""
 
@@ -162,17 +162,19 @@ QUERIES = {
         f"WITH {SIGNALS} SELECT entity_id, CASE WHEN max(observed_at) > '{EXECUTION}'::TIMESTAMP THEN 'error' WHEN max(observed_at) > '{AS_OF}'::TIMESTAMP THEN 'exclude' ELSE 'eligible' END AS disposition FROM signals GROUP BY entity_id",
     ),
     "outcome_gate": (
-        lambda s, d: signals(s, d).select("record_id", altdata.outcome_gate(F.col("event_time"), F.col("event_time"), F.col("observed_at"), F.col("event_time") + F.expr("INTERVAL 3 DAY"), F.lit("2024-01-05").cast("timestamp"), _ts(AS_OF), _ts(EXECUTION)).alias("outcome")),
-        f"""WITH {SIGNALS} SELECT record_id, CASE WHEN event_time > '{EXECUTION}'::TIMESTAMP OR observed_at > '{EXECUTION}'::TIMESTAMP THEN 'error:ad_future_evidence' WHEN event_time + INTERVAL 3 DAY > '{EXECUTION}'::TIMESTAMP THEN 'exclude:ad_label_immature'
-        WHEN event_time <= '2024-01-05'::TIMESTAMP THEN 'error:ad_outcome_before_decision' WHEN event_time > '{AS_OF}'::TIMESTAMP THEN 'exclude:ad_outside_performance_window' ELSE 'eligible' END AS outcome FROM signals""",
+        lambda s, d: signals(s, d).withColumn("g", altdata.outcome_gate(F.col("event_time"), F.col("event_time"), F.col("observed_at"), F.col("event_time") + F.expr("INTERVAL 3 DAY"), _ts("2024-01-05"), _ts("2024-01-07"), _ts(AS_OF), _ts(EXECUTION))).select("record_id", "g.disposition", "g.code"),
+        f"""WITH {SIGNALS}, rule(n, disposition, code) AS (VALUES (1, 'error', 'ad_future_timestamp'), (2, 'unavailable', 'ad_label_immature'), (3, 'error', 'ad_outcome_not_post_decision'), (4, 'exclude', 'ad_outcome_outside_window'), (5, 'eligible', NULL)),
+        first AS (SELECT record_id, CASE WHEN greatest(event_time, observed_at) > '{EXECUTION}'::TIMESTAMP THEN 1 WHEN event_time + INTERVAL 3 DAY > '{EXECUTION}'::TIMESTAMP THEN 2 WHEN event_time <= '2024-01-05'::TIMESTAMP THEN 3
+          WHEN event_time NOT BETWEEN '2024-01-07'::TIMESTAMP AND '{AS_OF}'::TIMESTAMP THEN 4 ELSE 5 END AS n FROM signals)
+        SELECT record_id, disposition, code FROM first JOIN rule USING (n)""",
     ),
     "authoritative_latest": (
         lambda s, d: altdata.latest_by(_gate_rows(s, d), ["source_id", "entity_id"]).select("source_id", "entity_id", "record_id"),
         f"WITH {_GATE_SQL} SELECT source_id, entity_id, record_id FROM gate WHERE dc = 'eligible|' QUALIFY row_number() OVER (PARTITION BY source_id, entity_id ORDER BY observed_at DESC, record_id DESC) = 1",
     ),
     "revision_terminal": (
-        lambda s, d: altdata.terminal_records(signals(s, d)).select("source_id", "record_id"),
-        f"WITH {SIGNALS} SELECT source_id, record_id FROM signals a WHERE NOT EXISTS (SELECT 1 FROM signals b WHERE b.source_id = a.source_id AND b.revision_of = a.record_id)",
+        lambda s, d: altdata.terminal_records(_gate(s, d).select("record_id", "disposition").join(signals(s, d), "record_id"), F.col("disposition") == "eligible").select("source_id", "record_id"),
+        f"WITH {_GATE_SQL} SELECT source_id, record_id FROM gate a WHERE dc = 'eligible|' AND NOT EXISTS (SELECT 1 FROM gate b WHERE b.dc = 'eligible|' AND b.source_id = a.source_id AND b.revision_of = a.record_id)",
     ),
     "period_overlap_gap": (
         lambda s, d: altdata.overlaps_and_gaps(_periods(s, d), ["source_id", "entity_id"]).select("record_id", "overlap", "gap"),

@@ -9,6 +9,8 @@ import io
 import json
 import os
 import tempfile
+from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +83,22 @@ def report_html(result: dict) -> str:
     return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Audit</title></head><body><h1>Audit</h1><p>{note}</p><h2>Validation</h2><ul>{counts}</ul><h2>Flags</h2><ul>{flags}</ul><h2>Metrics</h2><table><tr>{head}</tr>{body}</table></body></html>\n'
 
 
+@dataclass(frozen=True)
+class Sink:
+    """A form of the report: its file, and how a result becomes its text."""
+
+    file: str
+    text: Callable[[dict], str]
+
+
+#: The files' names.
+SINKS = {
+    "json": Sink("audit-result.json", report_json),
+    "csv": Sink("metrics.csv", lambda result: metrics_csv(result["metrics"])),
+    "html": Sink("report.html", report_html),
+}
+
+
 def publish(files: dict[str, str], folder: str, overwrite: bool = False) -> None:
     """All files or none: written aside, synced, renamed; what was replaced comes back on failure."""
     root = Path(folder)

@@ -5,6 +5,7 @@ import io
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from paritas import cli
 from paritas.audit import run_audit
@@ -31,7 +32,7 @@ def frame(spark):
     "change",
     [
         {"protected": ()}, {"minimum_valid_resamples": 30}, {"air_threshold": float("inf")}, {"reference": {"g": "Z"}}, {"allowed": {"g": ("A", "A")}}, {"decision": None, "favorable_decision": None},
-        {"threshold": 0.5, "operator": "ge"}, {"decision": None, "threshold": 0.5, "operator": "le"}, {"weight": "s"}, {"expected_categories": {"y": (0,)}}, {"expected_categories": {"zz": (0,)}}, {"missing_policy": "maybe"}, {"reference": {"h": "A"}},
+        {"threshold": 0.5, "operator": "ge"}, {"decision": None, "threshold": 0.5, "operator": "le"}, {"weight": "s"}, {"expected_categories": {"y": (0,)}}, {"expected_categories": {"zz": (0,)}}, {"missing_policy": "maybe"}, {"missing_policy": "allow"}, {"unknown_group_policy": "allow"}, {"reference": {"h": "A"}},
     ],
 )
 def test_config_rules(change):
@@ -164,3 +165,17 @@ def test_contracts(spark, frame):
     assert new["schema_version"] == "2.0" and new["metrics"][0]["reliability"] == "not_assessed"
     with pytest.raises(ValueError):
         registry.migrate(new)
+
+
+def test_labels_with_quotes_and_reasons_of_differences(frame):
+    rows = frame.withColumn("g", F.when(F.col("g") == "A", "O'Neil").otherwise(F.col("g")))
+    result = run_audit(rows, config(reference={"g": "O'Neil"}, allowed={"g": ("O'Neil", "B", "C")}))
+    compared = {(m["metric"], m["comparison_group"]["g"]): (m["value"], m["undefined_reason"]) for m in result["metrics"] if "comparison_group" in m}
+    assert compared["selection_rate_difference", "B"] == (-0.25, None)
+    for m, why in {"selection_rate_difference": "comparison_metric_undefined", "demographic_parity_difference": "comparison_metric_undefined", "equal_opportunity_difference": "comparison_metric_undefined", "equalized_odds_gap": "component_metric_undefined"}.items():
+        assert compared[m, "C"] == (None, why)
+
+
+def test_probabilities_lie_between_zero_and_one(frame):
+    with pytest.raises(AuditDataError, match="invalid_probability"):
+        run_audit(frame.withColumn("s", F.col("s") * 4), config())

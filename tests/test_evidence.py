@@ -93,7 +93,7 @@ def test_leakage_order(spark):
     rows = {"future": (2, 30, "NULL", "posted"), "after": (12, 12, "NULL", "posted"), "revision": (2, 12, "'x'", "posted"), "late": (2, 12, "NULL", "pending"), "pending": (2, 3, "NULL", "pending"), "fine": (2, 3, "NULL", "posted")}
     sql = " UNION ALL ".join(f"SELECT '{k}' AS k, {t.format(f'{a:02}')} AS event_time, {t.format(f'{b:02}')} AS observed_at, CAST({r} AS STRING) AS revision_of, '{s}' AS status" for k, (a, b, r, s) in rows.items())
     got = {r.k: (r.disposition, r.code) for r in gate.gated(spark.sql(sql), "2025-01-10", "2025-01-20").collect()}
-    assert got == {"future": ("error", "ad_future_evidence"), "after": ("error", "ad_feature_after_decision"), "revision": ("exclude", "ad_revision_after_decision"), "late": ("exclude", "ad_observed_after_decision"), "pending": ("unavailable", "ad_pending_record"), "fine": ("eligible", None)}
+    assert got == {"future": ("error", "ad_future_timestamp"), "after": ("error", "ad_feature_after_decision"), "revision": ("exclude", "ad_revision_after_decision"), "late": ("exclude", "ad_observed_after_decision"), "pending": ("unavailable", "ad_pending_record"), "fine": ("eligible", None)}
 
 
 def test_revisions(spark):
@@ -101,8 +101,29 @@ def test_revisions(spark):
     df = spark.createDataFrame(rows, "source_id int, record_id string, revision_of string")
     assert {(r.source_id, r.record_id): r.root for r in altdata.revision_roots(df).collect()} == {(1, "a"): "a", (1, "b"): "a", (1, "c"): "a", (1, "d"): "d", (2, "a"): "a"}
     assert {(r.source_id, r.record_id) for r in altdata.terminal_records(df).collect()} == {(1, "c"), (1, "d"), (2, "a")}
-    with pytest.raises(ValueError, match="cycle"):
-        altdata.revision_roots(spark.createDataFrame([(1, "a", "b"), (1, "b", "a")], df.schema), most=8)
+    rejected = altdata.terminal_records(df, F.col("record_id") != "c")  # a rejected revision replaces nothing
+    assert {(r.source_id, r.record_id) for r in rejected.collect()} == {(1, "b"), (1, "d"), (2, "a")}
+    for length in (2, 3):
+        names = "abc"[:length]
+        with pytest.raises(ValueError, match="cycle"):
+            altdata.revision_roots(spark.createDataFrame([(1, x, names[i - 1]) for i, x in enumerate(names)], df.schema), most=8)
+
+
+def test_outcome_order(spark):
+    day = lambda x: F.to_timestamp(F.lit(f"2025-01-{x:02}"))
+    rows = {"future": (5, 25, 8), "immature": (1, 2, 22), "early": (3, 4, 8), "before_window": (5, 6, 8), "after_window": (16, 17, 18), "fine": (8, 9, 10)}
+    got = {}
+    for k, (at, seen, mature) in rows.items():
+        gate_ = altdata.outcome_gate(day(at), day(at), day(seen), day(mature), day(4), day(7), day(15), day(20))
+        got[k] = tuple(spark.range(1).select(gate_.alias("g")).select("g.*").first())
+    assert got == {
+        "future": ("error", "ad_future_timestamp"),
+        "immature": ("unavailable", "ad_label_immature"),
+        "early": ("error", "ad_outcome_not_post_decision"),
+        "before_window": ("exclude", "ad_outcome_outside_window"),
+        "after_window": ("exclude", "ad_outcome_outside_window"),
+        "fine": ("eligible", None),
+    }
 
 
 def test_cash_flow_fills_months(spark):
