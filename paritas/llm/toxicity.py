@@ -9,10 +9,12 @@ so a copy of an example has cosine 1 with it. Examples with equal vectors are on
 label.
 
 The index keeps, for each word, postings in blocks of entries with the block's largest weight. A query
-sums the block maxima of its words, visits blocks by falling bound in growing groups, and stops when no
-block can beat its k-th best cosine: the nearest entries are exact. They vote with weight 1 / (distance + 0.05), with
+sums the block maxima of its words, visits the blocks of highest bound, and then all others that can still
+beat its k-th best cosine: the nearest entries are exact. Postings of words that many entries hold are kept
+as rows of a matrix. The entries vote with weight 1 / (distance + 0.05), with
 the prior as ``PRIOR`` more votes; the vote is calibrated by Platt scaling on examples that are left out of
-their own neighbourhood. The index is bounded by the examples and is broadcast; scoring is row-local.
+their own neighbourhood. The index is bounded by the examples and is broadcast; scoring is row-local. Texts are taken apart once:
+their word numbers and counts are written, frequencies and scores are computed from them.
 
 Defined cases: a null or empty text, or one without a word of any example, meets the entry of the
 empty vector: its score is the share of label 1 among examples alike (or 0.5 without labels). Null
@@ -23,6 +25,7 @@ table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -34,9 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.shared import by_value
+from paritas.llm.shared import by_value, written
 
 EXAMPLES, NEIGHBOURS, BLOCK = 2000, 15, 64
+FIRST = 4  # blocks that a query visits before it compares bounds
+OFTEN = 16  # words in more than one of so many entries are rows of a matrix
 LIGHT = 0.3  # weight of a word that the label test does not pass (least leave-one-out loss of 1, 0.3, 0.1, 0.03)
 PRIOR = 10.0  # votes of the prior: a single near example does not decide
 _WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -49,6 +54,14 @@ def words_of(text: str | None) -> list[str]:
     return re.findall(_WORD, text.lower()) if isinstance(text, str) else []
 
 
+def codes(of: dict[str, int], text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a text's known words, in order, and how often they occur."""
+    words = words_of(text)
+    t, c = np.unique(np.fromiter(map(of.get, words, itertools.repeat(-1)), np.int32, len(words)), return_counts=True)
+    known = int(len(t) > 0 and t[0] < 0)
+    return t[known:], c[known:]
+
+
 #: {word: weight}, or words in order and their weights
 Vector = dict[int, float] | tuple[np.ndarray, np.ndarray]
 
@@ -81,6 +94,31 @@ class Index:
         self.prior = float((total[1] + 1) / (total.sum() + 2))
         self.scale, self.shift = 1.0, 0.0
         self.known: dict[bytes, float] = {}
+        self.matrix: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def state(self) -> dict:
+        """What a worker needs for ``restored``; the rest it makes itself."""
+        return vars(self) | {"known": {}, "matrix": None}
+
+    @classmethod
+    def restored(cls, state: dict) -> Index:
+        index = cls.__new__(cls)
+        vars(index).update(state, known={})
+        return index
+
+    def often(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The row of each word (-1: none), its weights by entry and its maxima by block."""
+        if self.matrix is None:
+            entries = len(self.counts)
+            lo, hi = self.pair_at[self.word_at[:-1]], self.pair_at[self.word_at[1:]]
+            words = np.flatnonzero((hi - lo) * OFTEN > entries)
+            row = np.full(len(lo), -1, np.int32)
+            row[words] = np.arange(len(words))
+            weights = np.zeros((len(words), -(-entries // BLOCK) * BLOCK))
+            for n, t in enumerate(words.tolist()):
+                weights[n, self.entry[lo[t] : hi[t]]] = self.weight[lo[t] : hi[t]]
+            self.matrix = row, weights, weights.reshape(len(words), -1, BLOCK).max(2, initial=0.0)
+        return self.matrix
 
     @property
     def entries(self) -> list[tuple]:
@@ -109,14 +147,13 @@ class Index:
         return dict(zip(t.tolist(), x.tolist(), strict=True))
 
     def _vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        of = self.of
-        return self._weigh({t: c for w, c in Counter(words_of(text)).items() if (t := of.get(w)) is not None})
+        return self._weigh(codes(self.of, text))
 
     def weigh(self, counts: dict[int, int]) -> dict[int, float]:
         t, x = self._weigh(counts)
         return dict(zip(t.tolist(), x.tolist(), strict=True))
 
-    def _weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def _weigh(self, counts: Vector) -> tuple[np.ndarray, np.ndarray]:
         t, c = self.arrays(counts)
         x = (1 + np.log(c)) * self.idf[t]
         norm = math.sqrt(float((x * x).sum()))
@@ -128,29 +165,39 @@ class Index:
         if not len(t):
             n = self.place.get(self.key((t, x)))
             return [] if n is None else [(1.0, n)]
+        row, weights, most = self.often()
+        r = row[t]
+        rows, mass = r[r >= 0], x[r >= 0]
+        t, x = t[r < 0], x[r < 0]
         pairs, of = _spans(self.word_at[t], self.word_at[t + 1] - self.word_at[t])
         block, x = self.pair_block[pairs], x[of]
-        bound = np.bincount(block, x * self.pair_most[pairs], -(-len(self.counts) // BLOCK))
-        order = np.argsort(-bound, kind="stable")
         lo = self.pair_at[pairs]
         size = self.pair_at[pairs + 1] - lo
-        best: list[tuple[float, int]] = []
-        at, step = 0, 4
-        # a bound and a cosine may differ in rounding
-        while at < len(order) and bound[order[at]] > 0 and not (len(best) == k and bound[order[at]] < best[-1][0] - 1e-9):
-            now = np.zeros(len(order), bool)
-            now[order[at : at + step]] = True
+        blocks = most.shape[1]
+        bound = mass @ most[rows] + np.bincount(block, x * self.pair_most[pairs], blocks)
+        now = np.zeros(blocks, bool)
+        now[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        open_, best = ~now, []
+        while now.any():
             mine = np.flatnonzero(now[block])
             places, of = _spans(lo[mine], size[mine])
-            score = np.bincount(self.entry[places], x[mine][of] * self.weight[places], len(self.counts))
-            if 0 <= without < len(score):
+            score = np.bincount(self.entry[places], x[mine][of] * self.weight[places], blocks * BLOCK).astype(float).reshape(blocks, BLOCK)
+            if 2 * now.sum() > blocks:
+                score = np.where(now[:, None], score + (mass @ weights[rows]).reshape(blocks, BLOCK), 0)
+            else:
+                for b in np.flatnonzero(now).tolist():
+                    score[b] += mass @ weights[rows, b * BLOCK : (b + 1) * BLOCK]
+            score = np.round(score.ravel(), 12)
+            if without >= 0:
                 score[without] = 0
             found = np.flatnonzero(score)
             if len(found) > k:
                 some = score[found]
                 found = found[some >= np.partition(some, -k)[-k]]
             best = sorted([*best, *zip(score[found].tolist(), found.tolist(), strict=True)], key=lambda z: (-z[0], z[1]))[:k]
-            at, step = at + step, step * 4
+            # a bound and a cosine may differ in rounding
+            now = open_ & (bound > 0) & (bound >= (best[-1][0] - 1e-9 if len(best) == k else 0))
+            open_ = np.zeros(blocks, bool)
         return best
 
     def vote(self, v: Vector, own: int | None = None) -> float:
@@ -177,7 +224,10 @@ class Index:
         return self
 
     def score(self, text: str | None) -> float:
-        v = self._vector(text)
+        return self.score_codes(codes(self.of, text))
+
+    def score_codes(self, counts: Vector) -> float:
+        v = self._weigh(counts)
         key = self.key(v)
         if key not in self.known:
             if len(self.known) > 100_000:
@@ -227,7 +277,12 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
-    """Choose examples, weigh their words, count frequencies over all documents, build the index."""
+    """The index of the labelled examples."""
+    return _fit(docs, labels)[0]
+
+
+def _fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, DataFrame]:
+    """Choose examples, weigh their words, write all texts as codes, count frequencies, build the index."""
     learn = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
     order = F.xxhash64("doc_id", F.lit("toxicity")), F.col("doc_id")
     picked = [learn.filter(F.col("y") == y).orderBy(*order).limit(EXAMPLES) for y in (0, 1)]
@@ -256,37 +311,59 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
             scored.append((-x, w))
     tested = [w for _, w in sorted(scored)]
     vocabulary = tested + sorted(seen.keys() - set(tested))
-    known_words = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+    coded = _coded(docs, {w: i for i, w in enumerate(vocabulary)})
+    size = len(vocabulary) + 1  # the last place counts the documents
 
-    def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = known_words.value
-        count, docs_ = Counter(), 0
+    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(size, np.int64)
         for batch in batches:
-            for t in batch["text"]:
-                count.update(known.intersection(words_of(t)))
-            docs_ += len(batch)
-        yield pd.DataFrame({"w": ["", *count], "c": [docs_, *count.values()]})
-
-    df = {r[0]: r[1] for r in docs.select("text").mapInPandas(presence, "w string, c long").groupBy("w").agg(F.sum("c")).collect()}
-    idf = np.array([math.log(1 + df.get("", 0) / max(1, df.get(w, 0))) for w in vocabulary]) * np.where(np.arange(len(vocabulary)) < len(tested), 1.0, LIGHT)
+            found += np.bincount(batch.column("t").flatten().to_numpy(), minlength=size)
+            found[-1] += len(batch)
+        places = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(found[places])], names=["t", "n"])
+
+    df = np.zeros(size)
+    for t, n in coded.select("t").mapInArrow(presence, "t int, n long").groupBy("t").agg(F.sum("n")).collect():
+        df[t] = n
+    idf = np.log(1 + df[-1] / np.maximum(1, df[:-1])) * np.where(np.arange(len(vocabulary)) < len(tested), 1.0, LIGHT)
     blank = Index(vocabulary, idf, [], np.zeros(0))
     vectors = [blank._weigh({blank.of[w]: c for w, c in zip(ws, cs, strict=True)}) for ws, cs in zip(rows["w"], rows["c"], strict=True)]
     del rows, seen, df, blank
-    return Index(vocabulary, idf, vectors, y).calibrate(vectors, y)
+    return Index(vocabulary, idf, vectors, y).calibrate(vectors, y), coded
+
+
+def _coded(docs: DataFrame, of: dict[str, int]) -> DataFrame:
+    """(doc_id, held_out, t, c) of every document, written: its known words' numbers and their counts."""
+    known = docs.sparkSession.sparkContext.broadcast(of)  # the words of the examples
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [codes(known.value, t) for t in batch.column("text").to_pylist()]
+            ends = pa.array(np.cumsum([0, *(len(t) for t, _ in found)]), pa.int32())
+            lists = (np.concatenate([np.zeros(0, np.int32), *(x[k] for x in found)]).astype(np.int32) for k in (0, 1))
+            columns = [batch.column("doc_id"), batch.column("held_out"), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "t", "c"])
+
+    ids = F.col("doc_id").cast("long")
+    rows = docs.select(ids.alias("doc_id"), held_out(ids).alias("held_out"), "text")
+    return written(rows.mapInArrow(run, "doc_id long, held_out boolean, t array<int>, c array<int>"), "words")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    index, coded = _fit(docs, labels)
+    state = docs.sparkSession.sparkContext.broadcast(index.state())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index.restored(state.value)
         for batch in batches:
-            score = [index.value.score(t) for t in batch.column("text").to_pylist()]
+            t, c = batch.column("t"), batch.column("c")
+            ends, t, c = np.cumsum([0, *t.value_lengths().to_pylist()]), t.flatten().to_numpy(), c.flatten().to_numpy()
+            score = [index.score_codes((t[a:b], c[a:b])) for a, b in itertools.pairwise(ends.tolist())]
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= 0.7) for s in score], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
-    ids = F.col("doc_id").cast("long")
-    return docs.select(ids.alias("doc_id"), held_out(ids).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return coded.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 by_value(__name__)
