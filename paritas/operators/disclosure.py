@@ -57,11 +57,15 @@ def nullspace(rows: Sequence[Sequence[int]], width: int) -> list[list[Fraction]]
     return out
 
 
-def complementary(atom_counts: dict[tuple[str, ...], int], counts: dict[str, int], minimum: int, locked: frozenset[str] = frozenset()) -> dict[str, str]:
-    """Cells to hide, with the reason: hide the smallest released cell until no hidden one is determined.
+def complementary(
+    atom_counts: dict[tuple[str, ...], int], counts: dict[str, int], minimum: int, locked: frozenset[str] = frozenset(), totals: frozenset[str] = frozenset()
+) -> dict[str, str]:
+    """Cells to hide, with the reason: hide released cells until no hidden one is determined.
 
     A hidden cell is determined if no whole step along the released cells' nullspace changes it while
-    atoms stay non-negative. Raises if every cell that could be hidden is locked.
+    atoms stay non-negative. For the first such cell the smallest released cell goes that alone frees
+    it; if none does, the smallest released cell; ``totals`` only where nothing else is left and one
+    frees it. Raises if a determined cell cannot be freed.
     """
     signatures = sorted(atom_counts)
     hidden = {c: "primary" for c in sorted(counts) if counts[c] < minimum}
@@ -71,27 +75,34 @@ def complementary(atom_counts: dict[tuple[str, ...], int], counts: dict[str, int
     def vector(cell: str) -> list[int]:
         return [int(cell in s) for s in signatures]
 
-    while True:
-        shown = [c for c in sorted(counts) if c not in hidden]
-        basis = nullspace([vector(c) for c in shown], len(signatures))
-        steps = []
-        for b in basis:
+    def steps(shown: list[str]) -> list[list[int]]:
+        out = []
+        for b in nullspace([vector(c) for c in shown], len(signatures)):
             scale = 1
             for v in b:
                 scale = scale * v.denominator // gcd(scale, v.denominator)
             whole = [int(v * scale) for v in b]
-            for sign in (1, -1):
-                if all(atom_counts[s] + sign * w >= 0 for s, w in zip(signatures, whole, strict=True)):
-                    steps.append(whole)
-                    break
+            if any(all(atom_counts[s] + sign * w >= 0 for s, w in zip(signatures, whole, strict=True)) for sign in (1, -1)):
+                out.append(whole)
+        return out
 
-        def open_(cell: str, steps=steps) -> bool:
-            v = vector(cell)
-            return any(sum(a * b for a, b in zip(v, s, strict=True)) for s in steps)
+    def is_open(cell: str, ways: list[list[int]]) -> bool:
+        v = vector(cell)
+        return any(sum(a * b for a, b in zip(v, s, strict=True)) for s in ways)
 
-        if all(open_(c) for c in hidden):
+    while True:
+        shown = [c for c in sorted(counts) if c not in hidden]
+        ways = steps(shown)
+        unsafe = next((c for c in sorted(hidden) if not is_open(c, ways)), None)
+        if unsafe is None:
             return hidden
-        left = [c for c in shown if c not in locked]
-        if not left:
+
+        def frees(cell: str, shown=shown, unsafe=unsafe) -> bool:
+            return is_open(unsafe, steps([c for c in shown if c != cell]))
+
+        left = sorted((c for c in shown if c not in locked), key=lambda c: (counts[c], c))
+        parts = [c for c in left if c not in totals]
+        chosen = next(filter(frees, parts), None) or next(iter(parts), None) or next(filter(frees, (c for c in left if c in totals)), None)
+        if chosen is None:
             raise ValueError("no cell is left to hide")
-        hidden[min(left, key=lambda c: (counts[c], c))] = "complementary"
+        hidden[chosen] = "complementary"

@@ -81,7 +81,7 @@ def _complementary(s, d):
     # cells and atoms are aggregates: as many as there are groups, not rows
     counts = {f"{r.table_id}:{r.cell_id}": r.n for r in disclosure.cells(m).collect()}
     atoms = {tuple(r.signature.split("|")): r.n for r in disclosure.atoms(m).collect()}
-    hidden = disclosure.complementary(atoms, counts, _MINIMUM)
+    hidden = disclosure.complementary(atoms, counts, _MINIMUM, totals=frozenset({"population:all"}))
     return s.createDataFrame([(c, n, hidden.get(c)) for c, n in sorted(counts.items())], "cell string, n long, reason string")
 
 

@@ -139,6 +139,10 @@ def test_complementary_suppression_hides_a_second_cell():
     assert disclosure.complementary(atoms, counts, 3) == {}
     with pytest.raises(ValueError):
         disclosure.complementary(atoms, counts, 10, frozenset({"all", "a", "b"}))
+    # an unrelated split protects nothing and stays; totals go last
+    atoms = {("A", "X", "all"): 1, ("A", "Y", "all"): 2, ("B", "X", "all"): 19, ("B", "Y", "all"): 18}
+    counts = {"all": 40, "A": 3, "B": 37, "X": 20, "Y": 20}
+    assert disclosure.complementary(atoms, counts, 10, totals=frozenset({"all"})) == {"A": "primary", "B": "complementary"}
 
 
 def test_proxy_oracles(spark):
