@@ -4,15 +4,18 @@ On unit vectors cosine >= c is distance <= eps = sqrt(2 - 2c). Vectors of a labe
 Upper levels: a node with more than ``BLOCK`` vectors is split by centres, a greedy net with halving
 radii over a bounded hashed sample of its vectors; every vector goes to its nearest centre, again until
 nodes are small (a node of vectors that centres cannot part is dealt by hash). Every vector is indexed;
-only the choice of centres looks at a sample. A pair of nodes is pruned if their centres are further
-apart than both covering radii and eps. Lower levels: each node carries nested nets with halving radii,
-and two nodes are traversed against each other from the top, with the same bound at every level; the
-surviving leaf pairs are decided by exact cosines in double precision. So the pairs are exact.
-
-A pair of nodes returns link counts per vector and a spanning forest of its links, never the pairs
-themselves, so a large group of copies costs rows in proportion to its size. In many dimensions
-unrelated vectors are nearly orthogonal, and the bounds prune little above the leaves: the exact work
-within a label is then quadratic in its vectors, though in blocks of matrix products.
+only the choice of centres looks at a sample. The upper
+tree is traversed against itself from the labels' roots: a pair of nodes is pruned if their centres are
+further apart than both covering radii and eps, else all pairs of their children are looked at. Lower
+levels: each leaf of it carries nested nets with halving radii, made once, and two leaves are traversed
+against each other with the same bound at every level, all pairs of a level in one matrix product; the
+surviving pairs are decided by exact cosines in double precision. So the pairs are exact.
+
+Equal vectors of a label are one vector with a number of copies before anything else is shuffled. A pair
+of leaves returns link counts per vector and a spanning forest of its links, never the pairs themselves,
+so a large group costs rows in proportion to its size. In many dimensions unrelated vectors are nearly
+orthogonal, and the bounds prune little: the exact work within a label is then quadratic in its distinct
+vectors, though in blocks of matrix products.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows whose
 label is null, link with nothing; vectors of other lengths than their partner's never link; repeated
@@ -21,16 +24,18 @@ rows are vectors of their own and link; an empty table gives an empty table; oth
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paritas.llm.components import components
-from paritas.llm.shared import by_value, checkpoint
+from paritas.llm.shared import arrow_rows, by_value, checkpoint, written
 
 COSINE, BLOCK, SAMPLE, MOST_CENTRES = 0.98, 1024, 512, 32
 
@@ -90,84 +95,81 @@ class Tree:
                     far = np.minimum(far, np.sqrt(np.maximum(0, 2 - 2 * (x @ x[i]))))
             centres = np.concatenate([centres, np.array(more, np.int64)])  # nested: old centres stay
 
-    def children(self, level: int) -> list[np.ndarray]:
-        """For each node of a level, the nodes of the next one that hold one of its vectors."""
-        a, b = self.levels[level][2], self.levels[level + 1][2]
-        both = np.unique(np.stack([a, b], 1), axis=0)
-        return np.split(both[:, 1], np.cumsum(np.bincount(both[:, 0], minlength=len(self.levels[level][0])))[:-1])
+    @classmethod
+    def of(cls, x: np.ndarray, levels: list) -> Tree:
+        tree = cls.__new__(cls)
+        tree.x, tree.levels = x, levels
+        return tree
+
+    def below(self, alive: np.ndarray, level: int) -> np.ndarray:
+        """Rows for the nodes of ``level``, alive where a node above that holds one of their vectors is."""
+        a, b = self.levels[level - 1][2], self.levels[level][2]
+        out = np.zeros((len(self.levels[level][0]), alive.shape[1]), bool)
+        both = np.unique(np.stack([b, a], 1), axis=0)
+        start = np.flatnonzero(np.r_[True, both[1:, 0] != both[:-1, 0]])
+        out[both[start, 0]] = np.logical_or.reduceat(alive[both[:, 1]], start, axis=0)
+        return out
+
 
+def descend(s: Tree, t: Tree, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf nodes of both trees that some surviving pair holds, and whether each pair of these survives.
 
-def traverse(s: Tree, t: Tree, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of leaf nodes that the covering radii do not rule out."""
-    i, j = np.array([0]), np.array([0])
+    All pairs of nodes of a level are bounded by one matrix product of their centres.
+    """
+    alive = np.ones((1, 1), bool)
     for level in range(max(len(s.levels), len(t.levels))):
-        ls, lt = min(level, len(s.levels) - 1), min(level, len(t.levels) - 1)
-        if level:
-            ends = []
-            for tree, now, was, nodes in ((s, ls, min(level - 1, len(s.levels) - 1), i), (t, lt, min(level - 1, len(t.levels) - 1), j)):
-                kids = tree.children(was) if now != was else [np.array([k]) for k in range(len(tree.levels[now][0]))]
-                ends.append([kids[n] for n in nodes])
-            i = np.concatenate([np.repeat(a, len(b)) for a, b in zip(*ends, strict=True)]) if len(i) else i
-            j = np.concatenate([np.tile(b, len(a)) for a, b in zip(*ends, strict=True)]) if len(j) else j
-            both = np.unique(i * len(t.levels[lt][0]) + j)
-            i, j = both // len(t.levels[lt][0]), both % len(t.levels[lt][0])
-        cs, ct = s.levels[ls], t.levels[lt]
-        keep = []
-        for at in range(0, len(i), 1 << 16):
-            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", s.x[cs[0][a]], t.x[ct[0][b]])))
-            keep.append(d <= cs[1][a] + ct[1][b] + eps)
-        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-        i, j = i[keep], j[keep]
-    return i, j
-
-
-def join_blocks(x: np.ndarray, y: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Link counts of x and of y (None: x against itself), and a spanning forest with y after x."""
-    if y is not None and x.shape[1] != y.shape[1]:
-        return np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
-    eps = float(np.sqrt(2 - 2 * cosine)) + 1e-7
-    s = Tree(x, eps)
-    t = s if y is None else Tree(y, eps)
-    i, j = traverse(s, t, eps)
-    if y is None:
-        i, j = i[i <= j], j[i <= j]
+        for side, tree in enumerate((s, t)):
+            if 0 < level < len(tree.levels):
+                alive = tree.below(alive if side == 0 else alive.T, level)
+                alive = alive if side == 0 else alive.T
+        (ca, ra, _), (cb, rb, _) = s.levels[min(level, len(s.levels) - 1)], t.levels[min(level, len(t.levels) - 1)]
+        i, j = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+        if not len(i):
+            return i, j, alive[:0, :0]
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (s.x[ca[i]] @ t.x[cb[j]].T)))
+        near = apart <= ra[i][:, None] + rb[j][None, :] + eps
+        alive[np.ix_(i, j)] &= near
+    i, j = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+    return i, j, alive[np.ix_(i, j)]
+
+
+def join_blocks(s: Tree, t: Tree | None, cosine: float, ws: np.ndarray | None = None, wt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Link counts of the vectors of s and of t (None: s against itself), and a spanning forest with t after s.
+
+    ``ws`` and ``wt`` count the copies of each vector: a link to a vector is one to all its copies.
+    """
+    own = t is None
+    t = s if own else t
+    ws, wt = (np.ones(len(x.x), np.int64) if w is None else w for x, w in ((s, ws), (t, ws if own else wt)))
+    cx, cy = np.zeros(len(s.x), np.int64), np.zeros(0 if own else len(t.x), np.int64)
+    none = np.zeros((0, 2), np.int64)
+    if s.x.shape[1] != t.x.shape[1]:
+        return cx, cy, none
+    i, j, alive = descend(s, t, float(np.sqrt(2 - 2 * cosine)) + 1e-7)
+    if not len(i):
+        return cx, cy, none
     near_s, near_t = s.levels[-1][2], t.levels[-1][2]
-    rows_s = np.split(np.argsort(near_s, kind="stable"), np.cumsum(np.bincount(near_s, minlength=len(s.levels[-1][0])))[:-1])
-    rows_t = rows_s if t is s else np.split(np.argsort(near_t, kind="stable"), np.cumsum(np.bincount(near_t, minlength=len(t.levels[-1][0])))[:-1])
-    cx, cy = np.zeros(len(x), np.int64), np.zeros(0 if y is None else len(y), np.int64)
-    parent = list(range(len(x) + len(cy)))
-    forest: list[tuple[int, int]] = []
-
-    def find(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    order = np.argsort(i, kind="stable")
-    cuts = np.flatnonzero(np.diff(i[order])) + 1
-    for group in np.split(order, cuts):
-        if not len(group):
-            continue
-        a = rows_s[i[group[0]]]
-        b = np.concatenate([rows_t[k] for k in j[group]])
-        hit = x[a] @ (t.x[b].T) >= cosine
-        if y is None:
-            own = np.repeat(j[group] == i[group[0]], [len(rows_t[k]) for k in j[group]])
-            hit &= ~(own[None, :] & (b[None, :] <= a[:, None]))  # each pair once
-        if not hit.any():
-            continue
-        cx[a] += hit.sum(1)
-        np.add.at(cx if y is None else cy, b, hit.sum(0))
-        shift = 0 if y is None else len(x)
-        for r in np.flatnonzero(hit.any(1)):
-            for c in b[np.flatnonzero(hit[r])].tolist():
-                p, q = find(int(a[r])), find(c + shift)
-                if p != q:
-                    parent[p] = q
-                    forest.append((int(a[r]), c + shift))
-    return cx, cy, forest
+    a, b = np.flatnonzero(np.isin(near_s, i)), np.flatnonzero(np.isin(near_t, j))
+    hit = (s.x[a] @ t.x[b].T >= cosine) & alive[np.searchsorted(i, near_s[a])][:, np.searchsorted(j, near_t[b])]
+    if own:  # a and b are the same vectors, since survival is symmetric
+        np.fill_diagonal(hit, False)
+        hit |= hit.T
+    cx[a] = hit @ wt[b]
+    if not own:
+        cy[b] = hit.T @ ws[a]
+    shift = 0 if own else len(s.x)
+    label = np.arange(len(cx) + len(cy))
+    forest = [none]
+    for r in np.flatnonzero(hit.any(1)):
+        cells = b[hit[r]] + shift
+        groups, first = np.unique(label[cells], return_index=True)
+        mine = label[a[r]]
+        fresh = groups != mine
+        if fresh.any():
+            far = cells[first[fresh]]
+            forest.append(np.stack([np.full(len(far), a[r]), far], 1))
+            label[np.isin(label, groups)] = mine
+    return cx, cy, np.concatenate(forest)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -179,49 +181,96 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = [None if label is None else u for u, label in zip(unit(batch.column("embedding").to_pylist()), batch.column("label").to_pylist(), strict=True)]
-            columns = [batch.column("vec_id"), batch.column("label"), pa.array([0 if u is None else len(u) for u in v], pa.int32()), pa.array([None if u is None else _pack(u) for u in v], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "label", "dim", "v"])
-
-    rows = vectors.select(*[F.col(c).cast("long").alias(c) for c in ("vec_id", "label")], F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(units, "vec_id long, label long, dim int, v binary")
-    rows = checkpoint(rows.withColumn("id", F.monotonically_increasing_id()))
-    nodes = rows.filter("v IS NOT NULL").select("id", F.struct("label", "dim").alias("top"), F.concat_ws("/", "label", "dim").alias("node"), "v")
-    nodes = _split(nodes, block)
-    blocks = checkpoint(nodes.groupBy("top", "node").applyInPandas(_gather, "label long, dim int, node string, ids binary, x binary, centre binary, radius double"))
-    eps = float(np.sqrt(2 - 2 * cosine)) + 1e-6
-
-    side = ["label", "dim", "node", "centre", "radius"]
-    a, b = (blocks.select("label", "dim", *[F.col(c).alias(c + s) for c in side[2:]]) for s in "ab")
-
-    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            d = [np.linalg.norm(np.frombuffer(x) - np.frombuffer(y)) for x, y in zip(p["centrea"], p["centreb"], strict=True)]
-            yield p.loc[np.array(d) <= p["radiusa"] + p["radiusb"] + eps, ["nodea", "nodeb"]]
-
-    pairs = a.join(b, ["label", "dim"]).filter("nodea <= nodeb").mapInPandas(prune, "nodea string, nodeb string")
-    left = blocks.select(F.col("node").alias("nodea"), "dim", F.col("ids").alias("ia"), F.col("x").alias("xa"))
-    right = blocks.select(F.col("node").alias("nodeb"), F.col("ids").alias("ib"), F.col("x").alias("xb"))
+            labels = batch.column("label").to_pylist()
+            v = [None if u is None or label is None else _pack(u) for u, label in zip(unit(batch.column("embedding").to_pylist()), labels, strict=True)]
+            keys = [None if u is None else hashlib.sha256(b"%d/" % label + u).digest() for u, label in zip(v, labels, strict=True)]
+            columns = [batch.column("vec_id"), batch.column("label"), pa.array(v, pa.binary()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "label", "v", "key"])
+
+    rows = vectors.select(*[F.col(c).cast("long").alias(c) for c in ("vec_id", "label")], F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = written(rows.mapInArrow(units, "vec_id long, label long, v binary, key binary"), "vectors")
+    # equal vectors of a label are one vector with a number of copies, before anything else is shuffled
+    alike = rows.filter("v IS NOT NULL").groupBy("key", "label", "v").agg(F.count("*").alias("copies"))
+    alike = checkpoint(alike.withColumn("id", F.monotonically_increasing_id()))
+    top = F.concat_ws("/", "label", F.length("v"))
+    blocks = _blocks(_split(alike.select("id", top.alias("node"), "v", "copies"), block), cosine)
+    ends = _meeting(blocks, float(np.sqrt(2 - 2 * cosine)) + 1e-6)
+    left, right = (blocks.select(F.col("node").alias(f"node{s}"), *[F.col(c).alias(c + s) for c in ("ids", "copies", "x", "tree")]) for s in "ab")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             for r in p.itertuples():
-                x, ids = np.frombuffer(r.xa).reshape(-1, r.dim), np.frombuffer(r.ia, "<i8")
-                y, others = (None, ids[:0]) if r.nodea == r.nodeb else (np.frombuffer(r.xb).reshape(-1, r.dim), np.frombuffer(r.ib, "<i8"))
-                cx, cy, forest = join_blocks(x, y, cosine)
+                s, ids, ws = _tree(r.xa, r.treea), np.frombuffer(r.idsa, "<i8"), np.frombuffer(r.copiesa, "<i8")
+                own = r.nodea == r.nodeb
+                t, others, wt = (None, ids[:0], None) if own else (_tree(r.xb, r.treeb), np.frombuffer(r.idsb, "<i8"), np.frombuffer(r.copiesb, "<i8"))
+                cx, cy, f = join_blocks(s, t, cosine, ws, wt)
                 every, count = np.concatenate([ids, others]), np.concatenate([cx, cy])
                 has = count > 0
-                f = np.array(forest, np.int64).reshape(-1, 2)
                 yield pd.DataFrame({"a": np.concatenate([every[has], every[f[:, 0]]]), "b": np.concatenate([np.full(has.sum(), -1), every[f[:, 1]]]), "n": np.concatenate([count[has], np.zeros(len(f), np.int64)])})
 
-    found = checkpoint(pairs.join(left, "nodea").join(right, "nodeb").mapInPandas(link, "a long, b long, n long"))
-    counts = found.filter("b < 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    with arrow_rows(rows.sparkSession, 8):
+        found = checkpoint(ends.join(left, "nodea").join(right, "nodeb").mapInPandas(link, "a long, b long, n long"))
+    counts = found.filter("b < 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     roots = components(found.filter("b >= 0"))
-    named = rows.select("vec_id", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
+    named = alike.select("key", "id", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
+    named = named.select("key", F.coalesce("root", "id").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    named = checkpoint(rows.select("vec_id", "key").join(named, "key", "left").drop("key"))
     least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("vec_id").alias("least"))
-    out = named.join(least, "root", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
+    out = named.join(least, "root", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _tree(x: bytes, levels: bytes) -> Tree:
+    found = pickle.loads(levels)
+    return Tree.of(np.frombuffer(x).reshape(len(found[0][2]), -1), found)
+
+
+def _blocks(nodes: DataFrame, cosine: float) -> DataFrame:
+    """One row for each leaf of the upper tree: its vectors, its own tree (made once), a centre and a radius."""
+    eps = float(np.sqrt(2 - 2 * cosine)) + 1e-7
+
+    def gather(p: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.frombuffer(v) for v in p["v"]])
+        centre = x.mean(0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(1)).max())
+        one = [p["node"].iloc[0], p["id"].to_numpy("<i8").tobytes(), p["copies"].to_numpy("<i8").tobytes(), _pack(x), pickle.dumps(Tree(x, eps).levels), centre, radius]
+        return pd.DataFrame([one], columns=["node", "ids", "copies", "x", "tree", "centre", "radius"])
+
+    return checkpoint(nodes.groupBy("node").applyInPandas(gather, "node string, ids binary, copies binary, x binary, tree binary, centre array<double>, radius double"))
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+
+
+def _meeting(blocks: DataFrame, eps: float) -> DataFrame:
+    """(nodea, nodeb) of the leaf pairs that centres and covering radii do not rule out, a <= b.
+
+    The upper tree is traversed against itself from the labels' roots down. A pair of nodes has a few
+    children only, so neither a label nor a node is one task's work. A node's centre is one of its
+    blocks' centres, its covering radius reaches the far side of every block.
+    """
+    parts = F.split("node", r"\.")
+    balls = blocks.select("node", "centre", "radius", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"), F.size(parts).alias("deepest"))
+    balls = balls.withColumn("inner", F.expr("substring_index(node, '.', depth)"))
+    middle = balls.groupBy("inner", "depth", "deepest").agg(F.min("node").alias("node")).groupBy("inner", "depth").agg(F.min("node").alias("node"))
+    middle = middle.join(blocks.select("node", F.col("centre").alias("middle")), "node").select("inner", "middle")
+    upper = balls.join(middle, "inner").groupBy("inner", "depth", "middle").agg(F.max(_distance("centre", "middle") + F.col("radius")).alias("reach"), F.max(F.col("depth") == F.col("deepest")).alias("leaf"))
+    upper = checkpoint(upper.withColumn("parent", F.when(F.col("depth") > 1, F.expr("substring_index(inner, '.', depth - 1)"))))
+    deepest = upper.agg(F.max("depth")).first()[0] or 0
+    pairs = upper.filter("depth = 1").select(F.col("inner").alias("nodea"), F.col("inner").alias("nodeb"))
+    for depth in range(2, deepest + 1):
+        # a leaf stays what it is while others descend
+        down = upper.filter(F.col("depth") == depth).select("parent", "inner", "middle", "reach").union(
+            upper.filter(F.col("leaf") & (F.col("depth") < depth)).select(F.col("inner").alias("parent"), "inner", "middle", "reach")
+        )
+        a, b = (down.toDF(f"node{s}", f"child{s}", f"middle{s}", f"reach{s}") for s in "ab")
+        both = pairs.join(a, "nodea").join(b, "nodeb").filter("childa <= childb OR nodea <> nodeb")
+        both = both.filter(_distance("middlea", "middleb") <= F.col("reacha") + F.col("reachb") + F.lit(eps))
+        pairs = checkpoint(both.select(F.col("childa").alias("nodea"), F.col("childb").alias("nodeb")))
+    return pairs
+
+
 def _split(nodes: DataFrame, block: int) -> DataFrame:
     """Split large nodes by centres until all are small."""
     done = []
@@ -259,8 +308,8 @@ def _split(nodes: DataFrame, block: int) -> DataFrame:
                         to = (x @ c.T).argmax(1)
                         names = q["node"] + "." + pd.Series(to, index=q.index).astype(str)
                     else:  # vectors that no centres part
-                        names = q["node"] + "." + (q["id"] % (q["size"] // block + 1)).astype(str) + "h"
-                    out.append(q.assign(node=names)[["id", "top", "node", "v"]])
+                        names = q["node"] + ".h" + (q["id"] % (q["size"] // block + 1)).astype(str)
+                    out.append(q.assign(node=names)[["id", "node", "v", "copies"]])
                 if out:
                     yield pd.concat(out)
 
@@ -277,13 +326,4 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _gather(p: pd.DataFrame) -> pd.DataFrame:
-    x = np.stack([np.frombuffer(v) for v in p["v"]])
-    centre = x.mean(0)
-    top = p["top"].iloc[0]
-    return pd.DataFrame(
-        {"label": [top["label"]], "dim": [top["dim"]], "node": [p["node"].iloc[0]], "ids": [p["id"].to_numpy("<i8").tobytes()], "x": [_pack(x)], "centre": [_pack(centre)], "radius": [float(np.sqrt(((x - centre) ** 2).sum(1)).max())]}
-    )
-
-
 by_value(__name__)
