@@ -97,20 +97,6 @@ def signals_not_provided(entities: DataFrame, records: DataFrame, families: list
     return every.join(records.select("entity_id", "family").distinct(), ["entity_id", "family"], "left_anti")
 
 
-def cash_flow(records: DataFrame) -> DataFrame:
-    """Per entity: totals, net, mean and population deviation of monthly inflow over its calendar of months."""
-    month = F.date_trunc("month", "event_time")
-    sums = [F.sum(F.when(F.col("event_type") == k, F.col("amount")).otherwise(0)).alias(k) for k in ("inflow", "outflow", "fee")]
-    monthly = records.groupBy("entity_id", month.alias("month")).agg(*sums)
-    calendar = records.groupBy("entity_id").agg(F.min(month).alias("a"), F.max(month).alias("b")).select("entity_id", F.explode(F.expr("sequence(a, b, INTERVAL 1 MONTH)")).alias("month"))
-    filled = calendar.join(monthly, ["entity_id", "month"], "left").fillna(0, ["inflow", "outflow", "fee"])
-    total = {k: F.sum(k) for k in ("inflow", "outflow", "fee")}
-    return filled.groupBy("entity_id").agg(
-        F.count("*").alias("months"), *[v.alias(k) for k, v in total.items()], (total["inflow"] - total["outflow"] - total["fee"]).alias("net"),
-        F.avg(F.col("inflow").cast("double")).alias("mean_inflow"), F.stddev_pop(F.col("inflow").cast("double")).alias("deviation"),
-    )
-
-
 def obligations(due: DataFrame, payments: DataFrame) -> DataFrame:
     """Per obligation (key, amount_due, due_date): what was paid, and the first date that covered it."""
     w = Window.partitionBy("key").orderBy("paid_on", "payment_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -193,12 +193,6 @@ QUERIES = {
         lambda s, d: altdata.signals_not_provided(signals(s, d).select("entity_id").distinct(), _family(s, d), list(_FAMILIES.values())),
         f"WITH {SIGNALS}, f AS (SELECT DISTINCT entity_id, {_FAMILY_SQL} AS family FROM signals) SELECT e.entity_id, v.family FROM (SELECT DISTINCT entity_id FROM signals) e, (VALUES ('cash_flow'), ('rent'), ('utility')) v(family) EXCEPT SELECT entity_id, family FROM f",
     ),
-    "cashflow_profile": (
-        lambda s, d: altdata.cash_flow(signals(s, d)).select("entity_id", "months", *[F.round(c, 4).alias(c) for c in ("inflow", "outflow", "fee", "net", "mean_inflow", "deviation")]),
-        f"""WITH {SIGNALS}, m AS (SELECT entity_id, date_trunc('month', event_time) AS mo, sum(CASE WHEN event_type = 'inflow' THEN amount ELSE 0 END) AS i, sum(CASE WHEN event_type = 'outflow' THEN amount ELSE 0 END) AS o, sum(CASE WHEN event_type = 'fee' THEN amount ELSE 0 END) AS f FROM signals GROUP BY 1, 2),
-        c AS (SELECT entity_id, unnest(range(min(mo)::TIMESTAMP, max(mo)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS mo FROM m GROUP BY 1), x AS (SELECT c.entity_id, coalesce(i, 0) AS i, coalesce(o, 0) AS o, coalesce(f, 0) AS f FROM c LEFT JOIN m ON m.entity_id = c.entity_id AND m.mo = c.mo)
-        SELECT entity_id, count(*) AS months, round(sum(i), 4) AS inflow, round(sum(o), 4) AS outflow, round(sum(f), 4) AS fee, round(sum(i) - sum(o) - sum(f), 4) AS net, round(avg(i), 4) AS mean_inflow, round(stddev_pop(i), 4) AS deviation FROM x GROUP BY 1""",
-    ),
     "obligation_payments": (
         lambda s, d: altdata.obligations(_due(s, d), _payments(s, d)).select("key", F.col("paid").cast("double").alias("paid"), "completed_on", "state"),
         """WITH x AS (SELECT o_orderkey AS k, round(o_totalprice / 2)::DECIMAL(18,2) AS due, o_orderdate + INTERVAL 60 DAY AS dd, l_shipdate AS p, round(l_extendedprice)::DECIMAL(18,2) AS a, l_linenumber AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey),

@@ -1,9 +1,11 @@
 """Risk, alternative data, disclosure, proxy, bootstrap, research, streaming; every query against its SQL."""
 
+import datetime
 import hashlib
 import math
 import os
 import random
+from decimal import Decimal
 
 import duckdb
 import numpy as np
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paritas.functions import ranked
-from paritas.operators import altdata, bootstrap, disclosure, proxy, research, risk
+from paritas.operators import altdata, bootstrap, disclosure, proxy, research, risk, signals
 from paritas.plans import catalogue
 from paritas.streaming import gate
 
@@ -126,10 +128,51 @@ def test_outcome_order(spark):
     }
 
 
-def test_cash_flow_fills_months(spark):
-    df = spark.sql("SELECT 1 AS entity_id, 'inflow' AS event_type, TIMESTAMP'2025-01-05' AS event_time, 100D AS amount UNION ALL SELECT 1, 'outflow', TIMESTAMP'2025-03-02', 30D")
-    r = altdata.cash_flow(df).first()
-    assert (r.months, r.net, r.mean_inflow) == (3, 70.0, pytest.approx(100 / 3))
+def ledger(spark, rows):
+    """(record_id, event_type, status, day, amount, reversal_of, obligation_id, due) of one entity and source."""
+    schema = "record_id long, event_type string, status string, event_time timestamp, amount decimal(18,2), reversal_of long, obligation_id string, due_date date"
+    rows = [(r[0], r[1], r[2], datetime.datetime.fromisoformat(r[3]), None if r[4] is None else Decimal(r[4]), r[5], r[6], r[7] and datetime.date.fromisoformat(r[7])) for r in rows]
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "'s' AS source_id", "1 AS entity_id", "event_time AS observed_at", "'x' AS category_id", "'uncertain' AS transfer_scope", "'USD' AS currency")
+    return df.selectExpr("*", "event_time AS period_start", "event_time AS period_end", "CAST(NULL AS STRING) AS provider_id", "'power' AS service_type")
+
+
+def test_cash_flow_profile(spark):
+    rows = [
+        (1, "inflow", "posted", "2025-01-05", 100, None, None, None), (2, "inflow", "posted", "2025-02-05", 40, None, None, None), (3, "inflow", "posted", "2025-02-06", 60, None, None, None),
+        (4, "reversal", "posted", "2025-02-07", 60, 3, None, None), (5, "outflow", "posted", "2025-03-02", 30, None, None, None), (6, "inflow", "pending", "2025-03-03", 999, None, None, None), (7, "transfer", "posted", "2025-03-04", None, None, None, None),
+    ]
+    r = signals.cash_flow_profile(ledger(spark, rows), "2025-01-01", "2025-04-30").first()
+    assert (r.state, r.calendar_period_count, r.observed_period_count, r.missing_period_count) == ("available", 4, 3, 1)
+    assert (r.inflow_total, r.net_cash_flow, r.reversed_amount, r.mean_monthly_inflow) == (140, 110, 60, 35.0)
+    assert r.monthly_inflow_population_stddev == pytest.approx(np.std([100, 40, 0, 0]))
+    assert r.reason_codes == ["ad_balance_history_unavailable", "ad_cashflow_reversal_observed", "ad_uncertain_transfer"]
+    r = signals.cash_flow_profile(ledger(spark, [*rows, (8, "inflow", "unavailable", "2025-01-09", None, None, None, None)]), "2025-01-01", "2025-04-30").first()
+    assert (r.state, r.observed_period_count, r.mean_monthly_inflow) == ("unavailable", 2, None) and "ad_provider_reporting_gap" in r.reason_codes
+
+
+def test_rent_profile(spark):
+    rows = [
+        (1, "obligation", "posted", "2025-01-01", 100, None, "a", "2025-01-10"), (2, "payment", "posted", "2025-01-08", 60, None, "a", None), (3, "partial_payment", "posted", "2025-01-12", 30, None, "a", None), (4, "waiver", "posted", "2025-01-01", -10, None, "a", None),
+        (5, "obligation", "posted", "2025-01-01", 100, None, "b", "2025-02-10"), (6, "payment", "posted", "2025-02-09", 100, None, "b", None), (7, "reversal", "posted", "2025-02-11", 100, 6, None, None), (8, "payment", "posted", "2025-02-09", 5, None, "lost", None),
+    ]
+    for grace, timely in ((1, 0), (2, 1)):
+        r = signals.rent_profile(ledger(spark, rows), grace).first()
+        # the payment of b is reversed: b is not observed, and that is no missed payment
+        assert (r.scheduled_obligation_count, r.observable_obligation_count, r.fully_paid_count, r.timely_paid_count, r.partial_payment_count) == (2, 1, 1, timely, 1)
+        assert (r.observable_obligation_amount, r.linked_payment_amount, r.provider_coverage_rate) == (90, 90, 0.5)
+        assert r.reason_codes == ["ad_rent_partial_payment_observed", "ad_rent_waiver_observed", "ad_unmatched_obligation"]
+    gap = (9, "reporting_unavailable", "posted", "2025-01-10", None, None, None, None)
+    r = signals.rent_profile(ledger(spark, [*rows, gap]), 2).first()
+    assert (r.state, r.fully_paid_rate, r.reporting_gap_count) == ("unavailable", None, 1)
+    with pytest.raises(Exception, match="ad_linkage_family_mismatch"):
+        signals.rent_profile(ledger(spark, rows).withColumn("currency", F.when(F.col("record_id") == 2, "EUR").otherwise("USD")), 2).collect()
+
+
+def test_utility_profile(spark):
+    rows = [(1, "bill", "posted", "2025-01-01", 100, None, "a", "2025-01-10"), (2, "estimated_bill", "posted", "2025-02-01", 50, None, "b", "2025-02-10"), (3, "adjustment", "posted", "2025-02-02", -20, None, "b", None), (4, "payment", "posted", "2025-02-03", 30, None, "b", None), (5, "service_interruption", "posted", "2025-02-04", None, None, None, None)]
+    r = signals.utility_profile(ledger(spark, rows)).first()
+    assert (r.original_billed_amount, r.net_adjusted_obligation, r.estimated_bill_rate, r.adjustment_rate, r.provider_count, r.service_type_count) == (150, 130, 0.5, 0.5, 1, 1)
+    assert (r.fully_paid_count, r.timely_paid_count, r.service_interruption_count) == (1, 1, 1)
 
 
 def test_complementary_suppression_hides_a_second_cell():
