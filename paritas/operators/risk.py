@@ -21,6 +21,12 @@ def orient(score: Column, target: str = "unfavorable", kind: str = "probability"
     return 1 - score if kind == "probability" else -score
 
 
+def normalized_weights(df: DataFrame, weight: str = "w") -> DataFrame:
+    """``df`` with weights as shares of the largest one; all are 0 where that is 0. The largest is one row."""
+    most = df.agg(F.max(weight).alias("__most"))
+    return df.join(F.broadcast(most)).withColumn(weight, F.coalesce(F.try_divide(weight, "__most"), F.lit(0.0))).drop("__most")
+
+
 def band_of(score: Column, edges: list[float]) -> Column:
     """Index of the left-closed band: the number of edges at or below the score."""
     return sum(((score >= e).cast("int") for e in edges), F.lit(0))

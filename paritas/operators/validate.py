@@ -80,6 +80,29 @@ def exclusion_evidence(flagged: DataFrame, config: AuditConfig) -> DataFrame:
     return found.groupBy("reason", "attribute", "value").agg(F.count("*").alias("rows"))
 
 
+def exclusion_projection(counts: DataFrame) -> DataFrame:
+    """(reason, rows) from the row of ``reason_counts``: excluded rows dealt to reasons by name, each up to its hits.
+
+    A row that several reasons hit is so attributed once. A reason that a policy allows takes its share
+    all the same; reasons that get none have no row.
+    """
+    names, before = sorted(REASONS), F.lit(0).cast("long")
+    dealt = []
+    for name in names:
+        upto = before + F.col(name)
+        rows = F.least(upto, "excluded_rows") - F.least(before, "excluded_rows")
+        dealt.append(F.struct(F.lit(name).alias("reason"), rows.alias("rows")))
+        before = upto
+    return counts.select(F.explode(F.array(*dealt)).alias("x")).select("x.reason", "x.rows").filter("rows > 0")
+
+
+def small_groups(rows: DataFrame, protected: list[str] | tuple[str, ...], minimum: int) -> DataFrame:
+    """(attribute, value, rows) of the observed groups with fewer than ``minimum`` eligible rows, in one pass."""
+    cells = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in protected])
+    found = rows.select(F.explode(cells).alias("x")).groupBy("x.attribute", "x.value").agg(F.count("*").alias("rows"))
+    return found.filter(F.col("value").isNotNull() & (F.col("rows") < minimum))
+
+
 def eligible(flagged: DataFrame) -> DataFrame:
     return flagged.filter(~F.col("__excluded")).drop(*REASONS, "__excluded")
 

@@ -167,6 +167,17 @@ QUERIES = {
         f"""WITH {RAW} SELECT 'unknown_protected_group' AS reason, 'grp' AS attribute, grp AS value, count(*) AS rows FROM marked WHERE unknown_protected_group GROUP BY grp
         UNION ALL SELECT 'missing_required_value', 'grp', NULL, count(*) FROM marked WHERE grp IS NULL HAVING count(*) > 0 UNION ALL SELECT 'missing_required_value', 's', NULL, count(*) FROM marked WHERE s IS NULL HAVING count(*) > 0""",
     ),
+    "exclusion_projection": (
+        lambda s, d: validate.exclusion_projection(validate.reason_counts(validate.flag_rows(raw(s, d), CONFIG))),
+        f"""WITH {RAW}, hits AS (SELECT unnest(['duplicate_record', 'missing_required_value', 'non_finite_numeric', 'unexpected_category', 'unknown_protected_group']) AS reason,
+          unnest([count(*) FILTER (duplicate_record), count(*) FILTER (missing_required_value), count(*) FILTER (non_finite_numeric), count(*) FILTER (unexpected_category), count(*) FILTER (unknown_protected_group)]) AS n FROM marked),
+        turns AS (SELECT reason, row_number() OVER (ORDER BY reason, k) AS turn FROM (SELECT reason, unnest(range(n)) AS k FROM hits))
+        SELECT reason, count(*) AS rows FROM turns WHERE turn <= (SELECT count(*) FROM marked WHERE excluded) GROUP BY 1""",
+    ),
+    "small_groups": (
+        lambda s, d: validate.small_groups(validate.eligible(validate.flag_rows(raw(s, d), CONFIG)), CONFIG.protected, 1_000_000),
+        f"WITH {RAW} SELECT 'grp' AS attribute, grp AS value, count(*) AS rows FROM marked WHERE NOT excluded GROUP BY grp HAVING count(*) < 1000000",
+    ),
     "eligible_rows": (lambda s, d: validate.eligible(validate.flag_rows(raw(s, d), CONFIG)), f"WITH {RAW} SELECT id, grp, y, s, d FROM marked WHERE NOT excluded"),
     **{f"scope_{k}": (_metric(m), _metric_sql(m)) for k, m in (("selection_rate", "selection_rate"), ("denial_rate", "denial_rate"), ("accuracy", "accuracy"), ("precision", "precision"), ("tpr", "true_positive_rate"), ("fpr", "false_positive_rate"), ("fnr", "false_negative_rate"), ("brier", "brier_score"))},
     "scope_auc": (_auc_unweighted, SCOPED + _AUC_SQL.replace("{w}", "1") + " SELECT attribute, value, round(auc, 8) AS auc FROM a"),

@@ -135,6 +135,10 @@ QUERIES = {
         lambda s, d: risk.bands(_risk(s, d), EDGES).select("band", "n", F.round("bad_rate", 8).alias("bad_rate"), F.round("mean_score", 8).alias("mean_score")),
         f"WITH {RISK}, b AS (SELECT (s >= 0.25)::INT + (s >= 0.5)::INT + (s >= 0.75)::INT AS band, * FROM risk) SELECT i::INT AS band, count(w) AS n, round(sum(CASE WHEN bad THEN w ELSE 0 END) / sum(w), 8) AS bad_rate, round(sum(w * s) / sum(w), 8) AS mean_score FROM range(4) t(i) LEFT JOIN b ON band = i GROUP BY i",
     ),
+    "risk_weights": (
+        lambda s, d: risk.normalized_weights(_risk(s, d)).select("entity_id", F.round("w", 8).alias("w")),
+        f"WITH {RISK} SELECT entity_id, round(w / max(w) OVER (), 8) AS w FROM risk",
+    ),
     "risk_ks": (
         lambda s, d: ranked.ks(_risk(s, d), "s", "bad", "w").select(F.round("ks", 8).alias("ks"), "ks_score"),
         f"WITH {RUNS}, x AS (SELECT s, abs(sum(b) OVER (ORDER BY s DESC) / sum(b) OVER () - sum(g) OVER (ORDER BY s DESC) / sum(g) OVER ()) AS dist FROM runs) SELECT round(max(dist), 8) AS ks, min(s) FILTER (abs(dist - (SELECT max(dist) FROM x)) <= 1e-15) AS ks_score FROM x",

@@ -179,3 +179,22 @@ def test_labels_with_quotes_and_reasons_of_differences(frame):
 def test_probabilities_lie_between_zero_and_one(frame):
     with pytest.raises(AuditDataError, match="invalid_probability"):
         run_audit(frame.withColumn("s", F.col("s") * 4), config())
+
+
+def test_excluded_rows_are_dealt_once(spark):
+    row = dict.fromkeys(validate.REASONS, 0) | {"input_rows": 20, "excluded_rows": 7, "duplicate_record": 4, "non_finite_numeric": 2, "unknown_protected_group": 5}
+    got = validate.exclusion_projection(spark.createDataFrame([row])).collect()
+    assert {r.reason: r.rows for r in got} == {"duplicate_record": 4, "non_finite_numeric": 2, "unknown_protected_group": 1}
+
+
+def test_small_groups(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), (None, 2)], "g string, h int")
+    assert {tuple(r) for r in validate.small_groups(df, ["g", "h"], 2).collect()} == {("g", "b", 1), ("h", "2", 1)}
+
+
+def test_weights_of_the_largest(spark):
+    from paritas.operators import risk
+
+    df = spark.createDataFrame([(1, 4.0), (2, 1.0), (3, 0.0)], "id int, w double")
+    assert [r.w for r in risk.normalized_weights(df).orderBy("id").collect()] == [1.0, 0.25, 0.0]
+    assert [r.w for r in risk.normalized_weights(df.filter("w = 0")).collect()] == [0.0]
