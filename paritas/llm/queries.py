@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paritas.llm import bpe, jaccard, license, mixing, neardup, quality, secrets, sharding, tokens, toxicity
+from paritas.llm import bpe, collocations, conversations, decontaminate, jaccard, license, mixing, neardup, quality, secrets, sharding, tokens, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,11 @@ def queries() -> dict:
         "op8_license_scan": lambda s, d: license.scan_licenses(_docs(s, d)),
         "op9_quality_rules": lambda s, d: quality.score_quality(_docs(s, d)),
         "op10_secret_scan": lambda s, d: secrets.secret_digests(_docs(s, d)),
+        "op11_collocations": lambda s, d: collocations.mine_collocations(_docs(s, d)),
+        "op12_conversation_repair": lambda s, d: conversations.repair_damaged(s.read.parquet(f"{d}/conversations.parquet")),
+        "op13_decontamination": lambda s, d: decontaminate.decontaminate(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": license.oracle(), "op9_quality_rules": quality.ORACLE}
+    return {"op8_license_scan": license.oracle(), "op9_quality_rules": quality.ORACLE, "op11_collocations": collocations.ORACLE, "op12_conversation_repair": conversations.ORACLE, "op13_decontamination": decontaminate.ORACLE}
