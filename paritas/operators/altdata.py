@@ -46,24 +46,6 @@ def outcome_gate(start: Column, end: Column, observed: Column, mature_at: Column
     )
 
 
-def revision_roots(records: DataFrame, most: int = 64) -> DataFrame:
-    """(source_id, record_id, root, depth) along ``revision_of``, by pointer jumping; a cycle raises."""
-    key = ["source_id", "record_id"]
-    rows = records.count()
-    now = records.select(*key, F.coalesce("revision_of", "record_id").alias("root"), F.when(F.col("revision_of").isNull(), 0).otherwise(1).alias("depth")).checkpoint()
-    for _ in range(most):
-        up = now.select("source_id", F.col("record_id").alias("root"), F.col("root").alias("top"), F.col("depth").alias("more"))
-        nxt = now.join(up, ["source_id", "root"], "left").select(*key, F.coalesce("top", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).checkpoint()
-        if nxt.join(now, [*key, "root"], "left_anti").isEmpty():
-            if not nxt.filter((F.col("root") == F.col("record_id")) & (F.col("depth") > 0)).isEmpty():
-                raise ValueError("ad_revision_cycle")
-            return nxt
-        if not nxt.filter(F.col("depth") > rows).isEmpty():  # longer than any chain without a cycle
-            raise ValueError("ad_revision_cycle")
-        now = nxt
-    raise ValueError("ad_revision_cycle")
-
-
 def terminal_records(records: DataFrame, eligible: Column | None = None) -> DataFrame:
     """Eligible records that no other eligible record revises: what a gate rejects replaces nothing."""
     if eligible is not None:
@@ -72,11 +54,6 @@ def terminal_records(records: DataFrame, eligible: Column | None = None) -> Data
     return records.join(revised, ["source_id", "record_id"], "left_anti")
 
 
-def latest_by(records: DataFrame, keys: list[str], time: str = "observed_at", tie: str = "record_id") -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(time), F.desc(tie)))
-    return records.withColumn("__r", rank).filter("__r = 1").drop("__r")
-
-
 def overlaps_and_gaps(records: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with ``overlap`` (either neighbour) and ``gap`` (over a second after the row before)."""
     w = Window.partitionBy(*keys).orderBy("period_start", "record_id")

@@ -172,10 +172,6 @@ QUERIES = {
           WHEN event_time NOT BETWEEN '2024-01-07'::TIMESTAMP AND '{AS_OF}'::TIMESTAMP THEN 4 ELSE 5 END AS n FROM signals)
         SELECT record_id, disposition, code FROM first JOIN rule USING (n)""",
     ),
-    "authoritative_latest": (
-        lambda s, d: altdata.latest_by(_gate_rows(s, d), ["source_id", "entity_id"]).select("source_id", "entity_id", "record_id"),
-        f"WITH {_GATE_SQL} SELECT source_id, entity_id, record_id FROM gate WHERE dc = 'eligible|' QUALIFY row_number() OVER (PARTITION BY source_id, entity_id ORDER BY observed_at DESC, record_id DESC) = 1",
-    ),
     "revision_terminal": (
         lambda s, d: altdata.terminal_records(_gate(s, d).select("record_id", "disposition").join(signals(s, d), "record_id"), F.col("disposition") == "eligible").select("source_id", "record_id"),
         f"WITH {_GATE_SQL} SELECT source_id, record_id FROM gate a WHERE dc = 'eligible|' AND NOT EXISTS (SELECT 1 FROM gate b WHERE b.dc = 'eligible|' AND b.source_id = a.source_id AND b.revision_of = a.record_id)",
@@ -254,8 +250,3 @@ QUERIES = {
     ),
 }
 
-
-def _gate_rows(s, d):
-    r = signals(s, d)
-    g = altdata.feature_gate(F.col("event_time"), F.col("event_time"), F.col("observed_at"), F.col("revision_of").isNotNull(), F.col("status"), _ts(AS_OF), _ts(EXECUTION))
-    return r.filter(g["disposition"] == "eligible")
