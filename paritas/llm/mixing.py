@@ -1,8 +1,9 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-A source's target divided by its size gives each of its units (equal rows of a source count as one
-unit) the same number of copies p. The whole part of p is taken; the fractional part is rounded by
-pivotal steps: two fractional units meet, mass moves between them until one of them is integral, in
+A source's target divided by its size gives each of its rows the same number of copies p. The whole part
+of p is taken; the fractional part is rounded by pivotal steps. Equal rows of a source are one unit: of m
+rows with a fraction f each, floor(m * f) take one more copy, and one row with what is left of m * f takes part
+in the steps, so a unit of any number of rows counts as one document there: two fractional units meet, mass moves between them until one of them is integral, in
 such a way that size times copies stays the same and every unit keeps its expectation; the other one
 meets the next unit. Units meet within hashed buckets of bounded size; each bucket leaves one residual
 unit, and residuals meet in a reduction tree until a source has one, which is rounded by itself. So a
@@ -12,8 +13,8 @@ Order and draws come from hashes of the rows, not from partitions: reruns agree.
 without texts are shuffled; a hot source spreads over its buckets. Per-source statistics are broadcast
 only if a count shows that there are at most ``BROADCAST`` sources.
 
-Defined cases: null or empty texts have size 0 and are never taken; null sources form one source, the
-last; null ids are rows like others; an empty table gives an empty table; other columns are ignored
+Defined cases: null or empty texts have size 0 and are never taken; very long texts are units like others;
+null sources form one source, the last; null ids are rows like others; ties of hashes go by id and size; an empty table gives an empty table; other columns are ignored
 here and carried by ``mix_documents``.
 """
 
@@ -26,12 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paritas.llm.shared import by_value, checkpoint, count_words, free_name, trimmed
+from paritas.llm.shared import by_value, checkpoint, count_words, free_name, trimmed, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 BUCKET, FAN_IN, BROADCAST = 4096, 1024, 10_000
-_UNIT = "blank boolean, id long, h long, source string, rank int, source_size long, target double, m long, size long, whole int, f double, bucket long"
+_UNIT = "blank boolean, id long, h long, source string, rank int, source_size long, target double, m long, size long, whole int, more long, f double, bucket long"
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
@@ -100,7 +101,7 @@ def _row_hash() -> Column:
 
 
 def mix_units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
-    """Units (doc_id, h, source, m equal rows, size of one, copies) with the targets of their sources."""
+    """Units (doc_id, h, source, m equal rows, size of one, whole, more): each row is taken ``whole`` times and ``more`` of them once more."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash().alias("h"), "source", count_words(trimmed(text)).alias("size"))
     units = checkpoint(rows.groupBy("doc_id", "h", "source").agg(F.count("*").alias("m"), F.first("size").alias("size")))
@@ -110,11 +111,11 @@ def mix_units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = units.withColumn("p", F.least(p, F.lit(float(most)))).withColumn("whole", F.floor("p").cast("int"))
     buckets = F.ceil(F.col("units") / F.lit(float(BUCKET)))
-    units = units.withColumn("f", F.when(F.col("size") > 0, F.col("p") - F.col("whole")).otherwise(0.0)).withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(1)), buckets).cast("long"))
-    # a unit of m equal rows moves m times its size at once
+    f = F.when(F.col("size") > 0, F.col("m") * (F.col("p") - F.col("whole"))).otherwise(0.0)
+    units = units.withColumn("more", F.floor(f).cast("long")).withColumn("f", f - F.col("more")).withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(1)), buckets).cast("long"))
     # an id that may be null would become a float in pandas
     own = [F.col("doc_id").isNull().alias("blank"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id")]
-    units = units.select(*own, "h", "source", "rank", "source_size", "target", "m", (F.col("m") * F.col("size")).alias("size"), "whole", "f", "bucket")
+    units = units.select(*own, "h", "source", "rank", "source_size", "target", "m", "size", "whole", "more", "f", "bucket")
     most_buckets = stats.agg(F.max(F.ceil(F.col("units") / F.lit(float(BUCKET))))).first()[0] or 1
 
     done, level = [], units
@@ -131,22 +132,49 @@ def mix_units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select(F.when(~F.col("blank"), F.col("id")).alias("doc_id"), "h", "source", "source_size", "target", "m", (F.col("size") / F.col("m")).cast("long").alias("size"), F.when(F.col("size") > 0, F.col("whole") + F.round("f").cast("int")).otherwise(0).alias("copies"))
+    some = F.col("size") > 0
+    return out.select(
+        F.when(~F.col("blank"), F.col("id")).alias("doc_id"), "h", "source", "source_size", "target", "m", "size",
+        F.when(some, F.col("whole")).otherwise(0).alias("whole"), F.when(some, F.col("more") + F.round("f").cast("long")).otherwise(F.lit(0).cast("long")).alias("more"),
+    )
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """One row per document with the words that the mix takes of it."""
-    one = mix_units(docs).withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
-    return one.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    units = mix_units(docs)
+    # a unit of very many rows is dealt out in parts before it is unfolded
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / BUCKET)))
+    many = units.filter(F.col("m") > BUCKET).withColumn("part", part).repartition("h", "part")
+    parts = units.filter(F.col("m") <= BUCKET).withColumn("part", F.lit(0).cast("long")).unionByName(many)
+    first = F.col("part") * BUCKET + 1
+    one = parts.withColumn("number", F.explode(F.sequence(first, F.least(F.col("m"), first + BUCKET - 1))))
+    copies = F.col("whole") + (F.col("number") <= F.col("more")).cast("int")
+    return one.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken."""
-    i, h, source, copies, n = (free_name(docs, x) for x in ("id", "hash", "source", "copies", "number"))
-    units = mix_units(docs).filter("copies > 0").select("doc_id", "h", "source", "copies").toDF(i, h, source, copies)
+    i, h, source, m, whole, more, row, part, start, n = (free_name(docs, x) for x in ("id", "hash", "source", "rows", "whole", "more", "row", "part", "start", "number"))
+    units = mix_units(docs).filter("whole > 0 OR more > 0").select("doc_id", "h", "source", "m", "whole", "more").toDF(i, h, source, m, whole, more)
     same = (_row_hash() == F.col(h)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(source))
     joined = docs.join(units, same)
-    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # rows of which all, or none, take one more copy need no number
+    alike = joined.filter((F.col(more) == 0) | (F.col(more) == F.col(m))).withColumn(n, F.col(whole) + (F.col(more) > 0).cast("int"))
+    # the others of a unit are numbered in parts of bounded size, and parts by what stands before them
+    some = written(joined.filter((F.col(more) > 0) & (F.col(more) < F.col(m))).withColumn(row, F.monotonically_increasing_id()), "equal-rows")
+    some = some.withColumn(part, F.pmod(F.xxhash64(row), F.ceil(F.col(m) / F.lit(float(BUCKET)))))
+    unit = [i, h, source]
+    counts = some.groupBy(*unit, part).agg(F.count(F.lit(1)).alias(start))
+    before = F.coalesce(F.sum(start).over(Window.partitionBy(*unit).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(c).alias(f"{c}_") for c in (*unit, part)], before.alias(start))
+    at = F.lit(True)
+    for c in (*unit, part):
+        at &= F.col(c).eqNullSafe(F.col(f"{c}_"))
+    placed = some.join(counts, at).withColumn(n, F.col(start) + F.row_number().over(Window.partitionBy(*unit, part).orderBy(row)))
+    placed = placed.withColumn(n, F.col(whole) + (F.col(n) <= F.col(more)).cast("int"))
+    both = alike.select(*columns, n).unionByName(placed.select(*columns, n))
+    return both.filter(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*columns)
 
 
 by_value(__name__)

@@ -176,6 +176,37 @@ def test_redaction_leaves_no_base_span(docs, rows):
     assert all(r.text == plain[r.doc_id] for r in out if r.doc_id in plain)
 
 
+def test_repeated_rows_come_near_their_target(spark):
+    text = " ".join(["ten"] * 10)
+    rows = [(7, text, "a", i) for i in range(900)] + [(8, "five words of another text", "a", 0)] * 3 + [(1000 + i, text, "b", i) for i in range(900)] + [(3000 + i, text + " more", "c", i) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(5)
+    got = mixing.mix_report(docs).collect()
+    assert len(got) == len(rows)
+    taken, target = Counter(), {}
+    for r in got:
+        source = "a" if r.doc_id < 1000 else "b" if r.doc_id < 3000 else "c"
+        taken[source] += r.taken
+        target[source] = r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= 12 for s in target)
+    copies = Counter((r.doc_id, r.extra) for r in mixing.mix_documents(docs).collect())
+    words = Counter()
+    for (doc, _), k in copies.items():
+        words["a" if doc < 1000 else "b" if doc < 3000 else "c"] += k * (5 if doc == 8 else 11 if doc >= 3000 else 10)
+    assert words == taken
+
+
+def test_a_unit_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 16)
+    docs = spark.createDataFrame([(7, "two words", "a")] * 300 + [(1000 + i, "three words here", "b") for i in range(200)] + [(None, "two words", None)] * 50, "doc_id long, text string, source string").repartition(3)
+    got = Counter((r.doc_id, r.taken) for r in mixing.mix_report(docs).collect())
+    copies = Counter(r.doc_id for r in mixing.mix_documents(docs).collect())
+    for doc, size in ((7, 2), (None, 2)):
+        assert sum(t * k for (d, t), k in got.items() if d == doc) == size * copies[doc]
+        assert len({t for d, t in got if d == doc}) <= 2
+    assert sum(got.values()) == 550
+
+
 def test_empty_tables(none):
     for f in (lambda d: bpe.encode_digests(d, vocabulary()), mixing.mix_report, mixing.mix_documents, lambda d: tokens.token_report(d, vocabulary()), secrets.secret_digests, secrets.redact):
         assert f(none).count() == 0
