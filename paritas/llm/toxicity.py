@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosines over a block-max inverted index.
 
 Examples are labelled documents of the training folds, at most ``EXAMPLES`` of each label, chosen by a
-hash of their id (the documented bound of the fit). The vocabulary is all words of the examples; inverse
+hash of their id, while their distinct words have at most ``EXAMPLE_BYTES`` bytes together (the documented
+bounds of the fit); an id stands for one document. The vocabulary is all words of the examples; inverse
 document frequencies are counted over all documents. Words whose presence among the examples does not
 differ by label (a chi-square test against the number of words tried, near copies sharing one vote)
 count ``LIGHT`` as much. A text is the TF-IDF vector of its words of the vocabulary, over the whole text,
@@ -18,8 +19,10 @@ their word numbers and counts are written, frequencies and scores are computed f
 
 Defined cases: a null or empty text, or one without a word of any example, meets the entry of the
 empty vector: its score is the share of label 1 among examples alike (or 0.5 without labels). Null
-labels and null ids are not learned from; repeated rows score alike; an empty table gives an empty
-table; other columns are ignored.
+labels and null ids are not learned from; a null id is held out by no fold (false); an id in many rows of
+documents is one example, the text of least hash; repeated rows score alike; very long texts are scored
+whole; entries of equal cosine go by their place in the index; an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +37,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paritas.llm.shared import by_value, written
 
 EXAMPLES, NEIGHBOURS, BLOCK = 2000, 15, 64
+EXAMPLE_BYTES = 64_000_000  # of distinct words of the examples, 16 more for each: bounds the driver, the vocabulary and the index
 FIRST = 4  # blocks that a query visits before it compares bounds
 OFTEN = 16  # words in more than one of so many entries are rows of a matrix
 LIGHT = 0.3  # weight of a word that the label test does not pass (least leave-one-out loss of 1, 0.3, 0.1, 0.03)
@@ -273,7 +277,7 @@ def _copy_weights(bags: list) -> np.ndarray:
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
@@ -283,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
 def _fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, DataFrame]:
     """Choose examples, weigh their words, write all texts as codes, count frequencies, build the index."""
-    learn = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    learn = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).distinct()
     order = F.xxhash64("doc_id", F.lit("toxicity")), F.col("doc_id")
     picked = [learn.filter(F.col("y") == y).orderBy(*order).limit(EXAMPLES) for y in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * EXAMPLES rows
@@ -291,9 +295,16 @@ def _fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, DataFrame]:
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counted = [Counter(words_of(t)) for t in batch["text"]]
-            yield pd.DataFrame({"y": batch["y"], "w": [list(c) for c in counted], "c": [list(c.values()) for c in counted]})
-
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text").mapInPandas(distinct, "y int, w array<string>, c array<int>").toPandas()
+            yield pd.DataFrame({"y": batch["y"], "h": batch["h"], "doc_id": batch["doc_id"], "w": [list(c) for c in counted], "c": [list(c.values()) for c in counted]})
+
+    # one row an id: of several the one of least hash
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    found = written(one.select("y", F.xxhash64(*order).alias("h"), "doc_id", "text").mapInPandas(distinct, "y int, h long, doc_id long, w array<string>, c array<int>"), "examples")
+    # at most 2 * EXAMPLES slim rows: those whose words fit, in order of their hashes
+    size = F.expr("aggregate(w, 0L, (n, x) -> n + octet_length(x) + 16)")
+    so_far = F.sum("size").over(Window.orderBy("h", "doc_id", "y").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = found.select("y", "h", "doc_id", size.alias("size")).withColumn("total", so_far).filter(F.col("total") <= EXAMPLE_BYTES).select("y", "h", "doc_id")
+    rows = found.join(F.broadcast(fits), ["y", "h", "doc_id"]).orderBy("h", "doc_id", "y").select("y", "w", "c").toPandas()
     y = rows["y"].to_numpy(int)
     weight = _copy_weights(rows["w"].tolist())
     total = np.bincount(y, weight, minlength=2)

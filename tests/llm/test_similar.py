@@ -1,5 +1,6 @@
 """Joins, near-duplicates and toxicity against brute force; the pipeline on a small table."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -207,6 +208,50 @@ def test_toxicity_meets_copies_of_examples_by_any_word(spark):
         assert np.allclose([c for c, _ in index.nearest(v, 10)], every[:10], atol=1e-6), i
 
 
+def test_toxicity_takes_one_row_of_an_id(spark):
+    """One id in very many rows is one example; scores are those of all entries compared one by one."""
+    rng = np.random.default_rng(6)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:59]
+    rows = [(i, " ".join(rng.choice(words[:40] if i % 2 else words[20:], 30))) for i in ids] + [(ids[0], " ".join(rng.choice(words, 12))) for _ in range(5000)]
+    rows += [(None, "waa wab"), (1000, None), (1001, ""), (1002, "unknown words only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tags = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    index = toxicity.fit(df, tags)
+    assert index.counts.sum() == len(ids)
+    dense = np.zeros((len(index.counts), len(index.idf)))
+    for n, e in enumerate(index.entries):
+        for t, w in e:
+            dense[n, t] = w
+
+    def expected(text):
+        v = np.zeros(len(index.idf))
+        for t, x in index.vector(text).items():
+            v[t] = x
+        if v.any():
+            cosine = np.round(dense @ v, 12)
+            near = [(cosine[n], n) for n in sorted(range(len(cosine)), key=lambda n: (-cosine[n], n))[:15] if cosine[n] > 0]
+        else:
+            near = [(1.0, n) for n, e in enumerate(index.entries) if not e]
+        w = [1 / (max(0, 1 - c) + 0.05) for c, _ in near]
+        up = 10 * index.prior + sum(x * index.counts[n][1] for x, (_, n) in zip(w, near))
+        p = min(max(up / (10 + sum(x * index.counts[n].sum() for x, (_, n) in zip(w, near))), 1e-4), 1 - 1e-4)
+        return round(1 / (1 + math.exp(-(index.scale * math.log(p / (1 - p)) + index.shift))), 9)
+
+    texts = {t for _, t in rows}
+    want = {t: expected(t) for t in texts}
+    got = toxicity.score_toxicity(df, tags).collect()
+    assert Counter((r.doc_id, r.held_out, round(r.score, 9)) for r in got) == Counter((i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1, want[t]) for i, t in rows)
+
+
+def test_toxicity_examples_end_at_their_bytes(spark, monkeypatch):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1]
+    df = spark.createDataFrame([(i, "abcd efgh") for i in ids], "doc_id long, text string")
+    tags = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "EXAMPLE_BYTES", 40 * 10 + 5)  # 40 an example
+    assert toxicity.fit(df, tags).counts.sum() == 10
+
+
 def test_toxicity_without_labels_or_rows(spark, docs, rows, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score_toxicity(docs, empty).count() == len(rows)
