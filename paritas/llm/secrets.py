@@ -1,19 +1,25 @@
-"""Secret scans: rule matches, and a character convolutional network over further candidates.
-
-Base spans are the matches of three patterns and always stay. Candidates are long runs of token
-characters that mix letters and digits; a small convolutional network in numpy reads each candidate
-with the characters around it and adds those above its threshold as kind ``cnn``. It scores base spans
-too, as evidence.
-
-The network is trained on the driver on labelled findings: base matches (label 1) and other runs of
-text (label 0) from at most ``SAMPLE_DOCS`` documents that hold a key word and as many others, chosen by
-a hash of their id (repeated rows of one text count once), and at most ``SAMPLE_FINDINGS`` findings of each label. Its scores are calibrated
-(Platt) on a fold apart; its threshold is the highest that keeps ``RECALL`` of that fold's secrets,
-and at least 0.5. Without ``FEWEST`` findings of both labels there is no network and only base spans.
+"""Secret scans: rule matches, and a character convolutional network over every other candidate.
+
+Base spans are the matches of three patterns and always stay. Candidates are all runs of ``LEAST`` token
+characters or more that touch no base span. A small convolutional network in numpy reads each whole candidate
+and the characters around it, candidate and context apart (a character counts as another one where it is
+context), and adds those above its threshold as kind ``cnn``. It scores base spans too, as evidence. Long
+candidates are read in pieces that share four characters: each place of the convolution is in one of them,
+so pooling over pieces is pooling over the candidate.
+
+The network is trained on the driver on labelled findings from at most ``SAMPLE_DOCS`` documents that hold a
+key word and as many others, chosen by a hash of their id (repeated rows of one text count once), at most
+``SAMPLE_FINDINGS`` of each label. Label 1 are the rules' matches and keys of the public ``FORMS``, made up
+and set between words of the sample's texts, ``MADE`` a text. Label 0 are at most ``SAMPLE_RUNS`` runs of each of these
+texts, and ``MADE`` made of its words the way names, paths, versions, dates and numbers are. Both kinds of made findings have the same
+words before them, so that context alone does not decide. Findings longer than ``LONGEST`` are not trained on.
+Scores are calibrated (Platt) on a fold apart; the threshold is the highest one that keeps ``RECALL`` of that
+fold's secrets. Without ``FEWEST`` findings of both labels there is no network and only base spans.
 The scan is row-local: no shuffle. Patterns run over whole texts.
 
-Defined cases: null or empty texts have no spans; repeated rows are scanned alike; an empty table
-gives an empty table; other columns are ignored by ``find_secrets`` and carried by ``redact``.
+Defined cases: null or empty texts have no spans; very long texts and runs are read whole; spans of equal start
+go by kind as listed; repeated rows are scanned alike; an empty table gives an empty table; other columns are
+ignored by ``find_secrets`` and carried by ``redact``.
 """
 
 from __future__ import annotations
@@ -35,10 +41,28 @@ KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 KEY_WORDS = "(?i)password|passwd|secret|token|api_?key|akia"
-SAMPLE_DOCS, SAMPLE_FINDINGS, FEWEST, RECALL = 1000, 2000, 20, 0.99
-LEFT, BODY, RIGHT, FILTERS, WIDTH = 12, 48, 12, 16, 5
-_RUN = r"[A-Za-z0-9+/_.=-]{16,}"
+SAMPLE_DOCS, SAMPLE_FINDINGS, SAMPLE_RUNS, MADE, FEWEST, RECALL = 1000, 3000, 4, 8, 20, 0.99
+LEAST, LONGEST, CONTEXT, PIECE, FILTERS, WIDTH = 12, 400, 12, 80, 16, 5
+STEPS = 500  # of the fit at least, of 64 findings each
+_RUN = r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST
+_LOWER, _DIGITS, _HEX_UPPER = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789ABCDEF"
+_UPPER = _LOWER.upper()
+_ALNUM = _LOWER + _UPPER + _DIGITS
+_BASE64 = _ALNUM + "+/"
+#: Public forms of keys, as parts: a text, or characters and how many of them.
+FORMS = (
+    ("ghp_", (_ALNUM, 36)), ("glpat-", (_ALNUM + "_-", 20)), ("sk_live_", (_ALNUM, 24)), ("sk-live-", (_ALNUM, 32)), ("sk-", (_ALNUM, 48)), ("npm_", (_ALNUM, 36)),
+    ("AIza", (_ALNUM + "_-", 35)), ("xoxb-", (_DIGITS, 12), "-", (_DIGITS, 12), "-", (_ALNUM, 24)), ("SG.", (_ALNUM + "_-", 22), ".", (_ALNUM + "_-", 43)),
+    ("eyJ", (_ALNUM + "_-", 33), ".eyJ", (_ALNUM + "_-", 60), ".", (_ALNUM + "_-", 43)), ((_BASE64, 40),), ((_BASE64, 62), "=="), ((_HEX_UPPER, 40),), ((_HEX_UPPER, 32),),
+    ((_ALNUM, 20),), ((_ALNUM, 32),), ((_LOWER + _DIGITS, 24),), ((_LOWER + _DIGITS, 40),), ((_UPPER + _DIGITS, 20),), ((_UPPER + _DIGITS, 32),),
+)
+#: Words before made findings of either label.
+_BEFORE = ("", "", "", "key ", "export KEY=", "bearer ", "id: ", "see ", "= ", '"', "value=", "(")
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-:\"' \n"
+#: Numbers of characters: 0 is none, then context (1 is any other one), then the candidate itself.
+_CONTEXT = len(_ALPHABET) + 1
+_CODES = np.ones(128, np.int32)
+_CODES[[ord(c) for c in _ALPHABET]] = np.arange(2, len(_ALPHABET) + 2)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -53,85 +77,171 @@ _assign, _access, _hex, _run = re.compile(ASSIGN), re.compile(ACCESS), re.compil
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Runs with letters and digits that no base span touches."""
-    out = []
+    """Runs of token characters that no base span touches."""
+    out, at, taken = [], 0, sorted(taken)
+    ends = np.maximum.accumulate([e for _, e, _ in taken]) if taken else ()
     for m in _run.finditer(text):
         s, e = m.span()
-        x = m.group()
-        if any(c.isdigit() for c in x) and any(c.isalpha() for c in x) and not any(a < e and s < b for a, b, _ in taken):
+        while at < len(taken) and taken[at][0] < e:
+            at += 1
+        if not at or ends[at - 1] <= s:  # spans that begin before this run's end have ended before it
             out.append((s, e))
     return out
 
 
-def windows(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Character codes (spans x window): the candidate, cut in its middle if long, and its surroundings."""
-    code = {c: i + 2 for i, c in enumerate(_ALPHABET)}
-    out = np.zeros((len(spans), LEFT + BODY + RIGHT), dtype=np.int64)
-    for k, (s, e) in enumerate(spans):
-        body = text[s:e] if e - s <= BODY else text[s : s + BODY // 2] + text[e - BODY // 2 : e]
-        for at, x in ((0, text[max(0, s - LEFT) : s].rjust(LEFT, "\0")), (LEFT, body), (LEFT + BODY, text[e : e + RIGHT])):
-            for i, c in enumerate(x):
-                out[k, at + i] = 0 if c == "\0" else code.get(c, 1)
+def sequences(text: str, spans: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Each whole span with its context as numbers of characters."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(points < 128, _CODES[np.minimum(points, 127)], 1).astype(np.int32)
+    out = []
+    for s, e in spans:
+        x = codes[max(0, s - CONTEXT) : e + CONTEXT].copy()
+        at = s - max(0, s - CONTEXT)
+        x[at : at + e - s] += _CONTEXT
+        out.append(x)
     return out
 
 
 class CharCNN:
-    """Embedding as one-hot, one convolution, ReLU, maximum over places, logistic output."""
+    """One-hot characters, one convolution, ReLU, the maximum over places and the candidate's mean, a logistic output."""
 
     def __init__(self, seed: int = 0) -> None:
         r = np.random.default_rng(seed)
-        self.k = r.normal(0, 0.1, (WIDTH, len(_ALPHABET) + 2, FILTERS))
-        self.b, self.w, self.c = np.zeros(FILTERS), r.normal(0, 0.3, FILTERS), 0.0
+        self.k = r.normal(0, 0.1, (WIDTH, 2 * _CONTEXT + 1, FILTERS))
+        self.k[:, 0] = 0
+        self.b, self.w, self.c = np.zeros(FILTERS), r.normal(0, 0.3, 2 * FILTERS), 0.0
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
-    def _conv(self, x: np.ndarray) -> np.ndarray:
+    def _conv(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The convolution at each place, where there is a character, and where it is the candidate's."""
         n = x.shape[1] - WIDTH + 1
-        return sum(self.k[j][x[:, j : j + n]] for j in range(WIDTH)) + self.b
-
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.maximum(self._conv(x[i : i + 512]), 0).max(1) @ self.w + self.c for i in range(0, len(x), 512)] or [np.zeros(0)])
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logit(x) + self.shift, -40, 40)))
-
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = 1) -> CharCNN:
+        middle = x[:, WIDTH // 2 : WIDTH // 2 + n]
+        return sum(self.k[j][x[:, j : j + n]] for j in range(WIDTH)) + self.b, middle > 0, middle > _CONTEXT
+
+    def features(self, found: list[np.ndarray]) -> np.ndarray:
+        """Maxima and means of whole findings, piece by piece."""
+        step, edge = PIECE - WIDTH + 1, WIDTH // 2
+        counts = np.array([-(-len(x) // step) for x in found], int)
+        x = np.zeros((counts.sum(), PIECE), np.int32)
+        at = 0
+        for f, n in zip(found, counts, strict=True):
+            padded = np.zeros(n * step + WIDTH - 1, np.int32)
+            padded[edge : edge + len(f)] = f
+            for k in range(n):
+                x[at + k] = padded[k * step : k * step + PIECE]
+            at += n
+        most, total, size = np.zeros((len(x), FILTERS)), np.zeros((len(x), FILTERS)), np.zeros(len(x))
+        for i in range(0, len(x), 512):
+            h, there, own = self._conv(x[i : i + 512])
+            h = np.maximum(h, 0)
+            most[i : i + 512] = (h * there[..., None]).max(1)
+            total[i : i + 512], size[i : i + 512] = (h * own[..., None]).sum(1), own.sum(1)
+        first = np.cumsum(counts) - counts
+        return np.hstack([np.maximum.reduceat(most, first), np.add.reduceat(total, first) / np.maximum(1, np.add.reduceat(size, first))[:, None]])
+
+    def logit(self, found: list[np.ndarray]) -> np.ndarray:
+        return self.features(found) @ self.w + self.c if len(found) else np.zeros(0)
+
+    def score(self, found: list[np.ndarray]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logit(found) + self.shift, -40, 40)))
+
+    def fit(self, found: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.01, seed: int = 1) -> CharCNN:
         r = np.random.default_rng(seed)
-        held = np.arange(len(x)) % 4 == 0
-        tx, ty = x[~held], y[~held].astype(float)
+        held = np.arange(len(found)) % 4 == 0
+        train_, length = np.flatnonzero(~held), np.array([len(x) for x in found])
         moments = [[np.zeros_like(np.asarray(v, float)) for _ in range(2)] for v in (self.k, self.b, self.w, self.c)]
         step = 0
-        for _ in range(epochs):
-            for at in np.array_split(r.permutation(len(tx)), max(1, len(tx) // 64)):
+        for _ in range(max(epochs, -(-STEPS * 64 // max(1, len(train_))))):
+            # findings of about one length meet in a batch
+            order = r.permutation(train_)
+            order = np.concatenate([np.zeros(0, int), *(b[np.argsort(length[b], kind="stable")] for b in np.array_split(order, max(1, len(order) // 1024)))]).astype(int)
+            batches = np.array_split(order, max(1, len(order) // 64))
+            for at in (batches[i] for i in r.permutation(len(batches))):
                 if not len(at):
                     continue
-                bx = tx[at].copy()
-                bx[r.random(len(at)) < 0.5, :LEFT] = 0  # half of the time the network sees no key word
-                h = self._conv(bx)
-                top = h.argmax(1)
-                m = np.maximum(np.take_along_axis(h, top[:, None], 1)[:, 0], 0)
-                g = (1 / (1 + np.exp(-np.clip(m @ self.w + self.c, -40, 40))) - ty[at]) / len(at)
-                gm = (g[:, None] * self.w) * (m > 0)
-                gk = np.zeros_like(self.k)
+                x = np.zeros((len(at), max(len(found[i]) for i in at) + WIDTH - 1), np.int32)
+                for row, i in enumerate(at):
+                    x[row, WIDTH // 2 : WIDTH // 2 + len(found[i])] = found[i]
+                blind = x[::2]
+                blind[blind <= _CONTEXT] = 0  # half of the time the network sees no context
+                h, there, own = self._conv(x)
+                h = np.maximum(h, 0) * there[..., None]
+                top, size = h.argmax(1), np.maximum(1, own.sum(1))
+                z = np.hstack([np.take_along_axis(h, top[:, None], 1)[:, 0], (h * own[..., None]).sum(1) / size[:, None]])
+                g = (1 / (1 + np.exp(-np.clip(z @ self.w + self.c, -40, 40))) - y[at]) / len(at)
+                gh = own[..., None] * (g[:, None] * self.w[FILTERS:] / size[:, None])[:, None, :]
+                np.put_along_axis(gh, top[:, None], np.take_along_axis(gh, top[:, None], 1) + (g[:, None] * self.w[:FILTERS])[:, None], 1)
+                gh = (gh * (h > 0)).reshape(-1, FILTERS)
+                gk, n = np.zeros_like(self.k), h.shape[1]
+                some = np.flatnonzero(gh.any(1))
+                part = gh[some].astype(np.float32)
                 for j in range(WIDTH):
-                    chars = np.take_along_axis(bx, top + j, 1)
-                    np.add.at(gk[j], (chars, np.arange(FILTERS)[None]), gm)
+                    hot = np.zeros((len(some), gk.shape[1]), np.float32)
+                    hot[np.arange(len(some)), x[:, j : j + n].ravel()[some]] = 1
+                    gk[j] = hot.T @ part
+                gk[:, 0] = 0
                 step += 1
                 new = []
-                for v, d, mo in zip((self.k, self.b, self.w, self.c), (gk, gm.sum(0), m.T @ g, g.sum()), moments, strict=True):
+                for v, d, mo in zip((self.k, self.b, self.w, self.c), (gk, gh.sum(0), z.T @ g, g.sum()), moments, strict=True):
                     mo[0] = 0.9 * mo[0] + 0.1 * d
                     mo[1] = 0.99 * mo[1] + 0.01 * d * d
                     new.append(v - rate * (mo[0] / (1 - 0.9**step)) / (np.sqrt(mo[1] / (1 - 0.99**step)) + 1e-8))
                 self.k, self.b, self.w, self.c = new
-        z, t = self.logit(x[held]), y[held].astype(float)
-        for _ in range(200):  # Platt scaling on the fold apart
+        z, t = self.logit([found[i] for i in np.flatnonzero(held)]), y[held].astype(float)
+        for _ in range(400):  # Platt scaling on the fold apart
             p = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -40, 40)))
             self.scale -= 0.1 * float(((p - t) * z).mean())
             self.shift -= 0.1 * float((p - t).mean())
-        hits = np.sort(self.score(x[held][t == 1]))
-        self.threshold = max(0.5, float(hits[int((1 - RECALL) * len(hits))]) if len(hits) else 0.5)
+        hits = np.sort(1 / (1 + np.exp(-np.clip(self.scale * z[t == 1] + self.shift, -40, 40))))
+        self.threshold = float(hits[int((1 - RECALL) * len(hits))]) if len(hits) else 1.0
         return self
 
 
+def made_key(rng: np.random.Generator) -> str:
+    form = FORMS[rng.integers(len(FORMS))]
+    return "".join(p if isinstance(p, str) else "".join(rng.choice(list(p[0]), p[1])) for p in form)
+
+
+def made_name(rng: np.random.Generator, words: list[str]) -> str:
+    """A name, path, version, date or number of a text's words, as long as keys are."""
+    def word() -> str:
+        return words[rng.integers(len(words))] if words else "word"
+
+    def number(n: int) -> str:
+        return "".join(rng.choice(list(_DIGITS), n))
+
+    kind, out = rng.integers(8), ""
+    if kind == 0:
+        return number(int(rng.integers(LEAST, 24)))
+    if kind == 1:
+        return f"20{number(2)}-{number(2)}-{number(2)}T{number(2)}.{number(2)}.{number(2)}Z"
+    while len(out) < LEAST or (len(out) < 60 and rng.random() < 0.5):
+        w = word()
+        out += {2: "_", 3: "-", 4: "/", 5: ".", 6: ""}.get(int(kind), "")
+        out += w.capitalize() if kind == 6 else w if kind < 7 else w + number(int(rng.integers(1, 3))) + "-"
+    out = out.strip("_-/.") if kind != 4 else out
+    return out.upper() if rng.random() < 0.3 else out
+
+
+def labelled(text: str) -> list[tuple[int, np.ndarray]]:
+    """A sampled text's findings: (label, numbers of characters)."""
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    hits = base_spans(text)
+    got = [(1, x) for x in sequences(text, [h[:2] for h in hits])]
+    runs = candidates(text, hits)
+    got += [(0, x) for x in sequences(text, [runs[i] for i in rng.permutation(len(runs))[:SAMPLE_RUNS]])]
+    places = [m.end() for m in re.finditer(r"\s", text)] or [len(text)]
+    words = re.findall(r"[A-Za-z]{2,12}", text)
+    for label in (0, 1):
+        for _ in range(MADE):
+            found, before = made_key(rng) if label else made_name(rng, words), _BEFORE[rng.integers(len(_BEFORE))]
+            at = places[rng.integers(len(places))]
+            left, right = text[max(0, at - CONTEXT) : at] + before, text[at : at + CONTEXT]
+            right = right if right[:1].isspace() else " " + right
+            got += [(label, x) for x in sequences(left + found + right, [(len(left), len(left) + len(found))])]
+    return [(y, x) for y, x in got if len(x) <= LONGEST]
+
+
 def train(docs: DataFrame) -> CharCNN | None:
     """Fit the network on findings of a bounded sample of documents; None if they are too few."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -145,18 +255,7 @@ def train(docs: DataFrame) -> CharCNN | None:
 
     def findings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = []
-            for t in batch["text"]:
-                rng = np.random.default_rng(zlib.crc32(t.encode()))
-                hits = base_spans(t)
-                got += [(1, w.tolist()) for w in windows(t, [h[:2] for h in hits])]
-                # other runs: half of them words, half of them stretches as long as secrets
-                plain = [(m.start(), m.end()) for m in re.finditer(r"\S+", t)]
-                for i in rng.permutation(len(plain))[:4]:
-                    s = plain[i][0]
-                    e = min(len(t), s + int(rng.integers(16, 48))) if rng.random() < 0.5 else plain[i][1]
-                    if not any(a < e and s < b for a, b, _ in hits):
-                        got.append((0, windows(t, [(s, e)])[0].tolist()))
+            got = [f for t in batch["text"] for f in labelled(t)]
             yield pd.DataFrame({"y": [g[0] for g in got], "x": [g[1] for g in got]})
 
     found = checkpoint(sample.mapInPandas(findings, "y int, x array<int>"))
@@ -165,20 +264,30 @@ def train(docs: DataFrame) -> CharCNN | None:
     if min((y == 0).sum(), (y == 1).sum()) < FEWEST:
         return None
     order_ = np.random.default_rng(0).permutation(len(y))
-    return CharCNN().fit(np.array([r[1] for r in rows_])[order_], y[order_])
+    return CharCNN().fit([np.array(rows_[i][1], np.int32) for i in order_], y[order_])
+
+
+def spans_of_all(texts: list[str], model: CharCNN | None) -> list[list[tuple[str, int, int, float]]]:
+    """All spans (kind, start, end, score) of each text by start, then kind as listed; findings are scored together."""
+    found, all_ = [], []
+    for text in texts:
+        base = base_spans(text)
+        more = candidates(text, base) if model else []
+        found.append((base, more))
+        if model and (base or more):
+            all_ += sequences(text, [(s, e) for s, e, _ in base] + more)
+    score, at, out = model.score(all_).tolist() if model else [], 0, []
+    for base, more in found:
+        mine = score[at : at + len(base) + len(more)] or [1.0] * len(base)
+        at += len(base) + len(more)
+        spans = [(k, s, e, p) for (s, e, k), p in zip(base, mine, strict=False)]
+        spans += [("cnn", s, e, p) for (s, e), p in zip(more, mine[len(base) :], strict=True) if p >= model.threshold]
+        out.append(sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
+    return out
 
 
 def spans_of(text: str, model: CharCNN | None) -> list[tuple[str, int, int, float]]:
-    """All spans (kind, start, end, score) by start, then kind as listed."""
-    base = base_spans(text)
-    more = candidates(text, base) if model else []
-    if not base and not more:
-        return []
-    both = [(s, e) for s, e, _ in base] + more
-    score = model.score(windows(text, both)) if model else np.ones(len(both))
-    out = [(k, s, e, float(p)) for (s, e, k), p in zip(base, score, strict=False)]
-    out += [("cnn", s, e, float(p)) for (s, e), p in zip(more, score[len(base) :], strict=True) if p >= model.threshold]
-    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    return spans_of_all([text], model)[0]
 
 
 def find_secrets(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
@@ -189,7 +298,8 @@ def find_secrets(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in spans_of(t or "", model)] for t in batch.column("text").to_pylist()]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            spans = [[{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in of] for i in range(0, len(texts), 64) for of in spans_of_all(texts[i : i + 64], model)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     ids = F.col("doc_id").cast("long").alias("doc_id")
@@ -222,11 +332,11 @@ def redact(docs: DataFrame, model: CharCNN | None = None, mark: str = "[SECRET]"
     model = model or train(docs)
     fields = docs.columns
 
-    def clean(text: str | None) -> str | None:
+    def clean(text: str | None, spans: list) -> str | None:
         if not text:
             return text
         out, at = [], 0
-        for _, s, e, _ in spans_of(text, model):
+        for _, s, e, _ in spans:
             if e > at:
                 out += [text[at : max(s, at)], mark] if s >= at else []
                 at = e
@@ -234,7 +344,8 @@ def redact(docs: DataFrame, model: CharCNN | None = None, mark: str = "[SECRET]"
 
     def run(batches):
         for batch in batches:
-            texts = [clean(x) for x in batch.column(fields.index("text")).to_pylist()]
+            texts = batch.column(fields.index("text")).to_pylist()
+            texts = [clean(t, of) for i in range(0, len(texts), 64) for t, of in zip(texts[i : i + 64], spans_of_all([t or "" for t in texts[i : i + 64]], model), strict=True)]
             columns = list(batch.columns)
             columns[fields.index("text")] = pa.array(texts, batch.schema.field(fields.index("text")).type)
             if "n_chars" in fields:
