@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from paritas.llm.shared import arrow_rows, by_value, written
 
 #: Words that one trie takes in, and so bounds a task's memory; three ranks of 21 bits fill a node's number.
-TRIE_WORDS = 1_500_000
+TRIE_WORDS = 600_000
 BITS = 21
+#: Ranges of prefixes for each partition of the input or the shuffle, whichever are more.
+RANGES = 2
 FIELD = (1 << BITS) - 1
 #: Documents and paths a document in the sample that cuts the ranges, and bytes of a word in a cut.
 CUT_DOCS, CUT_PATHS, CUT_BYTES = 4, 16, 32
@@ -88,12 +90,14 @@ class Trie:
         ids = rank[one.indices.to_numpy()] + 1
         ids[ids == len(order)] = 0  # the end of a piece sorts last
         dictionary = one.dictionary.take(pa.array(order[:-1])).to_pylist()
-        first = ids[ids > 0] << 2 * BITS
         there = (ids[:-1] > 0) & (ids[1:] > 0)
         pairs = (ids[:-1] << 2 * BITS) | (ids[1:] << BITS)
-        triples = pairs[:-1] | ids[2:]
-        codes, counts = np.unique(np.concatenate([first, pairs[there], triples[there[:-1] & there[1:]]]), return_counts=True)
-        return dictionary, codes, counts
+        triples = (pairs[:-1] | ids[2:])[there[:-1] & there[1:]]
+        codes = np.concatenate([ids[ids > 0] << 2 * BITS, pairs[there], triples])
+        del one, order, rank, ids, there, pairs, triples
+        codes.sort()
+        begins = np.flatnonzero(np.diff(codes, prepend=-1))
+        return dictionary, codes[begins], np.diff(begins, append=len(codes))
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -195,6 +199,7 @@ def _merged(least: int):
             codes.append(f[0] << 2 * BITS | f[1] << BITS | f[2])
             counts.append(_unpacked(c.as_py(), n, np.int64))
         codes, counts = np.concatenate(codes), np.concatenate(counts)
+        del lists
         merged = np.argsort(codes, kind="stable")  # runs in order: they are merged
         codes, counts = codes[merged], counts[merged]
         begins = np.flatnonzero(np.diff(codes, prepend=-1))
@@ -255,7 +260,7 @@ def nodes_of(docs: DataFrame, least: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text <> ''")
     with arrow_rows(spark, ROWS):
-        cuts = _cuts(texts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions()))
+        cuts = _cuts(texts, RANGES * max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions()))
         tries = written(texts.mapInArrow(_shard(cuts), PIECE), "tries")
         return written(tries.groupBy("range", "lang").applyInArrow(_merged(least), NODE), "nodes")
 
