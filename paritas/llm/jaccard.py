@@ -45,9 +45,10 @@ from paritas.llm.components import components
 from paritas.llm.shared import arrow_rows, by_value, checkpoint, free_name, may_hold, written
 
 WORDS, NUM, DEN = 5, 75, 100  # shingle length; a link needs DEN * intersection >= NUM * union
-SLICE, SLICE_ROWS = 800_000, 60_000  # tokens and sets of a slice
+SLICE, SLICE_ROWS = 500_000, 60_000  # tokens and sets of a slice
 BUCKET_BYTES = 12_000_000  # of text, for each bucket of tokens
-ROWS = 1000  # per Arrow batch
+ROWS = 200  # per Arrow batch
+PAIR_ROWS = 50  # of pairs with both whole sets
 MOST_BITS = 1 << 27  # 16 MB
 _ROWS = "doc_id long, th long, key binary, n long, own long, last long, prefix array<long>"
 _BLOBS = "bucket long, slice long, tokens binary, rows binary, classes binary"
@@ -294,7 +295,7 @@ def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 both.append(int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(u) else 0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(both, pa.int64())], names=names)
 
-    with arrow_rows(sets.sparkSession, ROWS):
+    with arrow_rows(sets.sparkSession, PAIR_ROWS):
         return checkpoint(joined.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in pairs.dtypes) + ", both long"))
 
 
