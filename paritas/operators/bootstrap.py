@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paritas.functions.running import running
+
 DOMAIN = "audit-bootstrap-v1\0"
 
 
@@ -37,9 +39,9 @@ def draws(spark: SparkSession, n: int, resamples: int, seed: int, key: str, role
     return s.select(F.floor(F.col("position") / n).cast("long").alias("draw"), (F.col("position") % n).alias("i"), "index")
 
 
-def with_ordinal(rows: DataFrame, order: str) -> DataFrame:
-    """0-based positions in eligible order, which the draws refer to."""
-    return rows.withColumn("index", F.row_number().over(Window.orderBy(order)).cast("long") - 1)
+def with_ordinal(rows: DataFrame, order: str, keys: list[str] | None = None, few: int | None = None) -> DataFrame:
+    """0-based positions in eligible order (of each key), which the draws refer to."""
+    return running(rows, keys or [], [F.asc_nulls_first(order)], {"index": F.lit(1).cast("long")}, few=few)
 
 
 def interval(values: DataFrame, keys: list[str], confidence: float, minimum_valid: int) -> DataFrame:

@@ -9,11 +9,10 @@ very many others link to is one row on the join's other side, so skewed partitio
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paritas.functions.running import checkpointed
 from paritas.operators.altdata import feature_gate, instant
 
 KEY = ["source_id", "source_version", "record_id"]
@@ -24,18 +23,6 @@ FAULTS = (
 )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's checkpoint folder; a folder of our own only in local mode."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="lineage-"))
-    return df.checkpoint()
-
-
 def link_faults(records: DataFrame, sources: DataFrame) -> DataFrame:
     """(key, code): the first fault of each faulty record, cycles aside (see ``revision_roots``).
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paritas.config import Label
 from paritas.functions import ranked
 
+#: Names of metrics, in canonical order.
 SCOPE_METRICS = ("selection_rate", "denial_rate", "accuracy", "precision", "true_positive_rate", "false_positive_rate", "false_negative_rate", "brier_score", "roc_auc")
 COMPARISONS = ("selection_rate_difference", "adverse_impact_ratio", "demographic_parity_difference", "equal_opportunity_difference", "equalized_odds_gap")
 _CELLS = {"tp": "y AND d", "fp": "NOT y AND d", "fn": "y AND NOT d", "tn": "NOT y AND NOT d"}
@@ -116,7 +117,7 @@ def reliability(metrics: DataFrame, minimum: int) -> DataFrame:
         )
     )
     codes = F.when(F.col("reason").isNull(), codes).otherwise(F.array().cast("array<string>"))
-    state = F.when(F.col("reason").isNotNull(), "undefined").when(F.size(codes) == 0, "reliable").otherwise("unreliable")
+    state = F.when(F.col("reason") == "metric_not_applicable", "not_applicable").when(F.col("reason").isNotNull(), "undefined").when(F.size(codes) == 0, "reliable").otherwise("unreliable")
     return metrics.withColumn("limitations", codes).withColumn("reliability", state)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.functions import typed
+from paritas.functions import exact, running, typed
 
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -21,17 +21,21 @@ def missingness(df: DataFrame, columns: list[str], group: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
+    """(minimum, maximum, mean, deviation, quantiles): moments by exact sums, quantiles by rank over runs of equal values."""
     c = F.col(column).cast("double")
-    return df.agg(F.min(c).alias("minimum"), F.max(c).alias("maximum"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("deviation"), F.percentile(c, F.array(*[F.lit(q) for q in QUANTILES])).alias("quantiles"))
+    rows = df.select(c.alias("c"))
+    moments = exact.moments(rows, [], "c")
+    ranks = running.quantiles(rows, [], "c", list(QUANTILES))
+    q = F.col("quantiles")
+    return moments.join(F.broadcast(ranks), how="left").select(q[0].alias("minimum"), q[len(QUANTILES) - 1].alias("maximum"), "mean", "deviation", "quantiles")  # one row each
 
 
 def outliers(df: DataFrame, column: str) -> DataFrame:
     """Strict Tukey fences over type-7 quartiles."""
-    c = F.col(column).cast("double")
-    fence = df.agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q1, q3 = F.col("q")[0], F.col("q")[1]
-    fence = fence.select((q1 - 1.5 * (q3 - q1)).alias("low"), (q3 + 1.5 * (q3 - q1)).alias("high"))
-    both = df.select(c.alias("c")).join(F.broadcast(fence))  # one row
+    rows = df.select(F.col(column).cast("double").alias("c"))
+    q1, q3 = F.col("quantiles")[0], F.col("quantiles")[1]
+    fence = running.quantiles(rows, [], "c", [0.25, 0.75]).select((q1 - 1.5 * (q3 - q1)).alias("low"), (q3 + 1.5 * (q3 - q1)).alias("high"))
+    both = rows.join(F.broadcast(fence), how="left")  # one row
     return both.agg(F.max("low").alias("lower_fence"), F.max("high").alias("upper_fence"), F.sum((F.col("c") < F.col("low")).cast("long")).alias("below"), F.sum((F.col("c") > F.col("high")).cast("long")).alias("above"), F.count("c").alias("total"))
 
 
