@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paritas.operators import bootstrap, resample
-from paritas.plans.base import AUDIT, REFERENCE, SEGMENTS, audit
+from paritas.operators import bootstrap, resample, risk_bootstrap
+from paritas.plans.base import AUDIT, REFERENCE, SEGMENTS, audit, table
 
 RESAMPLES, SEED, CONFIDENCE = 6, 7, 0.8
 _COMPARED = ("selection_rate_difference", "adverse_impact_ratio", "equal_opportunity_difference", "equalized_odds_gap")
@@ -56,4 +56,38 @@ b AS (SELECT *, coalesce(sum(u) OVER (PARTITION BY key, draw ORDER BY s ROWS BET
 v AS (SELECT key, CASE metric WHEN 'selection_rate' THEN dw / w WHEN 'precision' THEN tp / nullif(dw, 0) WHEN 'false_positive_rate' THEN fp / nullif(w - yw, 0) ELSE sq / w END AS v FROM c WHERE metric <> 'roc_auc'
   UNION ALL SELECT key, sum(f * (below + 0.5 * u)) / nullif(sum(f) * sum(u), 0) FROM b GROUP BY key, draw) {_END}"""
 
-QUERIES = {"comparison_interval": (_comparisons, _COMPARISONS_SQL), "scope_interval": (_scopes, _SCOPES_SQL)}
+EDGES, FRACTIONS, RISK_RESAMPLES = [0.25, 0.5, 0.75], [0.1, 0.3], 5
+
+
+def _entities(s, d):
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select(k.alias("entity_id"), (((k * 37) % 101) / F.lit(101.0)).alias("s"), ((k * 37) % 101 + k % 60 > 110).alias("bad"), (k % 3).cast("double").alias("w"))
+
+
+def _risk(s, d):
+    # slopes have no SQL form: they are tested against plain Python
+    out = risk_bootstrap.evidence(_entities(s, d), EDGES, FRACTIONS, RISK_RESAMPLES, 3, SEED).filter("metric_key <> 'calibration_slope'")
+    return out.select("metric_key", "valid_resamples", "reliable", F.round("lower", 8).alias("lower"), F.round("upper", 8).alias("upper"))
+
+
+_VALUES = {f"band.{i}.observed_bad_rate": f"sum(b) FILTER (band = {i}) / sum(w) FILTER (band = {i})" for i in range(len(EDGES) + 1)}
+for _f in FRACTIONS:
+    _taken = f"FILTER (cw < {_f!r} * tw)"
+    _VALUES |= {f"top.{_f:g}.bad_capture": f"sum(b) {_taken} / max(tb)", f"top.{_f:g}.selected_bad_rate": f"sum(b) {_taken} / sum(w) {_taken}", f"top.{_f:g}.lift": f"(sum(b) {_taken} / sum(w) {_taken}) / (max(tb) / max(tw))"}
+_VALUES |= {
+    "ks": "max(abs((cb + b) / tb - (cw + w - cb - b) / (tw - tb)))", "risk_auc": "sum(b * (below + 0.5 * (w - b))) / (max(tb) * (max(tw) - max(tb)))", "gini": "2 * sum(b * (below + 0.5 * (w - b))) / (max(tb) * (max(tw) - max(tb))) - 1",
+    "brier_score": "sum(b * (s - 1) * (s - 1) + (w - b) * s * s) / max(tw)", "calibration_in_the_large": "sum(w * s) / max(tw) - max(tb) / max(tw)",
+}
+_RISK_SQL = f"""WITH e AS (SELECT o_orderkey AS id, ((o_orderkey * 37) % 101) / 101.0::DOUBLE AS s, (o_orderkey * 37) % 101 + o_orderkey % 60 > 110 AS bad, (o_orderkey % 3)::DOUBLE / 2 AS w FROM orders WHERE o_orderkey % 3 > 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY bad ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY bad) AS n FROM e),
+st AS (SELECT bad, max(n) AS n FROM p GROUP BY bad),
+blk AS (SELECT bad, n, id, sha256(encode('{bootstrap.DOMAIN[:-1]}') || {_NUL} || encode('{SEED}') || {_NUL} || encode('{risk_bootstrap.KEY}') || {_NUL} || encode(CASE WHEN bad THEN 'comparison' ELSE 'reference' END) || unhex(printf('%016x', id))) AS h
+  FROM (SELECT *, unnest(range(0, (n * {RISK_RESAMPLES} + 3) // 4)) AS id FROM st)),
+pos AS (SELECT bad, n, id * 4 + k AS spot, ('0x' || substr(h, (16 * k + 1)::INT, 16))::UBIGINT % n AS i FROM blk, range(4) u(k)),
+r AS (SELECT spot // pos.n AS draw, s, sum(w) AS w, sum(CASE WHEN p.bad THEN w ELSE 0 END) AS b FROM pos JOIN p ON p.bad = pos.bad AND p.i = pos.i WHERE spot < pos.n * {RISK_RESAMPLES} GROUP BY 1, 2),
+t AS (SELECT *, (s >= 0.25)::INT + (s >= 0.5)::INT + (s >= 0.75)::INT AS band, sum(w) OVER (PARTITION BY draw) AS tw, sum(b) OVER (PARTITION BY draw) AS tb, coalesce(sum(w) OVER z, 0) AS cw, coalesce(sum(b) OVER z, 0) AS cb,
+  coalesce(sum(w - b) OVER (PARTITION BY draw ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM r WINDOW z AS (PARTITION BY draw ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS ({" UNION ALL ".join(f"SELECT '{k}' AS metric_key, draw, {e} AS v FROM t GROUP BY draw" for k, e in _VALUES.items())})
+SELECT metric_key, count(v) AS valid_resamples, count(v) >= 3 AS reliable, round(quantile_cont(v, 0.025), 8) AS lower, round(quantile_cont(v, 0.975), 8) AS upper FROM v GROUP BY metric_key"""
+
+QUERIES = {"comparison_interval": (_comparisons, _COMPARISONS_SQL), "scope_interval": (_scopes, _SCOPES_SQL), "risk_bootstrap": (_risk, _RISK_SQL)}
