@@ -63,26 +63,33 @@ def _gaps(s, d):
 
 def _members(s, d):
     a = audit(s, d)
+    cohort = F.when(F.col("entity_id") < 40, "launch").otherwise("later")  # a few entities in tables of any size
     cells = F.array(
         F.struct(F.lit("population").alias("t"), F.lit("all").alias("c")), F.struct(F.lit("group.grp").alias("t"), F.col("grp").alias("c")), F.struct(F.lit("group.prio").alias("t"), F.col("prio").alias("c")),
         F.struct(F.lit("outcome").alias("t"), F.col("y").cast("string").alias("c")), F.struct(F.lit("intersection").alias("t"), F.concat_ws("/", "grp", "prio").alias("c")),
+        F.struct(F.lit("cohort").alias("t"), cohort.alias("c")), F.struct(F.lit("cohort.prio").alias("t"), F.concat_ws("/", cohort, "prio").alias("c")),
     )
     return a.select("entity_id", F.explode(cells).alias("x")).select(F.col("x.t").alias("table_id"), F.col("x.c").alias("cell_id"), "entity_id")
 
 
 MEMBERS = AUDIT + """, members AS (SELECT 'population' AS table_id, 'all' AS cell_id, entity_id FROM base UNION ALL SELECT 'group.grp', grp, entity_id FROM base UNION ALL SELECT 'group.prio', prio, entity_id FROM base
- UNION ALL SELECT 'outcome', y::VARCHAR, entity_id FROM base UNION ALL SELECT 'intersection', grp || '/' || prio, entity_id FROM base)"""
+ UNION ALL SELECT 'outcome', y::VARCHAR, entity_id FROM base UNION ALL SELECT 'intersection', grp || '/' || prio, entity_id FROM base
+ UNION ALL SELECT 'cohort', CASE WHEN entity_id < 40 THEN 'launch' ELSE 'later' END, entity_id FROM base UNION ALL SELECT 'cohort.prio', CASE WHEN entity_id < 40 THEN 'launch' ELSE 'later' END || '/' || prio, entity_id FROM base)"""
 _MINIMUM = 60
 _DOMAIN = "proxy-fold-v1|7|"
 
 
 def _complementary(s, d):
-    m = _members(s, d)
-    # cells and atoms are aggregates: as many as there are groups, not rows
-    counts = {f"{r.table_id}:{r.cell_id}": r.n for r in disclosure.cells(m).collect()}
-    atoms = {tuple(r.signature.split("|")): r.n for r in disclosure.atoms(m).collect()}
-    hidden = disclosure.complementary(atoms, counts, _MINIMUM, totals=frozenset({"population:all"}))
-    return s.createDataFrame([(c, n, hidden.get(c)) for c, n in sorted(counts.items())], "cell string, n long, reason string")
+    return disclosure.release(_members(s, d), _MINIMUM, totals=frozenset({"population:all"}))
+
+
+def _one_table(s, d):
+    """Segments with a small cohort beside them, and their total."""
+    a = audit(s, d)
+    own = F.when(F.col("entity_id") < 40, "launch").otherwise(F.col("grp"))
+    tables = F.array(F.struct(F.lit("population").alias("t"), F.lit("all").alias("c")), F.struct(F.lit("cohort").alias("t"), own.alias("c")))
+    m = a.select("entity_id", F.explode(tables).alias("x")).select(F.col("x.t").alias("table_id"), F.col("x.c").alias("cell_id"), "entity_id")
+    return disclosure.release(m, _MINIMUM, totals=frozenset({"population:all"}))
 
 
 def _proxy(s, d):
@@ -213,6 +220,15 @@ QUERIES = {
         f"WITH {MEMBERS}, p AS (SELECT entity_id, array_to_string(list_sort(list_distinct(list(table_id || ':' || cell_id))), '|') AS signature FROM members GROUP BY 1) SELECT signature, count(*) AS n FROM p GROUP BY 1",
     ),
     "complementary_suppression": (_complementary, None),
+    "suppressed_release": (
+        # one table and its total: a hidden cell alone is the total less the others, so the smallest other one goes too
+        _one_table,
+        f"""WITH {AUDIT}, k AS (SELECT CASE WHEN entity_id < 40 THEN 'launch' ELSE grp END AS cell_id, count(*) AS k FROM base GROUP BY 1), p AS (SELECT *, k < {_MINIMUM} AS small, count(*) FILTER (k < {_MINIMUM}) OVER () AS smalls FROM k),
+        h AS (SELECT *, NOT small AND smalls = 1 AND row_number() OVER (PARTITION BY small ORDER BY k, cell_id) = 1 AS also FROM p)
+        SELECT 'cohort' AS table_id, cell_id, CASE WHEN small OR also THEN 'suppressed' ELSE 'published' END AS state, CASE WHEN NOT (small OR also) THEN k END AS n, CASE WHEN small THEN '0..{_MINIMUM - 1}' WHEN also THEN 'hidden' END AS bucket,
+          CASE WHEN small THEN 'ad_sparse_report_cell' WHEN also THEN 'ad_complementary_suppression' END AS reason FROM h
+        UNION ALL SELECT 'population', 'all', 'published', count(*), NULL, NULL FROM base""",
+    ),
     "proxy_fold": (
         lambda s, d: audit(s, d).select("entity_id", proxy.fold_of(F.col("entity_id"), 3, _DOMAIN).alias("fold")),
         f"""WITH {AUDIT}, h AS (SELECT entity_id, sha256('{_DOMAIN}' || entity_id::VARCHAR) AS h FROM base), w AS (SELECT entity_id, list_transform(range(8), lambda i: ('0x' || substr(h, (8 * i + 1)::INT, 8))::BIGINT) AS w FROM h)

@@ -183,6 +183,89 @@ def test_complementary_suppression_hides_a_second_cell():
     assert disclosure.complementary(atoms, counts, 10, totals=frozenset({"all"})) == {"A": "primary", "B": "complementary"}
 
 
+def test_suppression_decides_as_elimination_in_fractions_does():
+    """Leave-one-out rows in whole numbers against elimination in fractions for each cell by itself."""
+    from fractions import Fraction
+
+    def basis(rows, width):
+        m, pivots, at = [[Fraction(v) for v in r] for r in rows], [], 0
+        for c in range(width):
+            hit = next((r for r in range(at, len(m)) if m[r][c]), None)
+            if hit is not None:
+                m[at], m[hit] = m[hit], m[at]
+                m[at] = [v / m[at][c] for v in m[at]]
+                m = [r if i == at or not r[c] else [v - r[c] * w for v, w in zip(r, m[at])] for i, r in enumerate(m)]
+                pivots.append(c)
+                at += 1
+        out = []
+        for free in (c for c in range(width) if c not in pivots):
+            x = [Fraction(0)] * width
+            x[free] = Fraction(1)
+            for r, p in enumerate(pivots):
+                x[p] = -m[r][free]
+            scale = math.lcm(*(v.denominator for v in x))
+            whole = [int(v * scale) for v in x]
+            out.append([v // math.gcd(*whole) for v in whole])
+        return out
+
+    def plain(atoms, counts, minimum, totals):
+        names = sorted(atoms)
+        hidden = {c: "primary" for c in sorted(counts) if counts[c] < minimum}
+
+        def opened(cell, shown):
+            if not shown:
+                return True
+            ways = [x for x in basis([[int(c in n) for n in names] for c in shown], len(names)) if any(all(atoms[n] + g * w >= 0 for n, w in zip(names, x)) for g in (1, -1))]
+            return any(sum(w for n, w in zip(names, x) if cell in n) for x in ways)
+
+        while True:
+            shown = [c for c in sorted(counts) if c not in hidden]
+            unsafe = next((c for c in sorted(hidden) if not opened(c, shown)), None)
+            if unsafe is None:
+                return hidden
+            left = sorted(shown, key=lambda c: (counts[c], c))
+            frees = [c for c in left if opened(unsafe, [x for x in shown if x != c])]
+            pick = [c for c in frees if c not in totals] or [c for c in left if c not in totals] or [c for c in frees if c in totals]
+            if not pick:
+                return None
+            hidden[pick[0]] = "complementary"
+
+    rng = np.random.default_rng(2)
+    several = 0
+    for _ in range(60):
+        atoms = {}
+        for _ in range(rng.integers(2, 9)):
+            a, b, c = rng.integers(0, 3), rng.integers(0, 3), rng.integers(0, 2)
+            key = ("all", f"a{a}", f"b{b}", *([f"ab{a}{b}"] if rng.random() < 0.5 else []), *(["c"] if c else []))
+            atoms[key] = atoms.get(key, 0) + int(rng.integers(1, 30))
+        counts = {c: sum(n for k, n in atoms.items() if c in k) for c in {c for k in atoms for c in k}}
+        want = plain(atoms, counts, 10, {"all"})
+        if want is None:
+            with pytest.raises(ValueError):
+                disclosure.complementary(atoms, counts, 10, totals=frozenset({"all"}))
+        else:
+            assert disclosure.complementary(atoms, counts, 10, totals=frozenset({"all"})) == want
+            several += len(want) > 2
+    assert several > 5
+
+
+def test_release_keeps_what_was_published(spark):
+    rows = [("group", "a", i) for i in range(20)] + [("group", "b", i) for i in range(20, 50)] + [("group", "c", i) for i in range(50, 54)] + [("all", "all", i) for i in range(54)]
+    m = spark.createDataFrame(rows, "table_id string, cell_id string, entity_id long")
+    declared = spark.createDataFrame([("group", "none"), ("group", "a")], "table_id string, cell_id string")
+    first = disclosure.release(m, 10, declared, frozenset({"all:all"}))
+    got = {r.cell_id: (r.state, r.n, r.bucket, r.reason) for r in first.collect()}
+    assert got["c"] == got["none"] == ("suppressed", None, "0..9", "ad_sparse_report_cell") and got["b"][1] == 30
+    assert got["a"] == ("suppressed", None, "hidden", "ad_complementary_suppression")
+    again = disclosure.release(m, 10, declared, frozenset({"all:all"}), first)
+    assert {r.cell_id: (r.state, r.n, r.bucket, r.reason) for r in again.collect()} == got
+    more = m.unionByName(spark.createDataFrame([("group", "b", 99), ("all", "all", 99)], m.schema))
+    with pytest.raises(ValueError, match="another count"):
+        disclosure.release(more, 10, declared, frozenset({"all:all"}), first)
+    with pytest.raises(ValueError, match="released cell"):
+        disclosure.release(m, 31, declared, frozenset({"all:all"}), first)
+
+
 def test_proxy_oracles(spark):
     df = spark.createDataFrame([(0.0, "A"), (2.0, "A"), (4.0, "B"), (6.0, "B")], "v double, g string")
     assert proxy.eta_squared(df, "g", "v").first()[0] == pytest.approx(0.8)
@@ -265,7 +348,9 @@ def test_bootstrap_interval_resamples_the_whole_table(spark, duck):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 def test_complementary_suppression_decides_every_cell(spark):
     q = catalogue.queries()
-    got = {r.cell: (r.n, r.reason == "primary") for r in q["complementary_suppression"](spark, SF).collect()}
-    counts = {f"{r.table_id}:{r.cell_id}": r.n for r in q["disclosure_cells"](spark, SF).collect()}
-    hidden = {f"{r.table_id}:{r.cell_id}": r.suppressed for r in q["primary_suppression"](spark, SF).collect()}
-    assert got == {c: (n, hidden[c]) for c, n in counts.items()} and any(hidden.values())
+    got = {(r.table_id, r.cell_id): r for r in q["complementary_suppression"](spark, SF).collect()}
+    counts = {(r.table_id, r.cell_id): r.n for r in q["disclosure_cells"](spark, SF).collect()}
+    primary = {(r.table_id, r.cell_id) for r in q["primary_suppression"](spark, SF).collect() if r.suppressed}
+    assert got.keys() == counts.keys() and {k for k, r in got.items() if r.reason == "ad_sparse_report_cell"} == primary
+    hidden = {k for k, r in got.items() if r.state == "suppressed"}
+    assert primary < hidden and all((r.n is None) == (k in hidden) and (k in hidden or r.n == counts[k]) for k, r in got.items())
