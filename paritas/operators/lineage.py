@@ -92,22 +92,34 @@ def eligible_terminal(records: DataFrame, as_of: Column, execution: Column) -> D
     return fit.join(revised, KEY, "left_anti")
 
 
-def authoritative_records(records: DataFrame, sources: DataFrame, as_of: Column, execution: Column) -> DataFrame:
-    """The latest eligible terminal version below each revision root, with ``root``; raises the first fault's code.
-
-    Two terminal versions of one root that were observed at one time are a fault: neither is later.
-    """
+def checked_roots(records: DataFrame, sources: DataFrame) -> DataFrame:
+    """(key, root) of every record; raises the first fault's code where links are faulty."""
     faults = {r.code for r in link_faults(records, sources).select("code").distinct().collect()}  # eight codes at most
     if faults:
         raise ValueError(min(faults, key=FAULTS.index))
     roots = checkpointed(revision_roots(records))
     if not roots.filter("cyclic").isEmpty():
         raise ValueError(FAULTS[7])
-    terminal = eligible_terminal(records, as_of, execution).join(roots.select(*KEY, "root"), KEY)
+    return roots.select(*KEY, "root")
+
+
+def latest_by_root(terminal: DataFrame, roots: DataFrame, times_must_differ: bool = True) -> DataFrame:
+    """(source_id, source_version, root, record_id): the terminal record of each root that was observed last."""
     group = ["source_id", "source_version", "root"]
-    last = checkpointed(terminal.groupBy(*group, "observed_at").agg(F.count(F.lit(1)).alias("__n"), F.min("record_id").alias("record_id")))
-    if not last.filter("__n > 1").isEmpty():
-        raise ValueError(FAULTS[7])
+    last = terminal.join(roots, KEY).groupBy(*group, "observed_at").agg(F.count(F.lit(1)).alias("__n"), F.min("record_id").alias("record_id"))
+    if times_must_differ:
+        last = checkpointed(last)
+        if not last.filter("__n > 1").isEmpty():
+            raise ValueError(FAULTS[7])
     # one struct a root: a partial maximum before the shuffle
-    chosen = last.groupBy(*group).agg(F.max(F.struct("observed_at", "record_id")).alias("__last")).select(*group, F.col("__last.record_id").alias("record_id"))
-    return records.join(chosen, KEY)
+    chosen = last.groupBy(*group).agg(F.max(F.struct("observed_at", "record_id")).alias("__last"))
+    return chosen.select(*group, F.col("__last.record_id").alias("record_id"))
+
+
+def authoritative_records(records: DataFrame, sources: DataFrame, as_of: Column, execution: Column, roots: DataFrame | None = None) -> DataFrame:
+    """The latest eligible terminal version below each revision root, with ``root``; raises the first fault's code.
+
+    Two terminal versions of one root that were observed at one time are a fault: neither is later.
+    """
+    roots = checked_roots(records, sources) if roots is None else roots
+    return records.join(latest_by_root(eligible_terminal(records, as_of, execution), roots), KEY)
