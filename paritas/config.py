@@ -51,6 +51,10 @@ class AuditConfig:
     missing_policy: str = "error"
     unknown_group_policy: str = "error"
     duplicate_policy: str = "error"
+    dataset_version: str | None = None
+    model_version: str | None = None
+    population_definition: str | None = None
+    sampling_definition: str | None = None
     #: Prefix of the bootstrap stream; pass another system's prefix to reproduce its draws.
     stream_domain: str = "audit-bootstrap-v1\0"
 

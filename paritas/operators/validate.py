@@ -37,11 +37,15 @@ def missing_flag(df: DataFrame, columns) -> Column:
     return _any([typed.missing(df, c) for c in columns])
 
 
-def duplicate_flag(df: DataFrame, record_id: str | None) -> Column:
-    """Every member of a group of equal ids (or of equal rows) is flagged; ids that are null are not."""
-    keys = [record_id] if record_id else df.columns
-    twice = F.count("*").over(Window.partitionBy(*keys)) > 1
-    return twice & F.col(record_id).isNotNull() if record_id else twice
+def with_duplicates(df: DataFrame, record_id: str | None, name: str) -> DataFrame:
+    """``df`` with a flag on every member of a group of equal ids (or of equal rows); ids that are null are not flagged.
+
+    Ids alone are counted, with partial counts, and the ids that repeat are joined back: whole rows are not grouped by id.
+    """
+    if not record_id:
+        return df.withColumn(name, F.count("*").over(Window.partitionBy(*df.columns)) > 1)
+    twice = df.filter(F.col(record_id).isNotNull()).groupBy(F.col(record_id).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__id")
+    return df.join(twice, F.col(record_id) == F.col("__id"), "left").withColumn(name, F.col("__id").isNotNull()).drop("__id")
 
 
 def nonfinite_flag(columns) -> Column:
@@ -58,12 +62,12 @@ def flag_rows(df: DataFrame, config: AuditConfig) -> DataFrame:
     flags = {
         "missing_required_value": missing_flag(df, config.required),
         "unknown_protected_group": _any([outside_flag(df, a, config.allowed[a]) for a in config.protected]),
-        "duplicate_record": duplicate_flag(df, config.record_id),
         "non_finite_numeric": nonfinite_flag([c for c in (config.score, config.weight) if c]),
         "unexpected_category": _any([outside_flag(df, c, v) for c, v in config.expected_categories.items()]),
     }
-    counted = list(flags) if config.duplicate_policy != "allow" else [r for r in flags if r != "duplicate_record"]
-    return df.withColumns(flags).withColumn("__excluded", _any([F.col(r) for r in counted]))
+    counted = [*flags, "duplicate_record"] if config.duplicate_policy != "allow" else list(flags)
+    flagged = with_duplicates(df, config.record_id, "duplicate_record").withColumns(flags)
+    return flagged.select(*df.columns, *REASONS).withColumn("__excluded", _any([F.col(r) for r in counted]))
 
 
 def reason_counts(flagged: DataFrame) -> DataFrame:

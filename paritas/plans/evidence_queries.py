@@ -101,17 +101,18 @@ def _rows(s, d):
     return table(s, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") > 0).alias("d"))
 
 
-_N, _R, _SEED, _KEY = 200, 40, 7, "overall.selection_rate"
+_R, _SEED, _KEY = 40, 7, "overall.selection_rate"
 
 
 def _draws(s, d):
-    return bootstrap.draws(s, _N, _R, _SEED, _KEY)
+    # positions of all suppliers
+    return bootstrap.draws(s, table(s, d, "supplier").count(), _R, _SEED, _KEY)
 
 
-_DRAWS_SQL = f"""WITH m AS (SELECT encode('{bootstrap.DOMAIN[:-1]}') || '\\x00'::BLOB || encode('{_SEED}') || '\\x00'::BLOB || encode('{_KEY}') || '\\x00'::BLOB || encode('scope') AS m),
-b AS (SELECT id, sha256(m || unhex(printf('%016x', id))) AS h FROM m, range({_N * _R // 4 + 4}) t(id)),
-w AS (SELECT id * 4 + k AS position, ('0x' || substr(h, (16 * k + 1)::INT, 16))::UBIGINT AS c FROM b, range(4) u(k))
-SELECT (position // {_N})::BIGINT AS draw, (position % {_N})::BIGINT AS i, (c % {_N})::BIGINT AS "index" FROM w WHERE position < {_N * _R}"""
+_DRAWS_SQL = f"""WITH m AS (SELECT encode('{bootstrap.DOMAIN[:-1]}') || '\\x00'::BLOB || encode('{_SEED}') || '\\x00'::BLOB || encode('{_KEY}') || '\\x00'::BLOB || encode('scope') AS m), n AS (SELECT count(*) AS n FROM supplier),
+b AS (SELECT id, n, sha256(m || unhex(printf('%016x', id))) AS h FROM (SELECT m, n, unnest(range(0, n * {_R} // 4 + 4)) AS id FROM m, n)),
+w AS (SELECT n, id * 4 + k AS spot, ('0x' || substr(h, (16 * k + 1)::INT, 16))::UBIGINT AS c FROM b, range(4) u(k))
+SELECT (spot // n)::BIGINT AS draw, (spot % n)::BIGINT AS i, (c % n)::BIGINT AS "index" FROM w WHERE spot < n * {_R}"""
 
 
 def _interval(s, d):
