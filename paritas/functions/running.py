@@ -63,6 +63,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[fl
     A quantile lies between two order statistics; the runs that hold them are found by their running counts.
     """
     runs = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    return quantiles_of_runs(runs, keys, probabilities, few)
+
+
+def quantiles_of_runs(runs: DataFrame, keys: list[str], probabilities: list[float], few: int | None = None) -> DataFrame:
+    """The same from runs (keys, __v, __n): values, each once for its keys, and how often they occur."""
     runs = running(runs, keys, [F.asc("__v")], {"__before": F.col("__n")}, {"__all": F.col("__n")}, few)
     found = []
     for i, p in enumerate(probabilities):

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from struct import pack
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paritas.functions import ranked
 
 
-def fold_of(entity: Column, folds: int, domain: str) -> Column:
-    """SHA-256 of (domain, entity) as a 256-bit number modulo folds, by Horner steps of 32 bits."""
-    h = F.sha2(F.concat(F.lit(domain), entity.cast("string")), 256)
+def fold_of(entity: Column, folds: int, seed: int, protocol: str, domain: str) -> Column:
+    """SHA-256 of domain, protocol, seed and entity as a 256-bit number modulo folds, by Horner steps of 32 bits.
+
+    Protocol and entity come after their lengths (32 bits), the seed is 64 bits: no two inputs have the same bytes.
+    """
+    if folds < 2 or not 0 <= seed < 2**64:
+        raise ValueError("folds are two or more, and a seed fits 64 bits")
+    own = F.encode(entity.cast("string"), "UTF-8")
+    head = domain.encode() + pack(">I", len(protocol.encode())) + protocol.encode() + pack(">Q", seed)
+    h = F.sha2(F.concat(F.lit(bytearray(head)), F.unhex(F.lpad(F.hex(F.octet_length(own).cast("long")), 8, "0")), own), 256)
     r = F.lit(0).cast("long")
     for i in range(8):
         word = F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")
@@ -44,72 +51,3 @@ def macro_auc(df: DataFrame, label: str, score: str, classes: list[str]) -> Data
     long = df.select(F.col(score).alias("s"), F.col(label).alias("label"), F.explode(F.array(*[F.lit(c) for c in classes])).alias("c"))
     per = ranked.auc(long.withColumn("y", F.col("label") == F.col("c")), ["c"], "s", "y")
     return per.agg(F.avg("auc").alias("macro_auc"))
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, classes: int, penalty: float = 1.0, iterations: int = 100, halvings: int = 60, tolerance: float = 1e-10) -> np.ndarray:
-    """Multinomial logistic regression (last class as base) with an L2 penalty on all but the intercept.
-
-    Damped Newton steps on the mean loss plus penalty/2 * |coefficients|^2.
-    """
-    n, width = x.shape
-    k = classes - 1
-    t = np.eye(classes)[y][:, :k]
-    ridge = np.full(width, penalty)
-    ridge[0] = 0.0
-    beta = np.zeros((k, width))
-
-    def prob(b: np.ndarray) -> np.ndarray:
-        z = np.concatenate([x @ b.T, np.zeros((n, 1))], 1)
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        return e / e.sum(1, keepdims=True)
-
-    def loss(b: np.ndarray) -> float:
-        return float(-np.log(np.maximum(prob(b)[np.arange(n), y], 1e-300)).mean() + 0.5 * (ridge * b * b).sum())
-
-    now = loss(beta)
-    for _ in range(iterations):
-        p = prob(beta)[:, :k]
-        g = (p - t).T @ x / n + ridge * beta
-        if np.abs(g).max() <= tolerance:
-            break
-        h = np.zeros((k * width, k * width))
-        for i in range(k):
-            for j in range(k):
-                w = p[:, i] * ((i == j) - p[:, j])
-                h[i * width : (i + 1) * width, j * width : (j + 1) * width] = (x * w[:, None]).T @ x / n
-        h += np.diag(np.tile(ridge, k))
-        step = np.linalg.solve(h, g.ravel()).reshape(k, width)
-        rate = 1.0
-        for _ in range(halvings):
-            if (new := loss(beta - rate * step)) <= now:
-                break
-            rate /= 2
-        beta, now = beta - rate * step, new
-    return beta
-
-
-def fold_scores(df: DataFrame, features: list[str], label: str, classes: list[str], folds: int) -> DataFrame:
-    """Out-of-fold class probabilities: each fold is one task that fits on the others' rows.
-
-    Rows are (entity_id, fold, features..., label). Fitting needs the training rows of a fold in one
-    task: the development window of a screening is bounded by contract.
-    """
-    wide = df.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        own = (p["fold"] == p["model"]).to_numpy()
-        raw = p[features].to_numpy(float)
-        mid = np.nanmedian(raw[~own], 0)
-        filled = np.where(np.isnan(raw), mid, raw)
-        mean, std = filled[~own].mean(0), filled[~own].std(0)
-        z = (filled - mean) / np.where(std > 0, std, 1)
-        x = np.concatenate([np.ones((len(p), 1)), z, np.isnan(raw).astype(float)], 1)
-        y = np.array([classes.index(c) for c in p[label]])
-        beta = fit_logistic(x[~own], y[~own], len(classes))
-        s = np.concatenate([x[own] @ beta.T, np.zeros((own.sum(), 1))], 1)
-        e = np.exp(s - s.max(1, keepdims=True))
-        q = e / e.sum(1, keepdims=True)
-        return pd.DataFrame({"entity_id": p["entity_id"][own].to_numpy(), "label": p[label][own].to_numpy(), "probabilities": list(q)})
-
-    return wide.groupBy("model").applyInPandas(run, "entity_id long, label string, probabilities array<double>")

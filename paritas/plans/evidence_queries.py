@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paritas.functions import ranked
-from paritas.operators import altdata, bootstrap, disclosure, proxy, research, risk
+from paritas.operators import altdata, bootstrap, disclosure, proxy, research, risk, screening
 from paritas.plans.base import AS_OF, AUDIT, EXECUTION, SEGMENTS, SIGNALS, audit, signals, table
 
 EDGES, FRACTIONS = [0.25, 0.5, 0.75], [0.05, 0.1, 0.2, 0.5]
@@ -76,7 +76,7 @@ MEMBERS = AUDIT + """, members AS (SELECT 'population' AS table_id, 'all' AS cel
  UNION ALL SELECT 'outcome', y::VARCHAR, entity_id FROM base UNION ALL SELECT 'intersection', grp || '/' || prio, entity_id FROM base
  UNION ALL SELECT 'cohort', CASE WHEN entity_id < 40 THEN 'launch' ELSE 'later' END, entity_id FROM base UNION ALL SELECT 'cohort.prio', CASE WHEN entity_id < 40 THEN 'launch' ELSE 'later' END || '/' || prio, entity_id FROM base)"""
 _MINIMUM = 60
-_DOMAIN = "proxy-fold-v1|7|"
+_DOMAIN, _PROTOCOL, _FOLD_SEED = "proxy-fold-v1", "v1", 7
 
 
 def _complementary(s, d):
@@ -92,9 +92,16 @@ def _one_table(s, d):
     return disclosure.release(m, _MINIMUM, totals=frozenset({"population:all"}))
 
 
-def _proxy(s, d):
-    a = audit(s, d)
-    return a.select("entity_id", proxy.fold_of(F.col("entity_id"), 3, _DOMAIN).cast("int").alias("fold"), "s", (F.col("entity_id") % 7).cast("double").alias("b0"), F.col("grp").alias("label"))
+def _screened(s, d):
+    """Orders of some days hold out; the segment is screened with a score, beside two other features."""
+    a = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey")
+    rows = a.select(
+        k.cast("string").alias("entity_id"), F.when(k % 5 == 0, "holdout").otherwise("development").alias("window"), F.col("c_mktsegment").alias("label"), F.when(k % 17 != 0, F.col("c_acctbal") / 1000 + F.length("c_mktsegment")).alias("candidate"),
+        (k % 7).cast("double").alias("b0"), F.when(k % 11 != 0, F.col("o_orderpriority")).alias("b1"),
+    )
+    folded = rows.withColumn("fold", F.when(F.col("window") == "development", proxy.fold_of(F.col("entity_id"), 3, _FOLD_SEED, _PROTOCOL, _DOMAIN)).cast("int"))
+    return screening.screen(folded, "label", ["candidate"], ["b0", "b1"], {"b1"}, 3)
 
 
 def _rows(s, d):
@@ -231,8 +238,8 @@ QUERIES = {
         UNION ALL SELECT 'population', 'all', 'published', count(*), NULL, NULL FROM base""",
     ),
     "proxy_fold": (
-        lambda s, d: audit(s, d).select("entity_id", proxy.fold_of(F.col("entity_id"), 3, _DOMAIN).alias("fold")),
-        f"""WITH {AUDIT}, h AS (SELECT entity_id, sha256('{_DOMAIN}' || entity_id::VARCHAR) AS h FROM base), w AS (SELECT entity_id, list_transform(range(8), lambda i: ('0x' || substr(h, (8 * i + 1)::INT, 8))::BIGINT) AS w FROM h)
+        lambda s, d: audit(s, d).select("entity_id", proxy.fold_of(F.col("entity_id"), 3, _FOLD_SEED, _PROTOCOL, _DOMAIN).alias("fold")),
+        f"""WITH {AUDIT}, h AS (SELECT entity_id, sha256(encode('{_DOMAIN}') || unhex('{len(_PROTOCOL):08x}') || encode('{_PROTOCOL}') || unhex('{_FOLD_SEED:016x}') || unhex(printf('%08x', length(entity_id::VARCHAR))) || encode(entity_id::VARCHAR)) AS h FROM base), w AS (SELECT entity_id, list_transform(range(8), lambda i: ('0x' || substr(h, (8 * i + 1)::INT, 8))::BIGINT) AS w FROM h)
         SELECT entity_id, list_reduce(list_prepend(0::BIGINT, w), lambda r, x: (r * 4294967296 + x) % 3) AS fold FROM w""",
     ),
     "proxy_eta_squared": (
@@ -253,7 +260,7 @@ QUERIES = {
         f"""WITH {AUDIT}, k(c) AS (VALUES {", ".join(f"('{x}')" for x in SEGMENTS)}), r AS (SELECT c, s, count(*) FILTER (grp = c) AS f, count(*) FILTER (grp <> c) AS u FROM base, k GROUP BY 1, 2),
         b AS (SELECT *, coalesce(sum(u) OVER (PARTITION BY c ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM r), a AS (SELECT c, sum(f * (below + 0.5 * u)) / (sum(f) * sum(u)) AS auc FROM b GROUP BY c) SELECT round(avg(auc), 8) AS macro_auc FROM a""",
     ),
-    "proxy_logistic": (lambda s, d: proxy.fold_scores(_proxy(s, d), ["s", "b0"], "label", SEGMENTS, 3), None),
+    "proxy_logistic": (_screened, None),
     "bootstrap_draws": (_draws, _DRAWS_SQL),
     "bootstrap_interval": (_interval, None),
     "multinomial_interval": (_multinomial, None),
