@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from paritas.llm.shared import by_value
 
 CHUNK, REMEMBER, LONG = 2_000_000, 200_000, 200
-STEPS = 5_000_000  # rows that one query may write, at most (a piece of n bytes: n * n / 2)
+STEPS = 800_000  # rows that one query may write, at most (a piece of n bytes: n * n / 2)
 
 #: A row is a token with its successor and the rank of their pair (null: none). Each step looks at a word's
 #: pair of lowest rank, the leftmost of equal ones: its right token becomes the merged one, its left token
@@ -202,6 +202,10 @@ def _over(docs: DataFrame, path: str, pattern: str | None, schema: str, rows) ->
                     found = rows(batch.column("doc_id").slice(at, k + 1 - at), encoder, texts[at : k + 1])
                     yield pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
                     at, chars = k + 1, 0
+        if encoder:  # the worker lives on: give back what this task held
+            encoder.con.close()
+            del encoder
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 

@@ -290,6 +290,13 @@ def spans_of(text: str, model: CharCNN | None) -> list[tuple[str, int, int, floa
     return spans_of_all([text], model)[0]
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: a worker holds the texts of one of them as Python objects."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def find_secrets(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
     """(doc_id, spans array of (kind, start, end, score)) for every whole text; offsets in code points."""
     model = model or train(docs)
@@ -297,7 +304,7 @@ def find_secrets(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             spans = [[{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in of] for i in range(0, len(texts), 64) for of in spans_of_all(texts[i : i + 64], model)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
@@ -343,7 +350,7 @@ def redact(docs: DataFrame, model: CharCNN | None = None, mark: str = "[SECRET]"
         return "".join(out) + text[at:] if at else text
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column(fields.index("text")).to_pylist()
             texts = [clean(t, of) for i in range(0, len(texts), 64) for t, of in zip(texts[i : i + 64], spans_of_all([t or "" for t in texts[i : i + 64]], model), strict=True)]
             columns = list(batch.columns)

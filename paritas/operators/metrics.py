@@ -19,6 +19,12 @@ COMPARISONS = ("selection_rate_difference", "adverse_impact_ratio", "demographic
 _CELLS = {"tp": "y AND d", "fp": "NOT y AND d", "fn": "y AND NOT d", "tn": "NOT y AND NOT d"}
 
 
+def ordered_sum(x: Column) -> Column:
+    """A sum of doubles that no order of rows changes, where all terms are below a million: they are added as decimals of 18 places."""
+    whole = F.sum(F.when(F.abs(x) < 1e6, x).cast("decimal(28,18)")).cast("double")
+    return F.when(F.max(F.abs(x)) < 1e6, whole).otherwise(F.sum(x))
+
+
 def scope_array(attributes) -> Column:
     own = [F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes]
     return F.array(F.struct(F.lit("__scope__").alias("attribute"), F.lit("overall").alias("value")), *own)
@@ -31,7 +37,7 @@ def scope_dimension(spark, allowed: dict[str, list[Label]]) -> DataFrame:
 
 def scope_stats(rows: DataFrame, allowed: dict[str, list[Label]]) -> DataFrame:
     """Counts (n, tp, ...), weights (w, wtp, ...) and weighted squared errors by scope."""
-    sums = [F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.expr("w * (s - CAST(y AS INT)) * (s - CAST(y AS INT))")).alias("sq")]
+    sums = [F.count("*").alias("n"), F.sum("w").alias("w"), ordered_sum(F.expr("w * (s - CAST(y AS INT)) * (s - CAST(y AS INT))")).alias("sq")]
     for k, cond in _CELLS.items():
         sums += [F.sum(F.expr(f"CAST({cond} AS BIGINT)")).alias(k), F.sum(F.expr(f"IF({cond}, w, 0D)")).alias(f"w{k}")]
     names = ["n", "w", "sq", *_CELLS, *[f"w{k}" for k in _CELLS]]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from paritas.functions.running import checkpointed
 from paritas.operators import bootstrap
+from paritas.operators.metrics import ordered_sum
 
 #: Blocks of four positions that one row unfolds into.
 CHUNK = 2048
@@ -67,7 +68,7 @@ def cells(rows: DataFrame, requests: DataFrame, resamples: int, seed: int, domai
     gap = F.col("s") - y.cast("double")
     sums = {"tp": y & d, "fp": ~y & d, "fn": y & ~d, "tn": ~y & ~d}
     by = met.groupBy("key", "metric", "role", "draw", ranked.alias("s")).agg(
-        *[F.sum(F.when(c, w).otherwise(0.0)).alias(k) for k, c in sums.items()], F.sum(w * gap * gap).alias("sq"), F.max("over").alias("over")
+        *[F.sum(F.when(c, w).otherwise(0.0)).alias(k) for k, c in sums.items()], ordered_sum(w * gap * gap).alias("sq"), F.max("over").alias("over")
     )
     by = checkpointed(by)
     if not by.filter("over > 0").isEmpty():
