@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.shared import by_value
+from paritas.llm.shared import by_value, give_back
 
 CHUNK, REMEMBER, LONG = 2_000_000, 200_000, 200
 STEPS = 800_000  # rows that one query may write, at most (a piece of n bytes: n * n / 2)
@@ -205,7 +205,7 @@ def _over(docs: DataFrame, path: str, pattern: str | None, schema: str, rows) ->
         if encoder:  # the worker lives on: give back what this task held
             encoder.con.close()
             del encoder
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paritas.llm.components import components
-from paritas.llm.shared import arrow_rows, by_value, checkpoint, free_name, may_hold, written
+from paritas.llm.shared import arrow_rows, by_value, checkpoint, free_name, give_back, may_hold, written
 
 WORDS, NUM, DEN = 5, 75, 100  # shingle length; a link needs DEN * intersection >= NUM * union
 SLICE, SLICE_ROWS = 500_000, 60_000  # tokens and sets of a slice
@@ -218,6 +218,8 @@ def make_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     number, sets, place, out, have = number + 1, {}, {}, [], 0
         if out:
             yield _arrow(_slice_blobs(number, buckets, sets, out), schema)
+        sets, place, out = {}, {}, []
+        give_back()
 
     with arrow_rows(docs.sparkSession, ROWS):
         counted = rows.mapInArrow(run, _BLOBS).groupBy("bucket").applyInArrow(_count_bucket, _BLOBS)
@@ -275,6 +277,7 @@ def sets_of(docs: DataFrame, need: DataFrame, words: int = WORDS) -> DataFrame:
                 done.clear()
             sets = [shingles(text[i], words) for i in new]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(u) for u in sets], pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["key", "data"])
+        give_back()
 
     with arrow_rows(docs.sparkSession, ROWS):
         return written(rows.mapInArrow(run, "key binary, data binary").groupBy("key").agg(F.first("data").alias("data")), "data")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.shared import by_value, checkpoint
+from paritas.llm.shared import by_value, checkpoint, give_back
 
 KINDS = ("assign", "access", "hex", "cnn")
 #: The base patterns. ASCII letters of the key words in either case.
@@ -295,6 +295,7 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
 def find_secrets(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
