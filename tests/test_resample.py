@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paritas.audit import run_audit
 from paritas.config import AuditConfig
@@ -119,3 +120,18 @@ def test_too_few_draws_are_a_limitation(spark):
 
 def test_counts_are_made_once_for_all_metrics(spark):
     assert set(resample.RATES) | set(resample.COMPARED) | {"roc_auc"} == {*metrics.SCOPE_METRICS, *metrics.COMPARISONS}
+
+
+def test_streams_are_not_broadcast(spark):
+    # a stream is unfolded from one row, so its size is taken for that of one row
+    rows = spark.range(1000).select("id", F.lit("g").alias("attribute"), F.lit("a").alias("value"))
+    placed = bootstrap.with_ordinal(rows, "id", ["attribute", "value"])
+    scopes = resample.numbered_scopes(placed)
+    streams = resample.numbered_streams(scopes, spark.createDataFrame([("m.a", "scope", "g", "a"), ("m.b", "scope", "g", "b")], "key string, role string, attribute string, value string"))
+    met = resample.drawn(placed, scopes, streams, 3, 7, bootstrap.DOMAIN)
+    assert met._jdf.queryExecution().executedPlan().toString().count("ShuffledHashJoin") == 1
+    assert resample.positions(streams, 3, 7, bootstrap.DOMAIN).rdd.getNumPartitions() >= 4
+    got = {}
+    for r in met.select("draw", "id").collect():
+        got.setdefault(r.draw, []).append(r.id)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in enumerate(stream(1000, 3, 7, "m.a", "scope"))}
