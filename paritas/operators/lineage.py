@@ -30,10 +30,9 @@ def link_faults(records: DataFrame, sources: DataFrame) -> DataFrame:
     entity_id, signal_family, currency, observed_at, revision_of and reversal_of.
     """
     known = sources.select("source_id", F.col("source_version").alias("__version"), F.col("signal_family").alias("__family"))
-    times = records.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__times"))
-    # of a repeated record, which is a fault itself, the least is the target
-    target = records.groupBy(*KEY).agg(F.min(F.struct("entity_id", "signal_family", "currency", "observed_at")).alias("__at"))
-    df = records.join(known, "source_id", "left").join(times, KEY)
+    # of a repeated record, which is a fault itself, the least is the target; one aggregate, shuffled once
+    target = records.groupBy(*KEY).agg(F.min(F.struct("entity_id", "signal_family", "currency", "observed_at")).alias("__at"), F.count(F.lit(1)).alias("__times"))
+    df = records.join(known, "source_id", "left").join(target.select(*KEY, "__times"), KEY)
     tests = [
         F.col("__version").isNull(),
         F.col("signal_family") != F.col("__family"),
@@ -92,15 +91,28 @@ def eligible_terminal(records: DataFrame, as_of: Column, execution: Column) -> D
     return fit.join(revised, KEY, "left_anti")
 
 
+def level_links(records: DataFrame) -> DataFrame:
+    """(key, parent): the links that can be part of a cycle, of records without faults: no target is later than its record.
+
+    So the times along a cycle are equal, and a link to an earlier record is in none. A record without a time says
+    nothing of those around it: where there is one, all links are looked at.
+    """
+    links = records.select(*KEY, "observed_at", F.coalesce("revision_of", "reversal_of").alias("parent")).filter("parent IS NOT NULL")
+    if records.filter("observed_at IS NULL").isEmpty():
+        target = records.select("source_id", "source_version", F.col("record_id").alias("parent"), F.col("observed_at").alias("__at"))
+        links = links.join(target, ["source_id", "source_version", "parent"]).filter("__at >= observed_at")
+    return links.select(*KEY, "parent")
+
+
 def checked_roots(records: DataFrame, sources: DataFrame) -> DataFrame:
     """(key, root) of every record; raises the first fault's code where links are faulty."""
     faults = {r.code for r in link_faults(records, sources).select("code").distinct().collect()}  # eight codes at most
     if faults:
         raise ValueError(min(faults, key=FAULTS.index))
-    roots = checkpointed(revision_roots(records))
-    if not roots.filter("cyclic").isEmpty():
+    if not climb(level_links(records)).filter("cyclic").isEmpty():
         raise ValueError(FAULTS[7])
-    return roots.select(*KEY, "root")
+    roots = climb(records.filter("revision_of IS NOT NULL").select(*KEY, F.col("revision_of").alias("parent"))).select(*KEY, "root")
+    return checkpointed(records.select(*KEY).join(roots, KEY, "left").withColumn("root", F.coalesce("root", "record_id")))
 
 
 def latest_by_root(terminal: DataFrame, roots: DataFrame, times_must_differ: bool = True) -> DataFrame:
@@ -121,5 +133,7 @@ def authoritative_records(records: DataFrame, sources: DataFrame, as_of: Column,
 
     Two terminal versions of one root that were observed at one time are a fault: neither is later.
     """
-    roots = checked_roots(records, sources) if roots is None else roots
+    if roots is None:
+        records = checkpointed(records)  # read many times from here on
+        roots = checked_roots(records, sources)
     return records.join(latest_by_root(eligible_terminal(records, as_of, execution), roots), KEY)

@@ -117,6 +117,7 @@ def quality(entities: DataFrame, groups: list[str], records: DataFrame, coverage
     """``scopes``, ``providers`` and ``reasons`` of the whole population; raises where evidence is faulty."""
     if not sources.filter(F.col("coverage_end") > execution).isEmpty():
         raise ValueError("ad_future_timestamp")
+    records = lineage.checkpointed(records)  # read many times from here on
     for df, what in ((entities, "population entity"), (coverages, "credit coverage")):
         if not df.groupBy("entity_id").count().filter("count > 1").isEmpty():
             raise ValueError(f"{what} identities must be unique")

@@ -81,3 +81,14 @@ def test_roots_of_long_chains_and_a_hub(frames):
 def test_fault_order_counts_each_record_once(frames):
     got = lineage.link_faults(*frames([record("a", source="x", revises="z"), record("b", revises="z", reverses="y"), record("c")])).collect()
     assert {(r.record_id, r.code) for r in got} == {("a", "ad_source_not_declared"), ("b", "ad_revision_target_missing")}
+
+
+def test_only_links_of_equal_times_are_searched_for_cycles(frames):
+    rows = [record("a"), record("b", 2, revises="a"), record("c", 2, reverses="b")]
+    found = lineage.level_links(frames(rows)[0]).collect()
+    assert [(r.record_id, r.parent) for r in found] == [("c", "b")]
+    # a record without a time may stand between later and earlier ones
+    rows = [record("a", 3, revises="b"), record("b", 2, revises="c"), record("c", revises="a", observed_at=None)]
+    assert {r.record_id for r in lineage.level_links(frames(rows)[0]).collect()} == {"a", "b", "c"}
+    with pytest.raises(ValueError, match="ad_non_monotonic_history"):
+        chosen(frames, rows)
