@@ -9,7 +9,8 @@ tree is traversed against itself from the labels' roots: a pair of nodes is prun
 further apart than both covering radii and eps, else all pairs of their children are looked at. Lower
 levels: each leaf of it carries nested nets with halving radii, made once, and two leaves are traversed
 against each other with the same bound at every level, all pairs of a level in one matrix product; the
-surviving pairs are decided by exact cosines in double precision. So the pairs are exact.
+surviving pairs are decided by exact cosines in double precision. So the pairs are exact. A task takes the
+pairs of leaves between two groups of at most ``GROUP`` leaves of a label.
 
 Equal vectors of a label are one vector with a number of copies before anything else is shuffled. A pair
 of leaves returns link counts per vector and a spanning forest of its links, never the pairs themselves,
@@ -31,13 +32,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paritas.llm.components import components
-from paritas.llm.shared import arrow_rows, by_value, checkpoint, written
+from paritas.llm.shared import by_value, checkpoint, written
 
 COSINE, BLOCK, SAMPLE, MOST_CENTRES = 0.98, 1024, 512, 32
+GROUP = 32  # leaves that a task holds on each side
 
 
 def unit(embeddings: list) -> list[np.ndarray | None]:
@@ -56,15 +58,17 @@ def unit(embeddings: list) -> list[np.ndarray | None]:
     return out
 
 
-def net(x: np.ndarray, radius: float, most: int | None = None) -> np.ndarray:
-    """Greedy net: rows of x, such that every row is within radius of one (unless ``most`` stops it)."""
-    centres, far = [], np.full(len(x), np.inf)
-    for i in range(len(x)):
-        if far[i] > radius:
-            centres.append(i)
-            if most and len(centres) >= most:
-                break
-            far = np.minimum(far, np.sqrt(np.maximum(0, 2 - 2 * (x @ x[i]))))
+def nets(x: np.ndarray, most: int) -> np.ndarray:
+    """Rows of x: nested greedy nets with radii 1, 1/2, ... until there are ``most`` centres or no two rows are apart."""
+    centres, far, radius = [], np.full(len(x), np.inf), 1.0
+    while len(centres) < most and radius > 1e-6:
+        for i in range(len(x)):
+            if far[i] > radius:
+                centres.append(i)
+                if len(centres) >= most:
+                    break
+                far = np.minimum(far, np.sqrt(np.maximum(0, 2 - 2 * (x @ x[i]))))
+        radius /= 2
     return np.array(centres)
 
 
@@ -195,21 +199,35 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     top = F.concat_ws("/", "label", F.length("v"))
     blocks = _blocks(_split(alike.select("id", top.alias("node"), "v", "copies"), block), cosine)
     ends = _meeting(blocks, float(np.sqrt(2 - 2 * cosine)) + 1e-6)
-    left, right = (blocks.select(F.col("node").alias(f"node{s}"), *[F.col(c).alias(c + s) for c in ("ids", "copies", "x", "tree")]) for s in "ab")
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            for r in p.itertuples():
-                s, ids, ws = _tree(r.xa, r.treea), np.frombuffer(r.idsa, "<i8"), np.frombuffer(r.copiesa, "<i8")
-                own = r.nodea == r.nodeb
-                t, others, wt = (None, ids[:0], None) if own else (_tree(r.xb, r.treeb), np.frombuffer(r.idsb, "<i8"), np.frombuffer(r.copiesb, "<i8"))
-                cx, cy, f = join_blocks(s, t, cosine, ws, wt)
-                every, count = np.concatenate([ids, others]), np.concatenate([cx, cy])
-                has = count > 0
-                yield pd.DataFrame({"a": np.concatenate([every[has], every[f[:, 0]]]), "b": np.concatenate([np.full(has.sum(), -1), every[f[:, 1]]]), "n": np.concatenate([count[has], np.zeros(len(f), np.int64)])})
-
-    with arrow_rows(rows.sparkSession, 8):
-        found = checkpoint(ends.join(left, "nodea").join(right, "nodeb").mapInPandas(link, "a long, b long, n long"))
+    # a task takes the pairs between two groups of leaves, so that a leaf is shipped once for each group it meets
+    label = F.substring_index("node", ".", 1)
+    order = Window.partitionBy("top").orderBy("node")
+    leaves = blocks.select("node", label.alias("top")).withColumns({"at": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("top"))})
+    group = F.floor(F.col("at") / F.least(F.lit(GROUP), F.greatest(F.lit(4), F.ceil(F.col("n") / 4))))
+    leaves = written(leaves.select("node", "top", group.alias("group")), "leaves")
+    ga, gb = leaves.toDF("nodea", "top", "ga"), leaves.select("node", "group").toDF("nodeb", "gb")
+    pairs = checkpoint(ends.join(ga, "nodea").join(gb, "nodeb"))
+    cell = ["top", "ga", "gb"]
+    need = pairs.select(*[F.col(c).alias(f"{c}s") for c in cell], F.explode(F.array("nodea", "nodeb")).alias("node")).distinct()
+    shipped = need.join(blocks.select("node", "ids", "copies", "x", "tree"), "node")
+
+    def link(met: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        held = {r.node: (_tree(r.x, r.tree), np.frombuffer(r.ids, "<i8"), np.frombuffer(r.copies, "<i8")) for r in given.itertuples()}
+        total = {node: np.zeros(len(ids), np.int64) for node, (_, ids, _) in held.items()}
+        forest = [np.zeros((0, 2), np.int64)]
+        for m, n in zip(met["nodea"], met["nodeb"], strict=True):
+            (s, ids, ws), (t, others, wt) = held[m], (None, np.zeros(0, np.int64), None) if m == n else held[n]
+            cx, cy, f = join_blocks(s, t, cosine, ws, wt)
+            total[m] += cx
+            if m != n:
+                total[n] += cy
+            forest.append(np.concatenate([ids, others])[f])
+        f = np.concatenate(forest)
+        every, count = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([held[n][1] for n in total], total.values()))
+        has = count > 0
+        return pd.DataFrame({"a": np.concatenate([every[has], f[:, 0]]), "b": np.concatenate([np.full(has.sum(), -1), f[:, 1]]), "n": np.concatenate([count[has], np.zeros(len(f), np.int64)])})
+
+    found = checkpoint(pairs.groupBy(*cell).cogroup(shipped.groupBy(*[f"{c}s" for c in cell])).applyInPandas(link, "a long, b long, n long"))
     counts = found.filter("b < 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     roots = components(found.filter("b >= 0"))
     named = alike.select("key", "id", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
@@ -256,7 +274,7 @@ def _meeting(blocks: DataFrame, eps: float) -> DataFrame:
     middle = balls.groupBy("inner", "depth", "deepest").agg(F.min("node").alias("node")).groupBy("inner", "depth").agg(F.min("node").alias("node"))
     middle = middle.join(blocks.select("node", F.col("centre").alias("middle")), "node").select("inner", "middle")
     upper = balls.join(middle, "inner").groupBy("inner", "depth", "middle").agg(F.max(_distance("centre", "middle") + F.col("radius")).alias("reach"), F.max(F.col("depth") == F.col("deepest")).alias("leaf"))
-    upper = checkpoint(upper.withColumn("parent", F.when(F.col("depth") > 1, F.expr("substring_index(inner, '.', depth - 1)"))))
+    upper = written(upper.withColumn("parent", F.when(F.col("depth") > 1, F.expr("substring_index(inner, '.', depth - 1)"))), "upper")
     deepest = upper.agg(F.max("depth")).first()[0] or 0
     pairs = upper.filter("depth = 1").select(F.col("inner").alias("nodea"), F.col("inner").alias("nodeb"))
     for depth in range(2, deepest + 1):
@@ -276,7 +294,9 @@ def _split(nodes: DataFrame, block: int) -> DataFrame:
     done = []
     nodes = checkpoint(nodes)
     while True:
-        sizes = checkpoint(nodes.groupBy("node").agg(F.count("*").alias("size")))
+        # small tables of a round are files: a checkpoint keeps the estimate of its plan, in which joins multiply, so that
+        # what joins itself round after round is planned with sizes whose digits grow as a power of the rounds
+        sizes = written(nodes.groupBy("node").agg(F.count("*").alias("size")), "sizes")
         large = sizes.filter(F.col("size") > block)
         if large.isEmpty():
             return _union([*done, nodes])
@@ -289,13 +309,10 @@ def _split(nodes: DataFrame, block: int) -> DataFrame:
         def centres(p: pd.DataFrame) -> pd.DataFrame:
             x = np.stack([np.frombuffer(v) for v in p.sort_values("id")["v"]])
             want = int(min(MOST_CENTRES, max(2, -(-2 * p["size"].iloc[0] // block))))
-            radius, c = 1.0, net(x, 1.0, want)
-            while len(c) < min(want, 2) and radius > 1e-6:
-                radius /= 2
-                c = net(x, radius, want)
+            c = nets(x, want)
             return pd.DataFrame({"node": [p["node"].iloc[0]], "c": [_pack(x[c])], "k": [len(c)]})
 
-        chosen = marked.filter(lucky).groupBy("node").applyInPandas(centres, "node string, c binary, k int")
+        chosen = written(marked.filter(lucky).groupBy("node").applyInPandas(centres, "node string, c binary, k int"), "centres")
         given = marked.join(chosen, "node", "left")
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,6 @@
 """Joins, near-duplicates and toxicity against brute force; the pipeline on a small table."""
 
+import re
 import math
 import random
 import zlib
@@ -155,6 +156,35 @@ def test_near_duplicates_of_equal_vectors_split_by_hash(spark):
     assert {(r.n_links, r.component_id) for r in neardup.near_duplicates(df, block=8).collect()} == {(99, 0)}
 
 
+def test_estimates_grow_no_faster_than_the_rounds(spark, monkeypatch, capsys):
+    """The sizes by which Spark plans have few digits: they filled the driver's memory when they grew by a power a round."""
+    def digits(df):
+        df.explain("cost")
+        return max([0, *map(int, re.findall(r"sizeInBytes=[\d.]+E\+(\d+)", capsys.readouterr().out))])
+
+    monkeypatch.setattr(components, "FINISH", 10)
+    path = spark.range(3000).selectExpr("id AS a", "id + 1 AS b")
+    found = components.components(path)
+    assert digits(found) < 300 and found.count() == 3001 and found.select("root").distinct().count() == 1
+    x = np.random.default_rng(2).normal(size=(400, 8)) * 0.02 + np.eye(8)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, "0", bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "id long, node string, v binary, copies long")
+    split = neardup._split(nodes, 4)
+    assert digits(split) < 600 and split.count() == 400 and split.groupBy("node").count().agg({"count": "max"}).first()[0] <= 4
+    assert len(neardup.nets(x, 20)) == 20  # a dense group is parted too
+
+
+def test_near_duplicates_across_groups_of_leaves(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP", 2)
+    x = np.random.default_rng(3).normal(size=(150, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = x @ x.T >= 0.98
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(df, block=8).collect()}
+    own = classes(list(range(150)), [(int(a), int(b)) for a, b in zip(*np.nonzero(hit)) if a < b])
+    assert got == {i: (int(hit[i].sum()) - 1, own[i]) for i in range(150)}
+
+
 def test_index_finds_the_exact_nearest():
     rng = np.random.default_rng(0)
     index = toxicity.Index([str(i) for i in range(30)], np.ones(30), [], np.zeros(0))
