@@ -1,8 +1,8 @@
 """Proxy screening: how well features predict a protected label, out of fold and on a holdout.
 
 Multinomial logistic models of several feature sets and folds are fitted together by damped Newton steps. A step is one
-pass over the rows: each task sums every model's gradient and Hessian over its own rows, and the sums of tasks are
-added by (model, place). Only these sums (classes times features squared, for each model) reach the driver, never rows.
+pass over the cells, equal rows with their number: each task sums every model's loss, gradient and Hessian over its own
+cells, and the sums of tasks are added by (model, place). Only these sums (classes times features squared, for each model) reach the driver, never rows.
 Encoders are learned from a model's training rows alone: medians of runs of values, moments of imputed values,
 levels by count. The first label is the base class; all coefficients but intercepts carry an L2 penalty.
 """
@@ -89,10 +89,10 @@ def vectors(batch: pd.DataFrame, columns: list[str], encoder: dict[str, tuple])
         else:
             vocabulary, rare = encoder[c]
             place = {v: i for i, v in enumerate(vocabulary)}
+            codes, values = pd.factorize(batch[c])
+            own = [place[RARE if t in rare else t if t in place else UNSEEN] for t in (f"={v}" for v in values)]
             hot = np.zeros((len(batch), len(vocabulary)))
-            for i, v in enumerate(batch[c]):
-                t = MISSING if v is None or v != v else f"={v}"
-                hot[i, place[RARE if t in rare else t if t in place else UNSEEN]] = 1
+            hot[np.arange(len(batch)), np.array([*own, place[MISSING]])[codes]] = 1  # a missing value's code is -1
             out.append(hot)
     return np.concatenate(out, 1)
 
@@ -103,28 +103,42 @@ def probabilities(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def cells(rows: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """(set, fold, window, y, features, n): rows that are equal in a set's features are one with a count; other features are null."""
+    columns, kinds = sorted({c for s in sets.values() for c in s}), dict(rows.dtypes)
+    every = running.checkpointed(rows.groupBy("fold", "window", "y", *columns).agg(F.count(F.lit(1)).alias("n")))
+    out = None
+    for name, own in sets.items():
+        part = every if set(own) == set(columns) else every.groupBy("fold", "window", "y", *own).agg(F.sum("n").alias("n"))
+        part = part.select(F.lit(name).alias("set"), "fold", "window", "y", *[F.col(c) if c in own else F.lit(None).cast(kinds[c]).alias(c) for c in columns], "n")
+        out = part if out is None else out.unionByName(part)
+    return running.checkpointed(out)
+
+
 def _sums(rows: DataFrame, models: dict[tuple, list[np.ndarray]], sets: dict[str, list[str]], learned: dict, classes: int, slopes: bool) -> dict[tuple, np.ndarray]:
-    """Of each model (set, fold left out): its loss at each of its points, or gradient and Hessian at its first; over all rows."""
+    """Of each model (set, fold left out): rows and its loss at each of its points, and with ``slopes`` gradient and Hessian at its one point; over all cells."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple, np.ndarray] = {}
-        for b in batches:
-            if not len(b):
-                continue
-            fold, y = b["fold"].to_numpy(int), b["y"].to_numpy(int)
-            for key, points in models.items():
-                mine = fold != key[1]
-                if not mine.any():
-                    continue
-                x, own = vectors(b[mine], sets[key[0]], learned[key[1]]), y[mine]
-                if slopes:
-                    p = probabilities(x, points[0])[:, 1:]
-                    g = (p - np.eye(classes)[own][:, 1:]).T @ x
-                    h = np.block([[(x * (p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ x for j in range(classes - 1)] for i in range(classes - 1)])
-                    new = np.concatenate([[len(x)], g.ravel(), h.ravel()])
-                else:
-                    new = np.array([len(x), *(-np.log(np.maximum(probabilities(x, q)[np.arange(len(x)), own], 1e-300)).sum() for q in points)])
-                total[key] = total[key] + new if key in total else new
+        for whole in batches:
+            for name, b in whole.groupby("set", sort=False):
+                fold, y, n = b["fold"].to_numpy(int), b["y"].to_numpy(int), b["n"].to_numpy(float)
+                for key, points in models.items():
+                    mine = fold != key[1]
+                    if key[0] != name or not mine.any():
+                        continue
+                    x, own, w = vectors(b[mine], sets[name], learned[key[1]]), y[mine], n[mine]
+                    every = [probabilities(x, q) for q in points]
+                    new = [[w.sum()], [-(w * np.log(np.maximum(p[np.arange(len(x)), own], 1e-300))).sum() for p in every]]
+                    if slopes:
+                        p, d = every[0][:, 1:], x.shape[1]
+                        u = (p[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+                        h = -(u * w[:, None]).T @ u
+                        for i in range(classes - 1):
+                            h[i * d : (i + 1) * d, i * d : (i + 1) * d] += (x * (w * p[:, i])[:, None]).T @ x
+                        new += [((p - np.eye(classes)[own][:, 1:]) * w[:, None]).T.dot(x).ravel(), h.ravel()]
+                    new = np.concatenate(new)
+                    total[key] = total[key] + new if key in total else new
         for (name, m), v in total.items():
             yield pd.DataFrame({"set": name, "model": m, "i": np.arange(len(v)), "v": v})
 
@@ -140,61 +154,68 @@ def fit(rows: DataFrame, sets: dict[str, list[str]], learned: dict, folds: int,
     beta = {(name, m): np.zeros((classes - 1, 1 + sum(one[m][c] for c in columns))) for name, columns in sets.items() for m in range(folds + 1)}
     open_, change = set(beta), dict.fromkeys(beta, np.inf)
     penalty = lambda b: 0.5 * float((b[:, 1:] ** 2).sum())
+    sums = _sums(rows, {k: [b] for k, b in beta.items()}, sets, learned, classes, True)
     for _ in range(ITERATIONS):
-        sums = _sums(rows, {k: [beta[k]] for k in open_}, sets, learned, classes, True)
-        steps = {}
+        left = {}
         for k in sorted(open_):
             n, size = sums[k][0], beta[k].size
             ridge = np.tile(np.r_[0.0, np.ones(beta[k].shape[1] - 1)], classes - 1)
-            g = sums[k][1 : 1 + size] / n + ridge * beta[k].ravel()
+            g = sums[k][2 : 2 + size] / n + ridge * beta[k].ravel()
             if np.abs(g).max() <= TOLERANCE and change[k] <= TOLERANCE:
                 open_.discard(k)
                 continue
             try:
-                lower = np.linalg.cholesky(sums[k][1 + size :].reshape(size, size) / n + np.diag(ridge))
+                lower = np.linalg.cholesky(sums[k][2 + size :].reshape(size, size) / n + np.diag(ridge))
             except np.linalg.LinAlgError:
                 raise ScreeningError("ad_proxy_model_nonconvergence") from None
-            steps[k] = (np.linalg.solve(lower.T, np.linalg.solve(lower, g)).reshape(beta[k].shape), np.abs(g).max())
-        if not steps:
-            return beta
-        left, now, halved = dict(steps), {}, 0
-        while left:  # four step lengths of all models in a pass
-            if halved >= HALVINGS:
+            left[k] = (np.linalg.solve(lower.T, np.linalg.solve(lower, g)).reshape(beta[k].shape), np.abs(g).max())
+        now, tried, moved = {k: sums[k][1] / sums[k][0] + penalty(beta[k]) for k in left}, 0, set()
+        while left:  # whole steps with what the next step needs; then four shorter ones of all models in a pass
+            if tried >= HALVINGS:
                 raise ScreeningError("ad_proxy_model_nonconvergence")
-            tried = {k: [beta[k] - 0.5 ** (halved + j) * s for j in range(4)] for k, (s, _) in left.items()}
-            losses = _sums(rows, {k: [*([beta[k]] if k not in now else []), *q] for k, q in tried.items()}, sets, learned, classes, False)
-            for k, q in tried.items():
-                values = losses[k][1:] / losses[k][0]
-                if k not in now:
-                    now[k], values = values[0] + penalty(beta[k]), values[1:]
-                good = next((b for b, v in zip(q, values) if v + penalty(b) <= now[k] + 1e-15), None)
+            points = {k: [beta[k] - 0.5 ** (tried + j) * s for j in range(4 if tried else 1)] for k, (s, _) in left.items()}
+            found = _sums(rows, points, sets, learned, classes, not tried)
+            for k, q in points.items():
+                good = next((b for b, v in zip(q, found[k][1:] / found[k][0]) if v + penalty(b) <= now[k] + 1e-15), None)
                 if good is not None:
                     change[k] = float(np.abs(good - beta[k]).max())
                     beta[k] = good
                     if left.pop(k)[1] <= TOLERANCE and change[k] <= TOLERANCE:
                         open_.discard(k)
-            halved += 4
+                    elif tried:
+                        moved.add(k)
+                    else:
+                        sums[k] = found[k]
+            tried += 4 if tried else 1
         if not open_:
             return beta
+        if moved:
+            sums |= _sums(rows, {k: [beta[k]] for k in moved}, sets, learned, classes, True)
     raise ScreeningError("ad_proxy_model_nonconvergence")
 
 
-def scores(df: DataFrame, label: str, sets: dict[str, list[str]], categorical: set[str], folds: int, minimum_level: int = 5, maximum_levels: int = 50, per_fold: int = 2, few: int | None = None) -> DataFrame:
+def _fitted(df: DataFrame, label: str, sets: dict[str, list[str]], categorical: set[str], folds: int, minimum_level: int = 5, maximum_levels: int = 50, per_fold: int = 2, few: int | None = None) -> tuple[DataFrame, DataFrame, dict, dict]:
+    """Stored rows with a label, their cells, the encoders and the coefficients."""
+    columns = sorted({c for s in sets.values() for c in s})
+    kept = [F.col(c).cast("string" if c in categorical else "double").alias(c) for c in columns]
+    rows = running.checkpointed(df.filter(F.col(label).isNotNull()).select("entity_id", "window", F.col("fold").cast("int").alias("fold"), F.col(label).cast("string").alias("__label"), *kept))
+    counts = {(r[0], r[1]): r[2] for r in rows.groupBy("fold", "__label").count().collect()}  # folds times classes
+    labels = sorted({c for _, c in counts})
+    if len(labels) < 2 or any(counts.get((f, c), 0) < per_fold for f in range(folds) for c in labels):
+        raise ScreeningError("ad_insufficient_fold_support")
+    place = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(labels) for x in (c, i)]), F.col("__label")).alias("y")
+    rows = rows.select("entity_id", "window", "fold", place, *columns)
+    learned = encoders(rows, columns, categorical, folds, minimum_level, maximum_levels, few) if columns else {m: {} for m in range(folds + 1)}
+    met = cells(rows, sets)
+    return rows, met, learned, fit(met.filter("fold IS NOT NULL").drop("window"), sets, learned, folds, len(labels))
+
+
+def scores(df: DataFrame, label: str, sets: dict[str, list[str]], categorical: set[str], folds: int, **kw) -> DataFrame:
     """(entity_id, window, set, y, probabilities): development rows by the model without their fold, the holdout by that of all.
 
     ``df`` has entity_id, window, fold (null: holdout), the label and the features. Rows without a label take no part.
     """
-    df = df.filter(F.col(label).isNotNull())
-    labels = sorted(r[0] for r in df.select(F.col(label).cast("string")).distinct().collect())  # classes
-    counts = {(r[0], r[1]): r[2] for r in df.filter(F.col("fold").isNotNull()).groupBy("fold", F.col(label).cast("string")).count().collect()}
-    if len(labels) < 2 or any(counts.get((f, c), 0) < per_fold for f in range(folds) for c in labels):
-        raise ScreeningError("ad_insufficient_fold_support")
-    columns = sorted({c for s in sets.values() for c in s})
-    place = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(labels) for x in (c, i)]), F.col(label).cast("string")).alias("y")
-    kept = [F.col(c).cast("string" if c in categorical else "double").alias(c) for c in columns]
-    rows = running.checkpointed(df.select("entity_id", "window", F.col("fold").cast("int").alias("fold"), place, *kept))
-    learned = encoders(rows, columns, categorical, folds, minimum_level, maximum_levels, few) if columns else {m: {} for m in range(folds + 1)}
-    beta = fit(rows.filter("fold IS NOT NULL").drop("entity_id", "window"), sets, learned, folds, len(labels))
+    rows, _, learned, beta = _fitted(df, label, sets, categorical, folds, **kw)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -209,12 +230,28 @@ def scores(df: DataFrame, label: str, sets: dict[str, list[str]], categorical: s
     return rows.mapInPandas(run, f"entity_id {kind}, window string, set string, y int, probabilities array<double>")
 
 
+def scored_cells(df: DataFrame, label: str, sets: dict[str, list[str]], categorical: set[str], folds: int, **kw) -> DataFrame:
+    """(set, window, y, probabilities, n): the same of equal rows at once, with their number."""
+    _, met, learned, beta = _fitted(df, label, sets, categorical, folds, **kw)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            model = b["fold"].fillna(folds).astype(int)
+            for (name, m), part in b.groupby([b["set"], model], sort=False):
+                p = probabilities(vectors(part, sets[name], learned[m]), beta[name, m])
+                yield pd.DataFrame({"set": name, "window": part["window"].to_numpy(), "y": part["y"].to_numpy(), "probabilities": list(p), "n": part["n"].to_numpy()})
+
+    return met.mapInPandas(run, "set string, window string, y int, probabilities array<double>, n long")
+
+
 def macro_auc(scored: DataFrame, few: int | None = None) -> DataFrame:
-    """(set, window, entities, macro_auc): the mean of the classes' areas, null where a class has none."""
-    long = scored.select("set", "window", "y", F.posexplode("probabilities").alias("class", "s")).withColumn("hit", F.col("y") == F.col("class"))
-    areas = ranked.auc(long, ["set", "window", "class"], "s", "hit", few=few)
+    """(set, window, entities, macro_auc): the mean of the classes' areas, null where a class has none; ``n``: rows that are equal, if there."""
+    n = F.col("n").cast("double") if "n" in scored.columns else F.lit(1.0)
+    scored = scored.withColumn("__n", n)
+    long = scored.select("set", "window", "y", "__n", F.posexplode("probabilities").alias("class", "s")).withColumn("hit", F.col("y") == F.col("class"))
+    areas = ranked.auc(long, ["set", "window", "class"], "s", "hit", "__n", few)
     one = areas.groupBy("set", "window").agg(F.when(F.count("auc") == F.count(F.lit(1)), F.avg("auc")).alias("macro_auc"))
-    return one.join(scored.groupBy("set", "window").agg(F.count(F.lit(1)).alias("entities")), ["set", "window"])
+    return one.join(scored.groupBy("set", "window").agg(F.sum("__n").cast("long").alias("entities")), ["set", "window"])
 
 
 def screen(df: DataFrame, label: str, candidate: list[str], others: list[str], categorical: set[str], folds: int, **kw) -> DataFrame:
@@ -223,7 +260,7 @@ def screen(df: DataFrame, label: str, candidate: list[str], others: list[str], c
     All sets score the same entities, so the increment is paired.
     """
     sets = {"null": [], "candidate": candidate, "baseline": others, "augmented": [*others, *candidate]}
-    found = macro_auc(running.checkpointed(scores(df, label, sets, categorical, folds, **kw)))
+    found = running.checkpointed(macro_auc(running.checkpointed(scored_cells(df, label, sets, categorical, folds, **kw))))
     base = found.filter("set = 'baseline'").select("window", F.col("macro_auc").alias("__base"))
     return found.join(F.broadcast(base), "window", "left").withColumn("increment", F.when(F.col("set") == "augmented", F.col("macro_auc") - F.col("__base"))).select("set", "window", "entities", "macro_auc", "increment")
 

@@ -99,3 +99,12 @@ def test_screenings_that_are_not_available(spark):
         screening.scores(df, "label", {"x": ["g"]}, {"g"}, 2, minimum_level=1, maximum_levels=10)
     with pytest.raises(screening.ScreeningError, match="ad_proxy_statistic_undefined"):
         screening.scores(df.selectExpr("entity_id", "window", "fold", "label", "CAST(NULL AS DOUBLE) AS c"), "label", {"x": ["c"]}, set(), 2)
+
+
+def test_equal_rows_are_one_cell_with_a_count(spark):
+    rows = [(f"e{i}", "development", i % 2, i % 3, [1.0, None][i % 2], "uv"[i % 4 // 2]) for i in range(120)]
+    df = spark.createDataFrame(rows, "entity_id string, window string, fold int, y int, c double, g string")
+    found = {}
+    for r in screening.cells(df, {"null": [], "c": ["c"], "both": ["c", "g"]}).collect():
+        found.setdefault(r["set"], []).append(r.n)
+    assert {k: (len(v), sum(v)) for k, v in found.items()} == {"null": (6, 120), "c": (6, 120), "both": (12, 120)}
